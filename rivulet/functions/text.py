@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 LINK = r"(?U)https?://\S+"
 WORD_SEPARATOR = r"[^\p{L}\p{N}]+"
 # Letters, digits and the Hebrew alphabet only (fixed value).
-WORD_SEPARATOR_HEBREW = "[^A-Za-z0-9 אבגדהוזחטיכלמנסעפצקרךשתןףץם]+"
+WORD_SEPARATOR_HEBREW = "[^A-Za-z0-9אבגדהוזחטיכלמנסעפצקרךשתןףץם]+"
 
 
 def strip_links(text: Column) -> Column:
@@ -23,8 +23,7 @@ def one_line(text: Column) -> Column:
 
 def word_set(text: Column, separator: str = WORD_SEPARATOR) -> Column:
     """Distinct words of a text; case matters."""
-    words = F.split(F.regexp_replace(text, separator, " "), r"\s+")
-    return F.array_distinct(F.filter(words, lambda w: w != ""))
+    return F.array_distinct(F.filter(F.split(text, separator), lambda w: w != ""))
 
 
 def remove_all(text: Column, literals: Column) -> Column:

@@ -25,11 +25,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .skew import join_skewed
+from .skew import if_small, join_skewed
 
 HEADS = 512
 GROWTH = 16
@@ -53,28 +53,32 @@ class Tier:
     symmetric: bool = False
 
 
-def candidates(later: DataFrame, earlier: DataFrame, symmetric: bool, sized: bool = False) -> DataFrame:
-    """Distinct ``(id, other_id, other_seq)`` that meet under a key, the other row being earlier.
+def candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
+    """``(id, other_id, other_seq)`` where the later row probes a base entry of the earlier one."""
+    left = later.where("probe").select("key", "id", "seq")
+    right = earlier.where("base").select("key", F.col("id").alias("other_id"), F.col("seq").alias("other_seq"))
+    met = left.join(right, (left["key"] == right["key"]) & (F.col("other_seq") < F.col("seq")))
+    return met.select("id", "other_id", "other_seq").distinct()
 
-    ``sized``: the probing row is the one with the smaller ``size``.
+
+def counted_candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Like ``candidates`` for entries with ``size`` and ``hits``, either row probing.
+
+    The row of smaller size probes and has to meet the other one under at least
+    ``hits`` keys.
     """
-    left = later.select("key", "id", "seq", "probe", "base", *(["size"] if sized else []))
-    right = earlier.select(
-        "key", F.col("id").alias("other_id"), F.col("seq").alias("other_seq"),
-        F.col("probe").alias("other_probe"), F.col("base").alias("other_base"),
-        *([F.col("size").alias("other_size")] if sized else []),
-    )
+    left = later.select("key", "id", "seq", "probe", "base", "size", "hits")
+    right = earlier.select(*[F.col(c).alias(c if c == "key" else f"other_{c}") for c in left.columns])
 
-    def meet(lhs: DataFrame, rhs: DataFrame, fits) -> DataFrame:
-        on = (lhs["key"] == rhs["key"]) & (rhs["other_seq"] < lhs["seq"])
-        return lhs.join(rhs, on if fits is None else on & fits).select("id", "other_id", "other_seq")
+    def meet(lhs: DataFrame, rhs: DataFrame, fits: Column, hits: str) -> DataFrame:
+        on = (lhs["key"] == rhs["key"]) & (rhs["other_seq"] < lhs["seq"]) & fits
+        met = lhs.join(rhs, on).groupBy("id", "other_id", "other_seq")
+        return met.agg(F.count(F.lit(1)).alias("n"), F.max(hits).alias("hits")).where("n >= hits")
 
-    out = meet(left.where("probe"), right.where("other_base"), F.col("size") <= F.col("other_size") if sized else None)
-    if symmetric:
-        back = meet(left.where("base"), right.where("other_probe"),
-                    F.col("other_size") <= F.col("size") if sized else None)
-        out = out.unionByName(back)
-    return out.distinct()
+    size, other = F.col("size"), F.col("other_size")
+    own = meet(left.where("probe"), right.where("other_base"), size <= other, "hits")
+    its = meet(left.where("base"), right.where("other_probe"), other < size, "other_hits")
+    return own.unionByName(its).select("id", "other_id", "other_seq")
 
 
 def attach(pairs: DataFrame, payload: DataFrame) -> DataFrame:
@@ -83,6 +87,7 @@ def attach(pairs: DataFrame, payload: DataFrame) -> DataFrame:
     An earlier row can be the candidate of very many rows, so that side is joined
     safe for skew.
     """
+    pairs = settle(pairs)
     names = [c for c in payload.columns if c != "id"]
     other = payload.select(F.col("id").alias("other_id"), *[F.col(c).alias(f"other_{c}") for c in names])
     return join_skewed(pairs, other, "other_id", F.col("id")).join(payload, "id")
@@ -92,15 +97,21 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _not_ready(tiers: list[Tier], entries: list[DataFrame], heads: int) -> DataFrame:
-    """Ids with more than ``heads`` earlier candidates under some key."""
+def _not_ready(tiers: list[Tier], entries: list[DataFrame], heads: int) -> DataFrame | None:
+    """Ids with more than ``heads`` earlier candidates under some key; None if there are none."""
+    # A key with few probes or few bases has few pairs: all its rows are ready.
+    hot = _union([
+        e.groupBy("key").agg(F.count_if("probe").alias("np"), F.count_if("base").alias("nb"))
+        .where((F.col("np") > heads) & (F.col("nb") > heads)).select(F.lit(i).alias("tier"), "key")
+        for i, e in enumerate(entries)
+    ])
+    hot = settle(hot)
+    if hot.isEmpty():
+        return None
     late = []
-    for tier, e in zip(tiers, entries):
-        counts = e.groupBy("key").agg(F.count_if("probe").alias("np"), F.count_if("base").alias("nb"))
-        hot = counts.where((F.col("np") > heads) & (F.col("nb") > heads)).select("key")
-        # A key with few probes or few bases has few pairs: its rows are all ready.
-        crowded = e.join(hot, "key", "left_semi")
-        first = Window.partitionBy("key").orderBy("seq")
+    first = Window.partitionBy("key").orderBy("seq")
+    for i, (tier, e) in enumerate(zip(tiers, entries)):
+        crowded = e.join(hot.where(F.col("tier") == i).select("key"), "key", "left_semi")
 
         def limit(role: str) -> DataFrame:
             head = crowded.where(role).select("key", "seq").withColumn("r", F.row_number().over(first))
@@ -113,7 +124,8 @@ def _not_ready(tiers: list[Tier], entries: list[DataFrame], heads: int) -> DataF
         late.append(beyond("probe", "base"))
         if tier.symmetric:
             late.append(beyond("base", "probe"))
-    return _union(late).distinct()
+    late = settle(_union(late).distinct())
+    return None if late.isEmpty() else late
 
 
 def resolve(pairs: DataFrame, waiting: DataFrame | None = None) -> DataFrame:
@@ -164,15 +176,16 @@ def keep_first(rows: DataFrame, tiers: list[Tier], heads: int = HEADS) -> DataFr
             .agg(F.min(F.struct("seq", "id")).alias("f"))
             .select("f.id", "f.seq")
         )
-        open_rows = firsts.unionByName(rows.where(F.col("copy_key").isNull()).select("id", "seq"))
+        open_rows = settle(firsts.unionByName(rows.where(F.col("copy_key").isNull()).select("id", "seq")))
+        among = if_small(open_rows.select("id"))
+        entries = [settle(t.entries.join(among, "id", "left_semi")) for t in tiers]
     else:
         open_rows = rows.select("id", "seq")
-    # Rows that meet nobody in any index stay out of the loop: they are kept.
-    entries = [t.entries.join(open_rows.select("id"), "id", "left_semi") for t in tiers]
+        entries = [t.entries for t in tiers]
     dropped: list[DataFrame] = []
     while True:
-        late = settle(_not_ready(tiers, entries, heads))
-        if late.isEmpty():
+        late = _not_ready(tiers, entries, heads)
+        if late is None:
             pairs = _union([t.pairs(e, e).select("id", "other_id") for t, e in zip(tiers, entries)])
             verdict = resolve(pairs)
             dropped.append(verdict.where(~F.col("kept")).select("id"))
@@ -211,6 +224,7 @@ def evidence(decisions: DataFrame, tiers: list[Tier]) -> DataFrame:
     """
     kept, lost = decisions.where("kept").select("id"), decisions.where(~F.col("kept")).select("id")
     parts = []
+    kept, lost = if_small(kept), if_small(lost)
     for rank, tier in enumerate(tiers):
         pairs = tier.pairs(tier.entries.join(lost, "id", "left_semi"), tier.entries.join(kept, "id", "left_semi"))
         parts.append(pairs.select(*PAIR, F.lit(tier.name).alias("tier"), F.lit(rank).alias("rank")))
@@ -227,6 +241,7 @@ def best_match(pairs: DataFrame) -> DataFrame:
 def suppress(rows: DataFrame, tiers: list[Tier], heads: int = HEADS) -> DataFrame:
     """``id, seq, kept, tier, matched_id, score``: the greedy decision and its evidence."""
     tiers = [replace(t, entries=settle(t.entries)) for t in tiers]
+    rows = settle(rows)
     decisions = settle(keep_first(rows, tiers, heads))
     why = best_match(evidence(decisions, tiers))
     return decisions.join(why, "id", "left")

@@ -12,6 +12,15 @@ SHARE = 1000
 FLOOR = 100_000
 
 
+# Rows of (key) or (id, flag) that may be sent to every executor.
+BROADCAST_ROWS = 2_000_000
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast when the (already computed) table is small enough; else join by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def hot_keys(counts: DataFrame, key: str, n: str = "n", share: int = SHARE, floor: int = FLOOR) -> DataFrame:
     """``(key, salts)`` for the hot keys of a table ``(key, n)`` of row counts."""
     total = counts.agg(F.sum(n).alias("_total"))

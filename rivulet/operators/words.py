@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD_SEPARATOR, word_set
-from .greedy import Tier, attach, candidates
-from .skew import hot_keys
+from .greedy import Tier, attach, counted_candidates
+from .skew import hot_keys, salt_left, salt_right
 
 THRESHOLD = 0.7
 FLOOR = 8
+HITS_PER_WORDS = 20
 
 
 def word_sets(rows: DataFrame, separator: str = WORD_SEPARATOR) -> DataFrame:
@@ -19,6 +20,12 @@ def word_sets(rows: DataFrame, separator: str = WORD_SEPARATOR) -> DataFrame:
     return sets.withColumn("n", F.size("words")).where("n > 0")
 
 
+def hashed_sets(rows: DataFrame, separator: str = WORD_SEPARATOR) -> DataFrame:
+    """Like ``word_sets`` with each word replaced by its hash."""
+    words = F.transform(word_set(F.col("text"), separator), lambda w: F.xxhash64(w))
+    return rows.select("id", "seq", words.alias("words")).select("id", "seq", "words", F.size("words").alias("n"))
+
+
 def set_key(words: Column) -> Column:
     """Digest of a word set, whatever the order of its words."""
     return F.sha2(F.array_join(F.array_sort(words), " "), 256)
@@ -29,53 +36,57 @@ def needed(n: Column, threshold: float = THRESHOLD, floor: int = FLOOR) -> Colum
     return F.floor(F.greatest(n, F.lit(floor)) * F.lit(round(threshold * 100)) / 100).cast("int") + 1
 
 
-def with_rarity(tokens: DataFrame) -> DataFrame:
-    """``tokens (token, ...)`` with the number of rows of each token as ``df``.
+def with_rarity(tokens: DataFrame, counts: DataFrame) -> DataFrame:
+    """``tokens (token, id, ...)`` with ``df`` from ``counts (token, df)``.
 
-    Tokens in more than a fixed share of all rows are few, so they are looked up
-    by broadcast; the others have short lists and are joined by shuffle. No task
-    sees a whole frequent token.
+    A frequent token stands in a large share of all rows; its rows are spread over
+    salts, so that no task sees them all.
     """
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    hot = hot_keys(counts, "token", floor=1000).select("token")
-    heavy = F.broadcast(counts.join(F.broadcast(hot), "token", "left_semi").withColumnRenamed("n", "df"))
-    light = tokens.join(heavy, "token", "left_anti").join(counts.withColumnRenamed("n", "df"), "token")
-    return light.unionByName(tokens.join(heavy, "token").select(*light.columns))
+    hot = hot_keys(counts, "token", n="df")
+    spread = salt_left(tokens, "token", hot, F.col("id"))
+    return spread.join(salt_right(counts, "token", hot), ["token", "salt"]).drop("salt")
 
 
 def word_entries(sets: DataFrame, threshold: float = THRESHOLD, floor: int = FLOOR) -> DataFrame:
-    """Index of word sets: all words are base entries, the rarest ones also probe.
+    """Index of hashed word sets: all words are base entries, the rarest ones also probe.
 
-    Two sets sharing o words meet in one of the n - o + 1 rarest words of the
-    smaller one, in any fixed order of the words. Sets too small to reach o can
-    only be equal, and meet under their digest.
+    Two sets sharing o words meet in at least k of the n - o + k rarest words of the
+    smaller one, for any k and any fixed order of the words: the smaller set misses
+    n - o words at most. A k that grows with the set filters far better than 1.
+    Sets too small to reach o can only be equal, and meet under their digest.
     """
     tokens = sets.select("id", "seq", "n", F.explode("words").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ranked = (
-        with_rarity(tokens)
+        with_rarity(tokens, counts)
         .groupBy("id", "seq", "n")
         .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
         .select("id", "seq", F.col("n").alias("size"), F.posexplode("ranked").alias("pos", "t"))
     )
+    overlap = needed(F.col("size"), threshold, floor)
+    hits = F.least(overlap, 1 + F.floor(F.col("size") / HITS_PER_WORDS).cast("int"))
     by_word = ranked.select(
-        F.xxhash64("t.token").alias("key"), "id", "seq", "size",
-        (F.col("pos") < F.col("size") - needed(F.col("size"), threshold, floor) + 1).alias("probe"),
-        F.lit(True).alias("base"),
+        F.col("t.token").alias("key"), "id", "seq", "size", hits.alias("hits"),
+        (F.col("pos") < F.col("size") - overlap + hits).alias("probe"), F.lit(True).alias("base"),
     )
     small = sets.where(F.col("n") < needed(F.col("n"), threshold, floor)).select(
-        F.xxhash64(F.lit("="), set_key(F.col("words"))).alias("key"), "id", "seq", F.col("n").alias("size"),
-        F.lit(True).alias("probe"), F.lit(True).alias("base"),
+        F.xxhash64(F.lit("="), F.array_sort("words")).alias("key"), "id", "seq", F.col("n").alias("size"),
+        F.lit(1).alias("hits"), F.lit(True).alias("probe"), F.lit(True).alias("base"),
     )
     return by_word.unionByName(small)
 
 
 def overlap_tier(rows: DataFrame, threshold: float = THRESHOLD, floor: int = FLOOR,
                  separator: str = WORD_SEPARATOR, name: str = "words", equal_sets: bool = True) -> Tier:
-    """Tier over ``rows (id, seq, text)``: overlap above the threshold, or equal word sets."""
-    sets = word_sets(rows, separator)
+    """Tier over ``rows (id, seq, text)``: overlap above the threshold, or equal word sets.
+
+    The sets are compared as 64-bit hashes of the words, which are smaller to move
+    than the words; two words of one pair collide with odds below 1e-12.
+    """
+    sets = hashed_sets(rows, separator)
 
     def pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
-        met = candidates(later, earlier, symmetric=True, sized=True)
+        met = counted_candidates(later, earlier)
         both = attach(met, sets.select("id", "words"))
         shared = F.size(F.array_intersect("words", "other_words"))
         smaller = F.least(F.size("words"), F.size("other_words"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,10 +49,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared checkpoint folder and cut its lineage.
+    """Compute ``df`` once into a table in the shared checkpoint folder and read it back.
 
-    Iterative operators call this between rounds. The files survive the loss of
-    an executor, unlike a local checkpoint.
+    This cuts the lineage between the rounds of iterative operators. The table
+    survives the loss of an executor, unlike a local checkpoint, and stays
+    columnar, unlike an RDD checkpoint.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
