@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .order import SPAN, newest
+from .order import SPAN, newest, running_max, running_sum
 from .skew import if_small
 
 # Commands of the control chat (fixed values): anchored at the start, case does not matter.
@@ -65,51 +65,22 @@ def follow_state(commands: DataFrame, dialogs: DataFrame | None = None) -> DataF
 
 
 def switch_state(commands: DataFrame, initial: int = 1, span: int = SPAN) -> DataFrame:
-    """Value of the switch after each command: on, off, anything else flips it.
+    """Value of the switch after each command: on and off set it, anything else flips it.
 
-    Each row is a function on {0, 1}: a constant or a flip. The value is the last
-    constant, flipped by the parity of the flips since; both come from running
-    aggregates in two levels.
+    The value is the last one set, flipped by the parity of the flips since. With
+    f = flips so far, a set command stands for the parity (value - f) at its
+    place, and later rows add their own f to the last of these parities.
     """
     word = F.lower(F.trim("arg"))
-    rows = commands.withColumn("_set", F.when(word.isin("1", "on"), 1).when(word == "off", 0)).withColumn(
-        "_flip", F.when(F.col("_set").isNull(), 1).otherwise(0)
-    ).withColumn("_block", F.floor(F.col("seq") / span))
-    # Per block: number of flips after the last constant, and that constant.
-    last_set = F.max(F.when(F.col("_set").isNotNull(), F.struct("seq", "_set")))
-    block = rows.groupBy("_block").agg(last_set.alias("last"), F.sum("_flip").alias("flips"))
-    tail = (
-        rows.join(block.select("_block", "last"), "_block")
-        .where(F.col("last").isNull() | (F.col("seq") > F.col("last.seq")))
-        .groupBy("_block").agg(F.sum("_flip").alias("tail_flips"))
-    )
-    # One row per span of commands goes through this window.
-    whole = Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = block.join(tail, "_block", "left").select(
-        "_block", F.col("last._set").alias("b_set"), F.coalesce("tail_flips", F.lit(0)).alias("b_flips"),
-    )
-    blocks = blocks.withColumn("set_before", F.last("b_set", ignorenulls=True).over(whole))
-    at = F.last(F.when(F.col("b_set").isNotNull(), F.col("_block")), ignorenulls=True).over(whole)
-    blocks = blocks.withColumn("set_at", at)
-    total = F.sum("b_flips").over(whole)
-    since = F.last(F.when(F.col("b_set").isNotNull(), F.sum("b_flips").over(
-        Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("b_flips")
-    ), ignorenulls=True)
-    blocks = blocks.withColumn("_run", F.coalesce(total, F.lit(0)))
-    blocks = blocks.withColumn("_from", F.coalesce(since.over(whole), F.lit(0)))
-    carry = blocks.select(
-        "_block",
-        F.pmod(F.coalesce("set_before", F.lit(initial)) + F.col("_run") - F.col("_from"), F.lit(2)).alias("value_in"),
-    )
-    upto = Window.partitionBy("_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    run = F.sum("_flip").over(upto)
-    local = rows.withColumn("_run", run).withColumn("_last", F.last("_set", ignorenulls=True).over(upto))
-    at_set = F.last(F.when(F.col("_set").isNotNull(), F.col("_run")), ignorenulls=True).over(upto)
-    local = local.withColumn("_at", at_set).join(carry, "_block")
-    value = F.when(
-        F.col("_last").isNotNull(), F.pmod(F.col("_last") + F.col("_run") - F.col("_at"), F.lit(2))
-    ).otherwise(F.pmod(F.col("value_in") + F.col("_run"), F.lit(2)))
-    return local.select("seq", "arg", value.cast("int").alias("value"))
+    rows = commands.select("seq", "arg", F.when(word.isin("1", "on"), 1).when(word == "off", 0).alias("_set"), F.lit(0).alias("_all"))
+    rows = rows.withColumn("_flip", F.when(F.col("_set").isNull(), 1).otherwise(0))
+    rows = running_sum(rows, ["_all"], "seq", "_flip", "_flips", span)
+    # The sequence number in front makes the maximum the last one.
+    parity = F.pmod(F.col("_set") - F.col("_flips"), F.lit(2))
+    rows = rows.withColumn("_mark", F.col("seq") * 2 + parity)
+    rows = running_max(rows, ["_all"], "seq", "_mark", "_last", span)
+    base = F.coalesce(F.pmod("_last", F.lit(2)), F.lit(initial))
+    return rows.select("seq", "arg", F.pmod(base + F.col("_flips"), F.lit(2)).cast("int").alias("value"))
 
 
 def report_lines(messages: DataFrame, n: int = 0, order: str = "seq") -> DataFrame:

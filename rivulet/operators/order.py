@@ -38,18 +38,27 @@ def row_numbers(df: DataFrame, keys: list[str], order: str, name: str = "rn", sp
     )
 
 
-def running_max(df: DataFrame, keys: list[str], order: str, value: str, name: str, span: int = SPAN) -> DataFrame:
-    """Largest ``value`` up to and including each row."""
+def _running(df: DataFrame, keys: list[str], order: str, value: str, name: str, span: int, fold, join) -> DataFrame:
     df = df.withColumn(_BLOCK, _block(order, span))
-    carry = _carried(df, keys, {"_max": F.max(value)}, {"_before": F.max("_max")})
+    carry = _carried(df, keys, {"_part": fold(value)}, {"_before": fold("_part")})
     upto = Window.partitionBy(*keys, _BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         df.join(carry, [*keys, _BLOCK])
-        .withColumn(name, F.greatest(F.max(value).over(upto), F.col("_before")))
+        .withColumn(name, join(fold(value).over(upto), F.col("_before")))
         .drop(_BLOCK, "_before")
     )
 
 
+def running_max(df: DataFrame, keys: list[str], order: str, value: str, name: str, span: int = SPAN) -> DataFrame:
+    """Largest ``value`` up to and including each row."""
+    return _running(df, keys, order, value, name, span, F.max, F.greatest)
+
+
+def running_sum(df: DataFrame, keys: list[str], order: str, value: str, name: str, span: int = SPAN) -> DataFrame:
+    """Sum of ``value`` up to and including each row."""
+    return _running(df, keys, order, value, name, span, F.sum, lambda own, before: own + F.coalesce(before, F.lit(0)))
+
+
 def trailing(df: DataFrame, keys: list[str], order: str, value: str, size: int, name: str = "window",
              span: int = SPAN) -> DataFrame:
     """Array of the last ``size`` values up to and including each row, oldest first.
@@ -78,6 +87,17 @@ def trailing(df: DataFrame, keys: list[str], order: str, value: str, size: int,
     return rows.withColumn(name, F.collect_list(value).over(frame)).where(~F.col("_old")).drop(_BLOCK, "_old")
 
 
+def paced(df: DataFrame, keys: list[str], order: str, time: str, gap: float, name: str = "send_at",
+          span: int = SPAN) -> DataFrame:
+    """Earliest send time (seconds) with at least ``gap`` between two sends of a key, in order.
+
+    send(i) = max over j <= i of (time(j) - gap * j), plus gap * i.
+    """
+    numbered = row_numbers(df, keys, order, "_rn", span).withColumn("_slack", F.col(time) - gap * F.col("_rn"))
+    held = running_max(numbered, keys, order, "_slack", "_most", span)
+    return held.withColumn(name, F.col("_most") + gap * F.col("_rn")).drop("_rn", "_slack", "_most")
+
+
 def newest(df: DataFrame, order: str, n: int) -> DataFrame:
     """The last ``n`` rows; 0 means all of them. A top-k, not a full sort."""
     return df if n == 0 else df.orderBy(F.desc(order)).limit(n)

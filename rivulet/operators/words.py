@@ -77,17 +77,24 @@ def word_entries(sets: DataFrame, threshold: float = THRESHOLD, floor: int = FLO
 
 
 def overlap_tier(rows: DataFrame, threshold: float = THRESHOLD, floor: int = FLOOR,
-                 separator: str = WORD_SEPARATOR, name: str = "words", equal_sets: bool = True) -> Tier:
+                 separator: str = WORD_SEPARATOR, name: str = "words", equal_sets: bool = True,
+                 min_later: int = 0) -> Tier:
     """Tier over ``rows (id, seq, text)``: overlap above the threshold, or equal word sets.
 
+    Texts shorter than ``min_later`` characters are compared with, but never dropped.
+
     The sets are compared as 64-bit hashes of the words, which are smaller to move
     than the words; two words of one pair collide with odds below 1e-12.
     """
     sets = hashed_sets(rows, separator)
+    long = rows.select("id", (F.length("text") >= min_later).alias("long"))
+    payload = sets.select("id", "words") if min_later == 0 else sets.select("id", "words").join(long, "id")
 
     def pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
         met = counted_candidates(later, earlier)
-        both = attach(met, sets.select("id", "words"))
+        both = attach(met, payload)
+        if min_later:
+            both = both.where("long")
         shared = F.size(F.array_intersect("words", "other_words"))
         smaller = F.least(F.size("words"), F.size("other_words"))
         scored = both.select(
