@@ -128,13 +128,13 @@ def strip_links(spark, sf):
 
 def _lexicon(spark, sf):
     words = table(spark, sf, "benchmark").select(F.explode(F.split("text", " ", -1)).alias("word")).distinct()
-    return words.where("word <> ''").select("word", F.upper("word").alias("en"))
+    return words.where("word <> ''").select("word", F.concat(F.lit("en:"), "word").alias("en"))
 
 
 _TRANSLATED = """(WITH lex AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM benchmark),
   tok AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS pos
           FROM documents)
-  SELECT doc_id, string_agg(CASE WHEN lex.word IS NOT NULL AND lex.word <> '' THEN upper(w) ELSE w END, ' ' ORDER BY pos)
+  SELECT doc_id, string_agg(CASE WHEN lex.word IS NOT NULL AND lex.word <> '' THEN 'en:' || w ELSE w END, ' ' ORDER BY pos)
     AS en_message FROM tok LEFT JOIN lex ON tok.w = lex.word GROUP BY 1)"""
 
 
@@ -144,9 +144,9 @@ def lexicon_translate(spark, sf):
     return out.select("id", F.md5("en_message").alias("en_digest"))
 
 
-@_register("enrich_distinct", "SELECT doc_id AS id, md5(upper(text)) AS digest FROM documents")
+@_register("enrich_distinct", "SELECT doc_id AS id, md5('en: ' || text) AS digest FROM documents")
 def enrich_distinct(spark, sf):
-    out = E.enrich_text(texts(spark, sf), lambda s: s.str.replace("ß", "ẞ").str.upper())
+    out = E.enrich_text(texts(spark, sf), lambda s: "en: " + s)
     return out.select("id", F.md5("en_message").alias("digest"))
 
 
