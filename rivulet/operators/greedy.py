@@ -137,30 +137,26 @@ def resolve(pairs: DataFrame, waiting: DataFrame | None = None) -> DataFrame:
     edges = settle(pairs.select("id", "other_id").distinct())
     decided: list[DataFrame] = []
     # Earlier rows that have no pair of their own and do not wait are kept.
-    sure = edges.select(F.col("other_id").alias("id")).distinct().join(edges.select("id"), "id", "left_anti")
+    fresh = edges.select(F.col("other_id").alias("id")).distinct().join(edges.select("id"), "id", "left_anti")
     if waiting is not None:
-        sure = sure.join(waiting, "id", "left_anti")
-    fresh = settle(sure.select("id", F.lit(True).alias("kept")))
-    while not edges.isEmpty():
+        fresh = fresh.join(waiting, "id", "left_anti")
+    fresh = fresh.select("id", F.lit(True).alias("kept"))
+    while True:
         known = fresh.select(F.col("id").alias("other_id"), "kept")
         judged = edges.join(known, "other_id", "left")
-        verdict = settle(
-            judged.groupBy("id").agg(
-                F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"),
-                F.count_if(F.col("kept").isNull()).alias("open"),
-            ).where(F.col("hit") | (F.col("open") == 0)).select("id", (~F.col("hit")).alias("kept"))
-        )
-        if verdict.isEmpty():
-            break
-        decided.append(verdict)
+        per_id = judged.groupBy("id").agg(
+            F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.count_if(F.col("kept").isNull()).alias("open"))
         # A judged pair is spent: its earlier row is dropped, or the id is decided.
-        edges = settle(
-            judged.where(F.col("kept").isNull()).select("id", "other_id").join(verdict, "id", "left_anti")
-        )
-        fresh = verdict
-    if not decided:
-        return fresh.limit(0)
-    return _union(decided)
+        step = settle(judged.join(per_id, "id").withColumn("done", F.col("hit") | (F.col("open") == 0)))
+        n_done, n_open = step.agg(F.count_if("done"), F.count_if(~F.col("done"))).first()
+        if not n_done:
+            break
+        fresh = step.where("done").select("id", (~F.col("hit")).alias("kept")).distinct()
+        decided.append(fresh)
+        if not n_open:
+            break
+        edges = step.where(~F.col("done") & F.col("kept").isNull()).select("id", "other_id")
+    return _union(decided) if decided else edges.select("id", F.lit(True).alias("kept")).limit(0)
 
 
 def keep_first(rows: DataFrame, tiers: list[Tier], heads: int = HEADS) -> DataFrame:
