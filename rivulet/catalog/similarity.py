@@ -80,7 +80,7 @@ def _shown(decisions):
 
 def _word_history(spark, sf):
     rows = texts(spark, sf)
-    tier = words.overlap_tier(rows)
+    (tier,) = greedy.settled([words.overlap_tier(rows)])
     return rows, tier, settle(greedy.keep_first(settle(words.keyed_rows(rows)), [tier]))
 
 
@@ -142,7 +142,7 @@ edges AS MATERIALIZED (SELECT id, other_id, 1.0::DOUBLE AS score, 'stem' AS tier
 SELECT id, other_id FROM proof""")
 def stem_dup_pairs(spark, sf):
     rows = texts(spark, sf)
-    tier = stems.stem_tier(rows)
+    (tier,) = greedy.settled([stems.stem_tier(rows)])
     decisions = settle(greedy.keep_first(settle(stems.keyed_rows(rows)), [tier]))
     return greedy.evidence(decisions, [tier]).select("id", "other_id")
 
@@ -161,14 +161,13 @@ def common_stem_group(spark, sf):
     return common.common_stem(turns, "conv_id", "turn", "text")
 
 
+# DuckDB measures bytes, Spark characters: there each non-ASCII letter becomes a sign that no text uses.
 @_register("levenshtein_pairs", """
+WITH t AS (SELECT conv_id, turn, translate(text, 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü', '!"#$%&()*+-/0123456789') AS text FROM conversations)
 SELECT a.conv_id, a.turn, CAST(levenshtein(a.text, b.text) AS INTEGER) AS distance
-FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1
-WHERE regexp_full_match(a.text, '[ -~\\n]*') AND regexp_full_match(b.text, '[ -~\\n]*')""")
+FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1""")
 def levenshtein_pairs(spark, sf):
-    # DuckDB measures bytes, Spark characters: compared on the texts where both are the same.
-    plain = F.col("text").rlike(r"\A[ -~\n]*\z")
-    turns = spread_small(table(spark, sf, "conversations").where(plain))
+    turns = spread_small(table(spark, sf, "conversations"))
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
     both = turns.join(before, ["conv_id", "turn"])
     return both.select("conv_id", "turn", F.levenshtein("text", "before").alias("distance"))
@@ -188,7 +187,7 @@ def _embeddings(spark, sf):
 
 def _vector_history(spark, sf):
     rows = _embeddings(spark, sf)
-    tier = vectors.vector_tier(rows, VECTOR_THRESHOLD)
+    (tier,) = greedy.settled([vectors.vector_tier(rows, VECTOR_THRESHOLD)])
     copies = settle(vectors.keyed_rows(rows, VECTOR_THRESHOLD))
     return rows, settle(greedy.keep_first(copies, [tier])).where("kept")
 

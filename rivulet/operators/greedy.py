@@ -234,9 +234,14 @@ def best_match(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("id").agg(best.alias("m")).select("id", "m.tier", "m.matched_id", "m.score")
 
 
+def settled(tiers: list[Tier]) -> list[Tier]:
+    """The tiers with their indexes computed once, for several uses."""
+    return [replace(t, entries=settle(t.entries)) for t in tiers]
+
+
 def suppress(rows: DataFrame, tiers: list[Tier], heads: int = HEADS) -> DataFrame:
     """``id, seq, kept, tier, matched_id, score``: the greedy decision and its evidence."""
-    tiers = [replace(t, entries=settle(t.entries)) for t in tiers]
+    tiers = settled(tiers)
     rows = settle(rows)
     decisions = settle(keep_first(rows, tiers, heads))
     why = best_match(evidence(decisions, tiers))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD_SEPARATOR, word_set
+from ..session import settle
 from .greedy import Tier, attach, counted_candidates
-from .skew import hot_keys, salt_left, salt_right
+from .skew import hot_keys, if_small, salt_left, salt_right
 
 THRESHOLD = 0.7
 FLOOR = 8
@@ -37,11 +38,15 @@ def needed(n: Column, threshold: float = THRESHOLD, floor: int = FLOOR) -> Colum
 
 
 def with_rarity(tokens: DataFrame, counts: DataFrame) -> DataFrame:
-    """``tokens (token, id, ...)`` with ``df`` from ``counts (token, df)``.
+    """``tokens (token, id, ...)`` with ``df`` from the settled table ``counts (token, df)``.
 
-    A frequent token stands in a large share of all rows; its rows are spread over
+    Few different tokens are broadcast. Otherwise both sides are shuffled; as a
+    frequent token stands in a large share of all rows, its rows are spread over
     salts, so that no task sees them all.
     """
+    hinted = if_small(counts)
+    if hinted is not counts:
+        return tokens.join(hinted, "token")
     hot = hot_keys(counts, "token", n="df")
     spread = salt_left(tokens, "token", hot, F.col("id"))
     return spread.join(salt_right(counts, "token", hot), ["token", "salt"]).drop("salt")
@@ -56,7 +61,7 @@ def word_entries(sets: DataFrame, threshold: float = THRESHOLD, floor: int = FLO
     Sets too small to reach o can only be equal, and meet under their digest.
     """
     tokens = sets.select("id", "seq", "n", F.explode("words").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    counts = settle(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
     ranked = (
         with_rarity(tokens, counts)
         .groupBy("id", "seq", "n")
