@@ -74,7 +74,7 @@ def word_entries(sets: DataFrame, threshold: float = THRESHOLD, floor: int = FLO
         F.col("t.token").alias("key"), "id", "seq", "size", hits.alias("hits"),
         (F.col("pos") < F.col("size") - overlap + hits).alias("probe"), F.lit(True).alias("base"),
     )
-    small = sets.where(F.col("n") < needed(F.col("n"), threshold, floor)).select(
+    small = sets.where((F.col("n") > 0) & (F.col("n") < needed(F.col("n"), threshold, floor))).select(
         F.xxhash64(F.lit("="), F.array_sort("words")).alias("key"), "id", "seq", F.col("n").alias("size"),
         F.lit(1).alias("hits"), F.lit(True).alias("probe"), F.lit(True).alias("base"),
     )

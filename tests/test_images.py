@@ -1,0 +1,38 @@
+import numpy as np
+
+from rivulet.functions.images import area_resize, grayscale, ssim, ssim_feature
+from rivulet.operators import greedy, images as I
+
+
+def test_feature_bounds_the_score():
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        a = rng.integers(0, 256, (8, 8)).astype(float)
+        b = np.clip(a + rng.normal(size=(8, 8)) * rng.choice([1, 10, 40]), 0, 255)
+        s = ssim(a, b)
+        if s > 0.76:  # then no window of four can have a negative bound
+            assert ssim_feature(a) @ ssim_feature(b) >= s - 1e-9
+
+
+def test_kernels():
+    img = np.arange(64, dtype=float).reshape(8, 8)
+    assert abs(ssim(img, img) - 1) < 1e-12
+    assert np.allclose(area_resize(np.kron(img, np.ones((3, 3))), 8, 8), img)
+    assert grayscale(np.full((1, 1, 3), 200.0))[0, 0] == 200
+
+
+def test_resized_copy_is_found(spark):
+    rng = np.random.default_rng(1)
+    img = np.kron(rng.integers(40, 215, (8, 8)), np.ones((4, 4))).astype(float)
+    big = np.kron(img, np.ones((2, 2)))
+    other = rng.integers(0, 256, (32, 32)).astype(float)
+    rows = [(i, i, [float(x) for x in g.ravel()], *g.shape) for i, g in enumerate([img, other, big, img])]
+    df = spark.createDataFrame(rows, "id long, seq long, gray array<double>, height int, width int")
+    out = {r.id: r for r in greedy.suppress(df.select("id", "seq"), [I.image_tier(df, screen=0.7)]).collect()}
+    assert {i: r.matched_id for i, r in out.items()} == {0: None, 1: None, 2: 0, 3: 0}
+
+
+def test_rounding_is_half_even(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(0.905,), (0.9051,), (0.9,)], "s double")
+    assert [r[0] for r in df.select(I.passes(F.col("s"))).collect()] == [False, True, False]

@@ -1,0 +1,153 @@
+import json
+
+from pyspark.sql import functions as F
+
+from rivulet.operators import control as C
+from rivulet.operators import enrich as E
+from rivulet.operators import project as P
+from rivulet.operators import select as S
+from rivulet.plans.curate import Dims, curate
+from rivulet.plans.publish import outbox, scheduled
+from rivulet.schema import Options
+from rivulet.sources import lists
+
+
+def raw(**more):
+    base = {"chat": {"id": 5, "title": "Chan"}, "chat_id": -5, "id": 1, "message": "hi", "date": "2024-01-01T00:00:00Z"}
+    return json.dumps({**base, **more})
+
+
+def test_parse_raw_messages(spark):
+    photo = {"file_name": None, "file_type": ".jpg", "media_kind": "photo", "has_stickers": True, "thumbs": ["t"], "caption": "c"}
+    values = [raw(grouped_id=9, forward={"from_name": "x", "_client": "y"}, file=photo, has_photo=True), raw(id=2), "{oops"]
+    df = spark.createDataFrame([(v,) for v in values], "value string")
+    good, plain, bad = P.parse_raw(df).collect()
+    assert (good.chat_id, good.id, good.grouped_id, good.origin.chat_title) == (-5, 1, 9, "Chan")
+    assert good.origin.forward == {"from_name": "x"} and good.date is not None
+    f = good.files[0]
+    assert f.as_image and f.has_stickers and f.thumbs is None and f.voice_note is None and f.caption == "c"
+    assert plain.files == [] and plain._corrupt is None
+    assert bad._corrupt == "{oops" and bad.id is None
+
+
+def test_album_parts_and_captions(spark):
+    rows = [(0, 7, p, f"m{p}", "f" if p == 1 else None, None if p == 2 else f"c{p}") for p in range(5)]
+    df = spark.createDataFrame(rows, "chat_id long, grouped_id long, pos long, message string, forward string, caption string")
+    whole = P.fold_albums(df).collect()
+    assert len(whole) == 1 and whole[0].captions == ["c0", "c1", "None", "c3", "c4"]
+    assert (whole[0].message, whole[0].forward, whole[0].n_files, whole[0].id) == ("m0", "f", 5, 0)
+    parts = P.fold_albums(df, part=2).orderBy("part").collect()
+    assert [r.captions for r in parts] == [["c0", "c1"], ["None", "c3"], ["c4"]] and {r.n_files for r in parts} == {5}
+
+
+def test_assembly_counts_characters(spark):
+    row = spark.range(1).select(
+        P.assemble(F.lit("p:\n"), F.lit("😀" * 1200), F.lit(None).cast("string")).alias("a"),
+        P.caption_fallback(F.array(F.lit(""), F.lit(None), F.lit("x" * 1500))).alias("c"),
+        P.split_long(F.lit("y" * 2001)).alias("s"), P.split_long(F.lit("")).alias("e"),
+        P.file_label(F.lit(""), F.lit(".ogg")).alias("l")).first()
+    assert len(row.a) == 1000 and row.a.startswith("p:\n😀")
+    assert [len(c) for c in row.c] == [1000]
+    assert [len(s) for s in row.s] == [1000, 1000, 1] and row.e == [""] and row.l == ".ogg"
+
+
+def test_outbox_is_stable_and_complete(spark):
+    kept = spark.createDataFrame(
+        [(1, 2, "K", "t", "p:", "", None), (1, 3, "K", "", "", "", "control")],
+        "chat_id long, id long, key string, message string, pre_msg string, post_msg string, target_channel string",
+    ).withColumn("captions", F.array(F.lit("one"), F.lit("")))
+    first, again = ({r.id: r for r in outbox(kept).collect()} for _ in range(2))
+    assert first[2].key == again[2].key and first[2].key.startswith("K_") and first[2].key != first[3].key
+    assert (first[2].target_channel, first[3].target_channel) == ("main", "control")
+    assert first[2].message == "p:t" and first[2].captions is None and first[3].captions == ["one"]
+    assert first[2].link_preview is True and first[2].reply_to is None
+    timed = kept.withColumn("seq", F.col("id")).withColumn("ready_at", F.lit(0.0)).withColumn("target_channel", F.lit("m"))
+    assert [r.send_at for r in scheduled(timed).orderBy("seq").collect()] == [0.0, 4.0]
+
+
+def test_blocklist_and_patterns(spark):
+    df = spark.createDataFrame([(1, "a\nb"), (2, "a b c"), (3, "BUY now"), (4, "do buy"), (5, "")], "id long, text string")
+    block = spark.createDataFrame([("a b",), ("",)], "text string")
+    assert {r.id for r in S.drop_blocklisted(df, block).collect()} == {2, 3, 4, 5}
+    patterns = spark.createDataFrame([("(?i)buy",), ("a b c|zzz",)], "pattern string")
+    assert {r.id for r in S.drop_matching(df, patterns).collect()} == {1, 4, 5}
+    many = patterns.unionByName(spark.range(S.LITERAL_PATTERNS + 1).select(F.concat(F.lit("q"), "id").alias("pattern")))
+    assert {r.id for r in S.drop_matching(df, many).collect()} == {1, 4, 5}
+    assert S.drop_matching(df, patterns.limit(0)).count() == 5
+
+
+def test_commands(spark):
+    texts = ["follow a", "FOLLOW b", "unfollow a", "join a  b c", "switch remove_to_ignore on", "switch remove_to_ignore",
+             "latest_messages 3", "latest_messages", "please follow x", "Show_Stats", "add_regex_item ^x (y)"]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq long, text string")
+    rows = C.parse_commands(df).orderBy("seq", "arg").collect()
+    assert [(r.seq, r.command, r.arg) for r in rows] == [
+        (0, "follow", "a"), (1, "follow", "b"), (2, "unfollow", "a"), (3, "join", "a"), (3, "join", "b"), (3, "join", "c"),
+        (4, "switch remove_to_ignore", " on"), (5, "switch remove_to_ignore", ""), (6, "latest_messages", " 3"),
+        (7, "latest_messages", ""), (9, "show_stats", ""), (10, "add_regex_item", "^x (y)")]
+    follows = C.follow_state(C.parse_commands(df)).collect()
+    assert {r.channel for r in follows} == {"b"}
+
+
+def test_switch_across_blocks(spark):
+    args = ["", " off", "", "", " on", "x", " 1", "", "", ""]
+    df = spark.createDataFrame(list(enumerate(args)), "seq long, arg string")
+    for span in (1, 3, 100):
+        got = [r.value for r in C.switch_state(df, span=span).orderBy("seq").collect()]
+        assert got == [0, 0, 1, 0, 1, 0, 1, 0, 1, 0]
+
+
+def test_links_and_reports(spark):
+    invited, name = C.parse_link(F.col("l"))
+    rows = spark.createDataFrame([("https://t.me/joinchat/AbC",), ("https://t.me/chan",), ("chan",)], "l string")
+    assert [tuple(r) for r in rows.select(invited, name).collect()] == [(True, "AbC"), (False, "chan"), (False, "chan")]
+    msgs = spark.createDataFrame([(1, 1, "a"), (2, 2, ""), (3, 3, "b"), (4, 4, "c")], "id long, seq long, text string")
+    assert C.render(C.report_lines(msgs, 2)).first().report == "3) b\n\n4) c"
+    assert C.report_lines(msgs, 0).count() == 3
+
+
+def test_removals_take_the_latest_publication(spark):
+    deletions = spark.createDataFrame([(5,), (6,), (9,)], "deleted_id long")
+    published = spark.createDataFrame([(5, 1, "x\ny", 1), (5, 2, "z", 2), (6, 3, "w", 1)], "new_id long, id long, text string, ts long")
+    got = {(r.new_id, r.id, r.text) for r in S.blocklist_from_removals(deletions, published).collect()}
+    assert got == {(5, 2, "z"), (6, 3, "w")}
+
+
+def test_enrichment_calls_once_per_text(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def upper(texts):
+        seen.add(len(texts))
+        return texts.str.upper()
+
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "id long, text string")
+    got = {r.id: r.en_message for r in E.enrich_text(df, upper).collect()}
+    assert got == {1: "A", 2: "A", 3: "B", 4: None} and seen.value == 2
+    lexicon = spark.createDataFrame([("shalom", "hello")], "word string, en string")
+    rows = spark.createDataFrame([(1, "shalom  you shalom")], "id long, text string")
+    assert E.lexicon_translate(rows, lexicon).first().en_message == "hello  you hello"
+
+
+def test_lists(spark, tmp_path):
+    path = str(tmp_path / "ids")
+    spark.createDataFrame([(" 12 ",), ("",), ("13",)], "value string").coalesce(1).write.text(path)
+    assert sorted(r.chat_id for r in lists.read_ids(spark, path).collect()) == [12, 13]
+    lists.append_lines(spark.createDataFrame([("x ",)], "text string"), path)
+    assert "x " in {r.text for r in lists.read_lines(spark, path).collect()}
+    assert lists.read_profiles(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_options_of_the_curation(spark):
+    rows = [(i, 1, "Chan", t, f) for i, (t, f) in enumerate([
+        ("first long message about things", False), ("first long message about things!", True), ("short", False),
+        ("short", False), ("ad text here", False), ("see https://x.y now please", False)])]
+    df = spark.createDataFrame(rows, "seq long, chat_id long, chat_title string, text string, is_forward boolean")
+    dims = Dims(patterns=spark.createDataFrame([("ad ",)], "pattern string"))
+    out = {r.seq: r for r in curate(df, dims).collect()}
+    assert {s: r.outcome for s, r in out.items()} == {0: "sent", 1: "duplicate", 2: "sent", 3: "sent", 4: "ad", 5: "sent"}
+    assert out[1].target_channel == "control" and out[1].matched_id == 0 and out[1].tier == "stem"
+    assert out[5].text == "see  now please" and out[0].pre_msg == "Chan:\n"
+    strict = Options(pass_new_forwards_to_control_channel=False, remove_ads=False, remove_regexs_from_file=False,
+                     remove_links=False, remove_duplicates=False, remove_signatures=False, add_channel_alias=False)
+    out = {r.seq: r for r in curate(df, dims, strict).collect()}
+    assert out[1].outcome == "forward" and out[4].outcome == "sent" and "https" in out[5].text and out[0].pre_msg == ""
