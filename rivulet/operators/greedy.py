@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .skew import if_small, join_skewed
+from .skew import FLOOR, if_small, join_skewed, meet_skewed
 
 HEADS = 512
 GROWTH = 16
@@ -57,7 +57,7 @@ def candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
     """``(id, other_id, other_seq)`` where the later row probes a base entry of the earlier one."""
     left = later.where("probe").select("key", "id", "seq")
     right = earlier.where("base").select("key", F.col("id").alias("other_id"), F.col("seq").alias("other_seq"))
-    met = left.join(right, (left["key"] == right["key"]) & (F.col("other_seq") < F.col("seq")))
+    met = meet_skewed(left, right, "key", "id", "other_id").where("other_seq < seq")
     return met.select("id", "other_id", "other_seq").distinct()
 
 
@@ -71,9 +71,9 @@ def counted_candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
     right = earlier.select(*[F.col(c).alias(c if c == "key" else f"other_{c}") for c in left.columns])
 
     def meet(lhs: DataFrame, rhs: DataFrame, fits: Column, hits: str) -> DataFrame:
-        on = (lhs["key"] == rhs["key"]) & (rhs["other_seq"] < lhs["seq"]) & fits
-        met = lhs.join(rhs, on).groupBy("id", "other_id", "other_seq")
-        return met.agg(F.count(F.lit(1)).alias("n"), F.max(hits).alias("hits")).where("n >= hits")
+        met = meet_skewed(lhs, rhs, "key", "id", "other_id").where((F.col("other_seq") < F.col("seq")) & fits)
+        per_pair = met.groupBy("id", "other_id", "other_seq")
+        return per_pair.agg(F.count(F.lit(1)).alias("n"), F.max(hits).alias("hits")).where("n >= hits")
 
     size, other = F.col("size"), F.col("other_size")
     own = meet(left.where("probe"), right.where("other_base"), size <= other, "hits")
@@ -111,7 +111,7 @@ def _not_ready(tiers: list[Tier], entries: list[DataFrame], heads: int) -> DataF
     late = []
     first = Window.partitionBy("key").orderBy("seq")
     for i, (tier, e) in enumerate(zip(tiers, entries)):
-        crowded = e.join(hot.where(F.col("tier") == i).select("key"), "key", "left_semi")
+        crowded = e.join(if_small(hot.where(F.col("tier") == i).select("key")), "key", "left_semi")
 
         def limit(role: str) -> DataFrame:
             head = crowded.where(role).select("key", "seq").withColumn("r", F.row_number().over(first))
@@ -119,7 +119,7 @@ def _not_ready(tiers: list[Tier], entries: list[DataFrame], heads: int) -> DataF
 
         def beyond(role: str, met: str) -> DataFrame:
             rows = crowded.where(role).select("key", "id", "seq")
-            return rows.join(limit(met), "key").where(F.col("seq") > F.col("limit_seq")).select("id")
+            return rows.join(if_small(settle(limit(met))), "key").where(F.col("seq") > F.col("limit_seq")).select("id")
 
         late.append(beyond("probe", "base"))
         if tier.symmetric:
@@ -135,6 +135,7 @@ def resolve(pairs: DataFrame, waiting: DataFrame | None = None) -> DataFrame:
     pair are not listed: they are kept. ``waiting`` are rows whose fate is open.
     """
     edges = settle(pairs.select("id", "other_id").distinct())
+    n_edges = edges.count()
     decided: list[DataFrame] = []
     # Earlier rows that have no pair of their own and do not wait are kept.
     fresh = edges.select(F.col("other_id").alias("id")).distinct().join(edges.select("id"), "id", "left_anti")
@@ -143,7 +144,9 @@ def resolve(pairs: DataFrame, waiting: DataFrame | None = None) -> DataFrame:
     fresh = fresh.select("id", F.lit(True).alias("kept"))
     while True:
         known = fresh.select(F.col("id").alias("other_id"), "kept")
-        judged = edges.join(known, "other_id", "left")
+        # One kept row can stand against very many others.
+        judged = join_skewed(edges, known, "other_id", F.col("id"), "left") if n_edges > FLOOR else edges.join(
+            known, "other_id", "left")
         per_id = judged.groupBy("id").agg(
             F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.count_if(F.col("kept").isNull()).alias("open"))
         # A judged pair is spent: its earlier row is dropped, or the id is decided.
@@ -155,6 +158,7 @@ def resolve(pairs: DataFrame, waiting: DataFrame | None = None) -> DataFrame:
         decided.append(fresh)
         if not n_open:
             break
+        n_edges = n_open
         edges = step.where(~F.col("done") & F.col("kept").isNull()).select("id", "other_id")
     return _union(decided) if decided else edges.select("id", F.lit(True).alias("kept")).limit(0)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FILE, MESSAGE, PASS_THROUGH, PUBLISH_CONSTANTS, RAW_MESSAGE, TRANSPORT_COLUMNS, Options
+from .skew import join_skewed
 
 # Files per output row of an album. Chat albums hold ten at most; a longer group
 # is cut into several rows, so no task collects an unbounded one.
@@ -78,7 +79,10 @@ def fold_albums(members: DataFrame, part: int = ALBUM_PART) -> DataFrame:
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "caption"))),
                          lambda f: F.coalesce(f["caption"].cast("string"), F.lit("None"))).alias("captions"))
     )
-    return files.join(head, key).select(
+    # One album may have very many parts.
+    together = F.struct(*key)
+    files, head = files.withColumn("_k", together), head.withColumn("_k", together).drop(*key)
+    return join_skewed(files, head, "_k", F.col("part")).select(
         *key, "part", F.col("first.pos").alias("id"), F.col("first.message").alias("message"), "forward", "n_files",
         "captions",
     )

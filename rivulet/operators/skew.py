@@ -54,3 +54,35 @@ def join_skewed(left: DataFrame, right: DataFrame, key: str, by: Column, how: st
     """
     hot = hot_keys(left.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, share=share, floor=floor)
     return salt_left(left, key, hot, by).join(salt_right(right, key, hot), [key, "salt"], how).drop("salt")
+
+
+def meet_skewed(left: DataFrame, right: DataFrame, key: str, left_by: str, right_by: str,
+                share: int = SHARE, floor: int = FLOOR) -> DataFrame:
+    """Inner join in which a key may be hot on either side.
+
+    The rows a hot key holds on one side are cut into salts, and the rows of the
+    other side are repeated once per salt: the pairs of a key are spread over a
+    grid of tasks and each pair is formed exactly once. Small inputs are joined
+    as they are.
+    """
+    if left.count() <= floor and right.count() <= floor:
+        return left.join(right, key)
+
+    def salts(side: DataFrame, name: str) -> DataFrame:
+        counts = side.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        return hot_keys(counts, key, share=share, floor=floor).withColumnRenamed("salts", name)
+
+    # At most two times SHARE keys.
+    hot = F.broadcast(salts(left, "_nl").join(salts(right, "_nr"), key, "full"))
+
+    def spread(side: DataFrame, by: str, own: str, other: str) -> DataFrame:
+        n_own, n_other = F.coalesce(f"_n{own}", F.lit(1)), F.coalesce(f"_n{other}", F.lit(1))
+        return (
+            side.join(hot, key, "left")
+            .withColumn(f"_s{own}", F.pmod(F.xxhash64(by), n_own).cast("int"))
+            .withColumn(f"_s{other}", F.explode(F.sequence(F.lit(0), n_other - 1)))
+            .drop("_nl", "_nr")
+        )
+
+    grid = [key, "_sl", "_sr"]
+    return spread(left, left_by, "l", "r").join(spread(right, right_by, "r", "l"), grid).drop("_sl", "_sr")

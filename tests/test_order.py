@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rivulet.operators import order as O
-from rivulet.operators.skew import join_skewed
+from rivulet.operators.skew import join_skewed, meet_skewed
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +48,11 @@ def test_salted_join_equals_join(spark, rows, how):
     got = join_skewed(rows, right, "k", F.col("seq"), how, share=3, floor=2)
     want = rows.join(right, "k", how)
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_grid_join_forms_each_pair_once(spark, rows):
+    left = rows.select("k", F.col("seq").alias("a"))
+    right = rows.where("seq % 2 = 0").select("k", F.col("seq").alias("b"))
+    got = meet_skewed(left, right, "k", "a", "b", share=3, floor=5).select("k", "a", "b")
+    want = left.join(right, "k").select("k", "a", "b")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
