@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Bits of the filter that is sent to the executors: 2 MB, whatever the data size.
@@ -45,9 +45,8 @@ def hash_filter(hashes: DataFrame, column: str, bits: int = FILTER_BITS) -> np.n
 
     It lets through every hash of the table and, by chance, some others: what passes is joined exactly.
     """
-    slot = F.pmod(F.col(column), F.lit(bits))
     words = hashes.groupBy(F.expr(f"pmod({column}, {bits}) div 64").alias("w")).agg(
-        F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))).alias("b"))
+        F.expr(f"bit_or(shiftleft(1L, cast(pmod({column}, 64) as int)))").alias("b"))
     table = np.zeros(bits // 64, np.int64)
     got = words.toPandas()  # at most bits / 64 rows
     table[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
@@ -60,11 +59,10 @@ def passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) != 0
 
 
-def clear_of(docs: DataFrame, *names: str) -> DataFrame:
-    """Drop columns that would clash with those an operator is about to add."""
-    return docs.drop(*names)
+# Rows of a written table that may be sent to every executor: some MB of keys.
+BROADCAST_ROWS = 500_000
 
 
-def broadcast_value(spark: SparkSession, value):
-    """Ship one bounded value to every executor once."""
-    return spark.sparkContext.broadcast(value)
+def small(df: DataFrame) -> DataFrame:
+    """Hint a broadcast for a written table below the bound; beyond it the join shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
