@@ -74,6 +74,10 @@ def located(text: Column, pattern: str) -> Column:
     return F.when(F.size(found) > 0, F.aggregate(pairs, begin, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<start:int,end:int,v:string>>"))
 
 
+def luhn(number: Column) -> Column:
+    return F.call_function("luhn_check", number)
+
+
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -83,12 +87,20 @@ def valid(kind: str, value: Column) -> Column:
     if kind == "ip":
         return F.forall(F.split(value, r"\."), lambda part: part.rlike("^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})$"))
     if kind == "card":
-        return F.luhn_check(digits(value))
+        return luhn(digits(value))
     if kind == "phone":
         return F.length(digits(value)).between(9, 15)
     return F.lit(True)
 
 
+def _valid_span(kind: str):
+    return lambda s: valid(kind, s["v"])
+
+
+def _named(kind: str):
+    return lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+
+
 def with_base(docs: DataFrame, text: Column) -> DataFrame:
     """Add ``_text`` and, per fixed format, the array ``_<kind>`` of its valid spans."""
     none = F.array().cast("array<struct<start:int,end:int,v:string>>")
@@ -97,7 +109,7 @@ def with_base(docs: DataFrame, text: Column) -> DataFrame:
     for kind, pattern in BASE.items():
         out = out.withColumn(f"_{kind}", F.when(gate.get(kind, F.lit(True)) & (F.col("_digits") | F.lit(kind == "email")), located(F.col("_text"), pattern)).otherwise(none))
         if kind != "email":
-            out = out.withColumn(f"_{kind}", F.filter(f"_{kind}", lambda s, k=kind: valid(k, s["v"])))
+            out = out.withColumn(f"_{kind}", F.filter(f"_{kind}", _valid_span(kind)))
     return out
 
 
@@ -109,9 +121,9 @@ def features(text: Column, number: int, span: Column) -> Column:
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     four = F.regexp_count(v, F.lit("[0-9]+")) == 4
     values = [
-        F.lit(float(number)), F.length(v), F.length(number_of), F.length(F.regexp_replace(v, r"[^\p{L}]", "")),
+        F.lit(number), F.length(v), F.length(number_of), F.length(F.regexp_replace(v, r"[^\p{L}]", "")),
         F.length(F.regexp_replace(v, r"[^ ().:-]", "")), flag(v.rlike(r"^[+(]")),
-        flag(F.length(number_of).between(13, 19) & F.luhn_check(number_of)), flag(four & F.contains(v, F.lit("."))),
+        flag(F.length(number_of).between(13, 19) & luhn(number_of)), flag(four & F.contains(v, F.lit("."))),
         flag(before.rlike(r"[\p{L}\p{N}.,$€£]$")), flag(after.rlike(r"[\p{L}\p{N}]")),
         *[flag(before.rlike(w)) for w in WORDS.values()],
         F.regexp_count(v, F.lit("[0-9]+")), F.regexp_count(v, F.lit(r"\.")), flag(v.rlike(r"@|\(at\)|\[at\]")),
@@ -123,11 +135,14 @@ def candidates(text: Column) -> Column:
     """All candidates of all generators, with their features."""
     parts = []
     for number, (name, pattern) in enumerate(GENERATORS.items()):
-        parts.append(F.transform(located(text, pattern), lambda s, k=number, n=name: F.struct(
-            F.lit(n).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), features(text, k, s).alias("x"))))
+        parts.append(F.transform(located(text, pattern), _described(text, number, name)))
     return F.concat(*parts)
 
 
+def _described(text: Column, number: int, name: str):
+    return lambda s: F.struct(F.lit(name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), features(text, number, s).alias("x"))
+
+
 def labelled(spark: SparkSession, rows: int = SAMPLE) -> DataFrame:
     """The labelled sample: candidates of generated sentences. It is the same at every call."""
     pattern = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(y).alias("y")) for a, b, y in PATTERNS])
@@ -138,7 +153,7 @@ def labelled(spark: SparkSession, rows: int = SAMPLE) -> DataFrame:
     made = picked.withColumn("v", value).withColumn("text", F.concat(
         F.get(filler, F.pmod(F.xxhash64("id"), F.lit(6)).cast("int")), F.lit(". "), "p.a", "v", F.lit(" "),
         F.get(filler, F.pmod(F.xxhash64("id", F.lit(1)), F.lit(6)).cast("int"))))
-    label = F.when(F.col("p.y") == "L", F.luhn_check(digits(F.col("v"))).cast("double")).otherwise(F.col("p.y").cast("double"))
+    label = F.when(F.col("p.y") == "L", luhn(digits(F.col("v"))).cast("double")).otherwise(F.col("p.y").cast("double"))
     return made.select("id", label.alias("label"), F.explode(candidates(F.col("text"))).alias("c")).select("id", "label", "c.kind", "c.x.*")
 
 
@@ -199,7 +214,7 @@ def scan(docs: DataFrame, model: Model | None, text: str = "text", into: str = "
     spans; other columns pass through, one named ``into`` is replaced.
     """
     out = with_base(docs, F.col(text))
-    named = [F.transform(f"_{k}", lambda s, k=k: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))) for k in BASE]
+    named = [F.transform(f"_{k}", _named(k)) for k in BASE]
     out = out.withColumn("_base", F.concat(*named))
     if model is None:
         out = out.withColumn(into, F.col("_base"))
