@@ -35,7 +35,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every remaining text, with a check that they decode to it."""
-    out = bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY)
+    out = bpe.encode(docs, VOCABULARY, decoded="decoded")
     exact = F.col("decoded") == F.coalesce("text", F.lit(""))
     return out.withColumns({"n_tokens": F.size("ids").cast("long"), "exact": exact}).drop("decoded")
 

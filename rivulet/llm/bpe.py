@@ -10,8 +10,10 @@ The merge list is never replayed over the text.
 
 from __future__ import annotations
 
+import gc
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import ahocorasick
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 # How the byte-level vocabulary cuts a text into pieces.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Pieces and pairs a worker remembers, and the longest piece worth remembering.
-MEMORY, LONGEST = 400_000, 48
+MEMORY, LONGEST = 250_000, 48
+# Texts encoded at a time.
+SLICE = 256
 
 
 def byte_names() -> dict[str, int]:
@@ -163,20 +167,38 @@ def _shipped(docs: DataFrame, path: str):
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
+@contextmanager
+def no_collector() -> Iterator[None]:
+    """Nothing here makes reference cycles, and the collector would walk the remembered pieces again and again."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids", decoded: str | None = None) -> DataFrame:
     """Add ``into``, the token ids of the whole text, as the tokenizer of the file gives them.
 
-    A null or empty text gives no ids. Other columns pass through; a column named ``into`` is replaced.
+    A null or empty text gives no ids. With ``decoded`` the text that these ids decode to is added as well. Other
+    columns pass through; columns with the names of the results are replaced.
     """
     file = _shipped(docs, path)
+    kind = pa.struct([("ids", pa.list_(pa.int32())), ("back", pa.string())])
 
-    @F.arrow_udf("array<int>")
-    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf("struct<ids:array<int>,back:string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = codec(file.value, path)
-        for texts in batches:
-            yield pa.array([coder.encode(t) if t else [] for t in texts.to_pylist()], pa.list_(pa.int32()))
+        with no_collector():
+            for texts in batches:
+                for at in range(0, len(texts), SLICE):  # few lists of ids at a time
+                    ids = [coder.encode(t) if t else [] for t in texts.slice(at, SLICE).to_pylist()]
+                    back = [coder.decode(x) for x in ids] if decoded else [None] * len(ids)
+                    yield pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], fields=list(kind))
 
-    return docs.withColumn(into, ids(F.col(text)))
+    both = F.col(into)
+    results = {decoded: both["back"], into: both["ids"]} if decoded else {into: both["ids"]}
+    return docs.withColumn(into, run(F.col(text))).withColumns(results)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -187,14 +209,15 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
     def back(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = codec(file.value, path)
         for lists in batches:
-            yield pa.array([coder.decode(x) if x else "" for x in lists.to_pylist()], pa.string())
+            for at in range(0, len(lists), SLICE):
+                yield pa.array([coder.decode(x) if x else "" for x in lists.slice(at, SLICE).to_pylist()], pa.string())
 
     return docs.withColumn(into, back(F.col(ids)))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Per row of ``documents``: doc_id, number of ids, and digests of the ids and of the decoded text."""
-    out = decode(encode(docs.select("doc_id", "text"), path), path)
+    out = encode(docs.select("doc_id", "text"), path, decoded="decoded")
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
