@@ -35,6 +35,17 @@ def with_key(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFra
     })
 
 
+def packed(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """The key, the text as ``_text``, and the whole row as ``_doc``, so that no name of the row can clash."""
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), F.col(id).alias("doc_id"), F.col(text).alias("_text"))
+    return with_key(rows, "_text").drop("doc_id")
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of :func:`packed` with the columns of ``docs`` again."""
+    return rows.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
+
+
 def original_id(key: str = "_id") -> Column:
     """The document's id out of the key."""
     return F.when(F.col(key) != F.lit(-(2**63)), F.col(key))

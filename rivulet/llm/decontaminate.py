@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from ..session import settle
-from .common import hash_filter, mix, original_id, passes, with_key
+from .common import hash_filter, mix, original_id, packed, passes, unpacked, with_key
 
 # Tokens of a window, and how many of them must be no placeholders.
 WINDOW, LITERALS = 8, 4
@@ -208,7 +208,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, text
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark item was found, columns as they came."""
     leaks = find_leaks(docs, benchmark).select("_id", "_th").distinct()
-    return with_key(docs).join(leaks, ["_id", "_th"], "left_anti").select(*docs.columns)
+    return unpacked(packed(docs).join(leaks, ["_id", "_th"], "left_anti"), docs)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from ..session import settle
-from .common import hash_filter, mix, original_id, passes, small, with_key
+from .common import hash_filter, mix, original_id, packed, passes, small, unpacked, with_key
 from .components import components
 from .sentence_spans import in_groups
 
@@ -370,4 +370,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group, columns as they came; rows that are repeated whole are one group."""
     kept = settle(similar_classes(docs).where("first").select("_id", "_th"))
-    return with_key(docs).join(small(kept), ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select(*docs.columns)
+    return unpacked(packed(docs).join(small(kept), ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]), docs)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import small, with_key
+from .common import packed, small, unpacked, with_key
 
 # A line is common in more than so many documents of the host, and more than this share of them.
 LEAST, SHARE = 20, 0.02
@@ -63,14 +63,14 @@ def measured(docs: DataFrame, text: str, id: str, host: str) -> DataFrame:
     """One narrow row per document, written once: key, host, measures, and hash and words of every line."""
     line = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: F.struct(
         line_hash(x).alias("h"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("w")))
-    narrow = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), host_key(host).alias("_host"))
+    narrow = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), host_key(F.col(host)).alias("_host"))
     rows = with_measures(with_key(narrow)).withColumn("lines", F.filter(line, lambda x: x["h"].isNotNull()))
     return settle(rows.drop("text").withColumn("row", F.monotonically_increasing_id()))
 
 
-def host_key(host: str) -> Column:
+def host_key(host: Column) -> Column:
     """The host, with documents without one in a group of their own."""
-    return F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("-"))
+    return F.coalesce(F.concat(F.lit("="), host), F.lit("-"))
 
 
 def common_lines(rows: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
@@ -109,9 +109,11 @@ def verdicts(docs: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, text: str = "text", id: str = "doc_id", host: str = "source") -> DataFrame:
     """The kept documents without their common lines; columns as they came, ``n_chars`` counted anew if there is one."""
     kept = settle(judged(docs, text, id, host).where("kept").groupBy("_id", "_th", "_host").agg(F.first("bad").alias("_bad")))
-    met = with_key(docs, text, id).withColumn("_host", host_key(host)).join(small(kept), ["_id", "_th", "_host"])
-    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~F.coalesce(F.array_contains("_bad", line_hash(x)), F.lit(False))), "\n")
-    out = met.withColumn(text, F.when(F.col("_bad").isNull(), F.col(text)).otherwise(left))
+    rows = packed(docs, text, id).withColumn("_host", host_key(F.col("_doc")[host]))
+    lines = F.filter(F.split("_text", "\n"), lambda x: ~F.coalesce(F.array_contains("_bad", line_hash(x)), F.lit(False)))
+    left = F.when(F.col("_bad").isNull(), F.col("_text")).otherwise(F.array_join(lines, "\n"))
+    out = rows.join(small(kept), ["_id", "_th", "_host"]).withColumn("_doc", F.col("_doc").withField(text, left))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_bad").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        counted = F.length(F.col("_doc")[text]).cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("_doc", F.col("_doc").withField("n_chars", F.when(F.col("_bad").isNull(), F.col("_doc.n_chars")).otherwise(counted)))
+    return unpacked(out, docs)

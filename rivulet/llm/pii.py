@@ -213,19 +213,20 @@ def scan(docs: DataFrame, model: Model | None, text: str = "text", into: str = "
     Proposed stretches that touch a fixed span are dropped: those stay as they are. A null or empty text has no
     spans; other columns pass through, one named ``into`` is replaced.
     """
-    out = with_base(docs, F.col(text))
+    others = [c for c in docs.columns if c != into]
+    out = with_base(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc")), F.col("_doc")[text])
     named = [F.transform(f"_{k}", _named(k)) for k in BASE]
     out = out.withColumn("_base", F.concat(*named))
     if model is None:
-        out = out.withColumn(into, F.col("_base"))
+        out = out.withColumn("_found", F.col("_base"))
     else:
         none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
         out = out.withColumn("_c", F.when(F.col("_digits") | F.col("_text").rlike(r"@|\((?:at)\)|\[at\]"), candidates(F.col("_text"))))
         more = F.transform(
             F.filter("_c", lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])) & model.accepts(c)),
             lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-        out = out.withColumn(into, F.concat("_base", F.coalesce(more, none))).drop("_c")
-    return out.drop("_text", "_digits", "_base", *[f"_{k}" for k in BASE])
+        out = out.withColumn("_found", F.concat("_base", F.coalesce(more, none)))
+    return out.select(*[F.col("_doc")[c].alias(c) for c in others], F.col("_found").alias(into))
 
 
 def redact(docs: DataFrame, spans: str = "pii", text: str = "text") -> DataFrame:

@@ -160,8 +160,8 @@ def judge(pages: DataFrame, sites: list[Rule], lists: list[Rule], url: str = "ur
             yield pa.StructArray.from_arrays([pa.array(names[pick], pa.string()), pa.array(verdicts[pick], pa.string())], ["rule", "verdict"])
 
     host, path = host_and_path(F.col(url))
-    out = pages.withColumns({"host": host, "path": path}).withColumn("_fit", fit(F.concat("host", "path")))
-    return out.withColumns({"rule": F.col("_fit.rule"), "verdict": F.col("_fit.verdict")}).drop("_fit")
+    out = pages.withColumns({"host": host, "path": path}).withColumn("verdict", fit(F.concat("host", "path")))
+    return out.withColumns({"rule": F.col("verdict.rule"), "verdict": F.col("verdict.verdict")})
 
 
 def verdicts(pages: DataFrame) -> DataFrame:
