@@ -84,22 +84,24 @@ def redact_payload(spark, sf):
 
 
 @_register("album_fold", """
-WITH m AS (SELECT conv_id, turn, text, CASE WHEN role = 'assistant' THEN role || turn END AS forward FROM conversations),
-head AS (SELECT conv_id, arg_min(text, turn) AS message, min(turn) AS id,
-           arg_max(forward, turn) FILTER (forward IS NOT NULL) AS forward, count(*) AS n_files FROM m GROUP BY 1)
-SELECT m.conv_id AS grouped_id, m.turn // 100 AS part, h.id, h.message, h.forward, h.n_files,
-  string_agg(m.text, '|' ORDER BY m.turn) AS captions
-FROM m JOIN head h USING (conv_id) GROUP BY ALL""")
+WITH m AS (SELECT conv_id, turn * 37 AS pos, text, CASE WHEN role = 'assistant' THEN role || turn END AS forward FROM conversations)
+SELECT conv_id AS grouped_id, min(pos) AS id, arg_min(text, pos) AS message,
+  arg_max(forward, pos) FILTER (forward IS NOT NULL) AS forward, count(*) AS n_files FROM m GROUP BY 1""")
 def album_fold(spark, sf):
-    folded = P.fold_albums(_members(spark, sf))
-    return folded.select("grouped_id", "part", "id", "message", "forward", "n_files",
-                         F.array_join("captions", "|").alias("captions"))
+    return P.fold_albums(_members(spark, sf)).select("grouped_id", "id", "message", "forward", "n_files")
+
+
+@_register("album_files", """
+SELECT conv_id AS grouped_id, turn * 37 AS pos, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS file_pos,
+  coalesce(text, 'None') AS caption FROM conversations""")
+def album_files(spark, sf):
+    return P.album_files(_members(spark, sf)).select("grouped_id", "pos", "file_pos", "caption")
 
 
 def _members(spark, sf):
     forward = F.when(F.col("role") == "assistant", F.concat("role", "turn"))
     return table(spark, sf, "conversations").select(
-        F.lit(0).alias("chat_id"), F.col("conv_id").alias("grouped_id"), F.col("turn").alias("pos"),
+        F.lit(0).alias("chat_id"), F.col("conv_id").alias("grouped_id"), (F.col("turn") * 37).alias("pos"),
         F.col("text").alias("message"), forward.alias("forward"), F.col("text").alias("caption"))
 
 
@@ -173,12 +175,10 @@ def assemble_message(spark, sf):
 
 
 @_register("caption_fallback", """
-SELECT conv_id AS grouped_id, turn // 100 AS part, string_agg(left(text, 1000), '|' ORDER BY turn) AS captions
-FROM conversations WHERE text <> '' GROUP BY ALL HAVING count(*) > 1""")
+SELECT conv_id AS grouped_id, turn * 37 AS pos, left(text, 1000) AS caption FROM conversations
+WHERE text <> '' AND conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*) > 1)""")
 def caption_fallback(spark, sf):
-    folded = P.fold_albums(_members(spark, sf))
-    shown = P.caption_fallback(F.col("captions"))
-    return folded.where(F.size(shown) > 1).select("grouped_id", "part", F.array_join(shown, "|").alias("captions"))
+    return P.album_captions(_members(spark, sf)).select("grouped_id", "pos", "caption")
 
 
 @_register("file_label", r"""
@@ -188,7 +188,7 @@ def file_label(spark, sf):
     return table(spark, sf, "pages").select(F.col("page_id").alias("id"), P.file_label(name, F.lit(".html")).alias("label"))
 
 
-_KEY = "'MESSAGE_' || (CAST('0x' || left(md5(chat_id || '/' || id), 8) AS BIGINT) % 1000000)"
+_KEY = "'MESSAGE_' || md5(chat_id || '/' || id)"
 
 
 @_register("outbox_key", f"SELECT id, {_KEY} AS key FROM {DOCS}")

@@ -105,7 +105,7 @@ _WORD_TOP = f"""{_WORDS_KEPT}, ranked AS (SELECT id, other_id, round(score, 6) A
   WHERE score > 0.5 AND other_id NOT IN (SELECT id FROM lost))"""
 
 
-def _word_matches(spark, sf, floor: float = 0.5):
+def _word_matches(spark, sf, floor: float = Options().overlap_report_floor):
     """Overlap above ``floor`` of every message with the earlier kept ones."""
     rows, _, decisions = _word_history(spark, sf)
     wide = words.overlap_tier(rows, threshold=floor, equal_sets=False)
@@ -205,7 +205,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other_id
 SELECT id, other_id, round(score, 6) AS score FROM r WHERE rank = 1""")
 def embedding_top1(spark, sf):
     rows, history = _vector_history(spark, sf)
-    top = vectors.nearest(rows, history, k=1, floor=0.2, earlier_only=True)
+    top = vectors.nearest(rows, history, k=1, floor=Options().embedding_report_floor, earlier_only=True)
     return top.select("id", "other_id", F.round("score", 6).alias("score"))
 
 

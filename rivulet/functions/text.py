@@ -49,6 +49,17 @@ def common_prefix_stem(first: Column, others: Column, min_len: int = 5) -> Colum
     return F.when((F.length(first) >= min_len) & found(F.lit(min_len)), F.left(first, longest)).otherwise("")
 
 
+def common_corner_stem(first: Column, others: Column, min_len: int = 5, corner_mode: str = "prefix") -> Column:
+    """The longest prefix of ``first`` found in all ``others``; with ``both`` the longest suffix too, which wins ties."""
+    prefix = common_prefix_stem(first, others, min_len)
+    if corner_mode == "prefix":
+        return prefix
+    if corner_mode != "both":
+        raise ValueError(f"unknown corner mode {corner_mode}")
+    suffix = F.reverse(common_prefix_stem(F.reverse(first), F.transform(others, F.reverse), min_len))
+    return F.when(F.length(prefix) > F.length(suffix), prefix).otherwise(suffix)
+
+
 def stem_window(length: Column) -> Column:
     """Shortest run that is strictly longer than 0.8 of ``length``."""
     return F.floor(length * 4 / 5).cast("int") + 1

@@ -43,7 +43,7 @@ def parse_commands(texts: DataFrame, text: str = "text") -> DataFrame:
 
 def parse_link(link: Column) -> tuple[Column, Column]:
     """Whether a channel link is an invitation, and its name or hash."""
-    pattern = r"\Ahttps://t.me/(joinchat/)?(.*)"
+    pattern = r"\Ahttps://t.me/(joinchat/)?(.*)"  # fixed value
     is_link = link.rlike(pattern)
     invited = is_link & (F.regexp_extract(link, pattern, 1) != "")
     return invited, F.when(is_link, F.regexp_extract(link, pattern, 2)).otherwise(link)
@@ -93,3 +93,10 @@ def render(lines: DataFrame, separator: str = "\n\n", order: str = "seq") -> Dat
     """One text of a bounded number of lines."""
     ordered = F.array_sort(F.collect_list(F.struct(order, "line")))
     return lines.agg(F.array_join(F.transform(ordered, lambda s: s["line"]), separator).alias("report"))
+
+
+def render_stats(stats: DataFrame, key: str = "outcome", value: str = "n") -> DataFrame:
+    """The counters as one text, a line for each; there are as many as outcomes."""
+    line = F.format_string("%s: %d", F.col(key), F.col(value))
+    return render(stats.select(F.col(key).alias("seq"), line.alias("line")), "\n").select(
+        F.concat(F.lit("Stats:\n"), F.col("report")).alias("report"))

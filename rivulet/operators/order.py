@@ -1,52 +1,54 @@
 """Ordered operators in two levels: inside bounded blocks, then over block summaries.
 
-A plain window puts all rows of a key into one task. Here the order column (an
-integer, unique within a key) is cut into spans; a block ``(key, span)`` holds at
-most ``span`` rows. Only one summary row per block goes through the window over
-the whole key.
+A plain window puts all rows of a key into one task. Here the rows are dealt by
+ranges of key and order, so that a block ``(key, range)`` holds about ``span``
+rows wherever the values of the order column lie. Only one summary row per block
+goes through the window over the whole key. A null key is a key like any other.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 SPAN = 1_000_000
 _BLOCK = "_block"
 
 
-def _block(order: str, span: int) -> Column:
-    return F.floor(F.col(order) / F.lit(span))
+def _blocked(df: DataFrame, keys: list[str], order: str, span: int) -> DataFrame:
+    """Add the block of each row: the range it was dealt to, written so that every later step sees the same."""
+    ranges = -(-df.count() // span)
+    if ranges <= 1:
+        return df.withColumn(_BLOCK, F.lit(0))
+    return settle(df.repartitionByRange(ranges, *keys, order).withColumn(_BLOCK, F.spark_partition_id()))
 
 
 def _carried(df: DataFrame, keys: list[str], summaries: dict[str, Column], carries: dict[str, Column]) -> DataFrame:
-    """Per block, what all earlier blocks of the same key hand over."""
+    """Each row with what all earlier blocks of the same key hand over."""
     per_block = df.groupBy(*keys, _BLOCK).agg(*[c.alias(n) for n, c in summaries.items()])
     before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    return per_block.select(*keys, _BLOCK, *[c.over(before).alias(n) for n, c in carries.items()])
+    carry = per_block.select(*[F.col(k).alias(f"_of_{k}") for k in [*keys, _BLOCK]], *[c.over(before).alias(n) for n, c in carries.items()])
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in [*keys, _BLOCK]])
+    return df.join(carry, same).drop(*[f"_of_{k}" for k in [*keys, _BLOCK]])
 
 
 def row_numbers(df: DataFrame, keys: list[str], order: str, name: str = "rn", span: int = SPAN) -> DataFrame:
     """1-based position of each row within its key."""
-    df = df.withColumn(_BLOCK, _block(order, span))
-    carry = _carried(df, keys, {"_n": F.count(F.lit(1))}, {"_before": F.sum("_n")})
+    df = _blocked(df, keys, order, span)
     local = F.row_number().over(Window.partitionBy(*keys, _BLOCK).orderBy(order))
-    return (
-        df.join(carry, [*keys, _BLOCK])
-        .withColumn(name, local + F.coalesce("_before", F.lit(0)))
-        .drop(_BLOCK, "_before")
-    )
+    met = _carried(df, keys, {"_n": F.count(F.lit(1))}, {"_before": F.sum("_n")})
+    return met.withColumn(name, local + F.coalesce("_before", F.lit(0))).drop(_BLOCK, "_before")
 
 
 def _running(df: DataFrame, keys: list[str], order: str, value: str, name: str, span: int, fold, join) -> DataFrame:
-    df = df.withColumn(_BLOCK, _block(order, span))
-    carry = _carried(df, keys, {"_part": fold(value)}, {"_before": fold("_part")})
+    df = _blocked(df, keys, order, span)
     upto = Window.partitionBy(*keys, _BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        df.join(carry, [*keys, _BLOCK])
-        .withColumn(name, join(fold(value).over(upto), F.col("_before")))
-        .drop(_BLOCK, "_before")
-    )
+    met = _carried(df, keys, {"_part": fold(value)}, {"_before": fold("_part")})
+    return met.withColumn(name, join(fold(value).over(upto), F.col("_before"))).drop(_BLOCK, "_before")
 
 
 def running_max(df: DataFrame, keys: list[str], order: str, value: str, name: str, span: int = SPAN) -> DataFrame:
@@ -66,7 +68,7 @@ def trailing(df: DataFrame, keys: list[str], order: str, value: str, size: int,
     Each block receives the last ``size - 1`` rows of the blocks before it; a
     block is never empty, so that many preceding blocks are enough.
     """
-    df = df.withColumn(_BLOCK, _block(order, span))
+    df = _blocked(df, keys, order, span)
     newest = Window.partitionBy(*keys, _BLOCK).orderBy(F.desc(order))
     tails = (
         df.select(*keys, _BLOCK, order, value)

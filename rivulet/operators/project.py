@@ -5,14 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import FILE, MESSAGE, PASS_THROUGH, PUBLISH_CONSTANTS, RAW_MESSAGE, TRANSPORT_COLUMNS, Options
+from ..schema import FILE, MESSAGE, PASS_THROUGH, PUBLISH_CONSTANTS, PUBLISH_SWITCHES, RAW_MESSAGE, TRANSPORT_COLUMNS, Options
+from .order import row_numbers
 from .skew import join_skewed
 
-# Files per output row of an album. Chat albums hold ten at most; a longer group
-# is cut into several rows, so no task collects an unbounded one.
-ALBUM_PART = 100
-
-
 def visible(attributes: Column) -> Column:
     """Entries of a map whose key does not start with an underscore."""
     return F.map_filter(attributes, lambda k, _: ~k.startswith("_"))
@@ -61,31 +57,32 @@ def parse_raw(records: DataFrame, value: str = "value") -> DataFrame:
     return df.select(*[c for c in records.columns if c != value], *columns, "_corrupt")
 
 
-def fold_albums(members: DataFrame, part: int = ALBUM_PART) -> DataFrame:
-    """One message per album: scalars of the first member, files of all in order, the last forward header.
+def fold_albums(members: DataFrame) -> DataFrame:
+    """One message per album: scalars of the first member, the last forward header, the number of files.
 
-    ``members``: ``chat_id, grouped_id, pos, message, forward, caption``. Scalars
-    are combined on the map side; files are collected per ``part`` positions.
+    ``members``: ``chat_id, grouped_id, pos, message, forward, caption``. Everything is
+    combined on the map side; the files of an album are rows of their own, see ``album_files``.
     """
-    key = ["chat_id", "grouped_id"]
-    head = members.groupBy(*key).agg(
+    return members.groupBy("chat_id", "grouped_id").agg(
         F.min_by(F.struct("pos", "message"), "pos").alias("first"),
         F.max_by("forward", F.when(F.col("forward").isNotNull(), F.col("pos"))).alias("forward"),
         F.count(F.lit(1)).alias("n_files"),
-    )
-    files = (
-        members.withColumn("part", F.floor(F.col("pos") / part))
-        .groupBy(*key, "part")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "caption"))),
-                         lambda f: F.coalesce(f["caption"].cast("string"), F.lit("None"))).alias("captions"))
-    )
-    # One album may have very many parts.
-    together = F.struct(*key)
-    files, head = files.withColumn("_k", together), head.withColumn("_k", together).drop(*key)
-    return join_skewed(files, head, "_k", F.col("part")).select(
-        *key, "part", F.col("first.pos").alias("id"), F.col("first.message").alias("message"), "forward", "n_files",
-        "captions",
-    )
+    ).select("chat_id", "grouped_id", F.col("first.pos").alias("id"), F.col("first.message").alias("message"), "forward", "n_files")
+
+
+def album_files(members: DataFrame) -> DataFrame:
+    """The files of all albums in order: ``file_pos`` from 0 within the album, and the caption as text."""
+    numbered = row_numbers(members.select("chat_id", "grouped_id", "pos", "caption"), ["chat_id", "grouped_id"], "pos", "_n")
+    return numbered.select("chat_id", "grouped_id", (F.col("_n") - 1).cast("long").alias("file_pos"), "pos",
+                           F.coalesce(F.col("caption").cast("string"), F.lit("None")).alias("caption"))
+
+
+def album_captions(members: DataFrame, cap: int = 1000) -> DataFrame:
+    """The captions that are sent in place of an empty text: the filled ones, each cut, of albums with several files."""
+    several = fold_albums(members).where("n_files > 1").select("chat_id", "grouped_id")
+    filled = members.where("caption <> ''")
+    met = join_skewed(filled.withColumn("_k", F.struct("chat_id", "grouped_id")), several.select(F.struct("chat_id", "grouped_id").alias("_k")), "_k", F.col("pos"))
+    return met.select("chat_id", "grouped_id", "pos", F.left("caption", F.lit(cap)).alias("caption"))
 
 
 def redact(files: Column) -> Column:
@@ -113,9 +110,10 @@ def caption_fallback(captions: Column, cap: int = 1000) -> Column:
 
 
 def outbox_key(key: Column, *identity: Column) -> Column:
-    """Key of the published record: a stable six-digit suffix, so that a replay writes the same key."""
-    digest = F.conv(F.left(F.md5(F.concat_ws("/", *[c.cast("string") for c in identity])), F.lit(8)), 16, 10)
-    return F.concat_ws("_", key, (digest.cast("long") % 1000000).cast("string"))
+    """Key of the published record: a digest of the whole identity, so that a replay writes the same key and no two
+    messages share one."""
+    named = F.concat_ws("/", *[F.coalesce(c.cast("string"), F.lit("")) for c in identity])
+    return F.concat_ws("_", key, F.md5(named))
 
 
 def drop_transport(records: DataFrame) -> DataFrame:
@@ -127,7 +125,7 @@ def with_publish_options(messages: DataFrame, options: Options = Options()) -> D
     out = messages
     for name, value in PUBLISH_CONSTANTS.items():
         if name not in out.columns:
-            kind = "boolean" if isinstance(value, bool) else "string"
+            kind = "boolean" if isinstance(value, bool) or name in PUBLISH_SWITCHES else "string"
             out = out.withColumn(name, F.lit(value).cast(kind))
     target = F.col("target_channel") if "target_channel" in out.columns else F.lit(None).cast("string")
     return out.withColumn("target_channel", F.coalesce(target, F.lit(options.default_channel)))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import one_line
 from .skew import BROADCAST_ROWS, if_small, join_skewed
 
-# Up to this many ad patterns are joined into one literal expression.
-LITERAL_PATTERNS = 2000
+# Patterns tested by one filter; a longer list takes several filters one after the other.
+PATTERNS_PER_FILTER = 200
 
 
 def followed(messages: DataFrame, channels: DataFrame, key: str = "chat_id") -> DataFrame:
@@ -40,18 +40,16 @@ def drop_blocklisted(messages: DataFrame, blocklist: DataFrame, text: str = "tex
 def drop_matching(messages: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
     """Drop messages that match any ``pattern`` from their first character on.
 
-    The list is typed in by administrators. A short one becomes one expression,
-    evaluated while scanning; a longer one is a broadcast join on the match.
+    The list is typed in by administrators. Every pattern is an expression of its
+    own, so that group numbers, group names and flags hold inside it only.
     """
-    listed = [r[0] for r in patterns.select("pattern").distinct().limit(LITERAL_PATTERNS + 1).collect()]
-    if not listed:
-        return messages
-    if len(listed) <= LITERAL_PATTERNS:
-        # A flag such as (?i) holds up to the end of its own group only.
-        any_of = "|".join(f"(?:{p})" for p in sorted(listed))
-        return messages.where(~F.coalesce(F.col(text).rlike(rf"\A(?:{any_of})"), F.lit(False)))
-    anchored = patterns.select(F.concat(F.lit(r"\A(?:"), "pattern", F.lit(")")).alias("_p")).distinct()
-    return messages.join(if_small(anchored), F.rlike(F.col(text), F.col("_p")), "left_anti")
+    listed = sorted(r[0] for r in patterns.select("pattern").where("pattern is not null").distinct().collect())
+    for at in range(0, len(listed), PATTERNS_PER_FILTER):
+        hits = [F.col(text).rlike(rf"\A(?:{p})") for p in listed[at:at + PATTERNS_PER_FILTER]]
+        while len(hits) > 1:  # a flat tree, however many there are
+            hits = [x | y for x, y in zip(hits[::2], hits[1::2])] + (hits[-1:] if len(hits) % 2 else [])
+        messages = messages.where(~F.coalesce(hits[0], F.lit(False)))
+    return messages
 
 
 def priority_bypass(messages: DataFrame, priority: DataFrame, keep: Column, key: str = "chat_id") -> DataFrame:

@@ -33,8 +33,11 @@ def set_key(words: Column) -> Column:
 
 
 def needed(n: Column, threshold: float = THRESHOLD, floor: int = FLOOR) -> Column:
-    """Smallest number of shared words that scores above the threshold."""
-    return F.floor(F.greatest(n, F.lit(floor)) * F.lit(round(threshold * 100)) / 100).cast("int") + 1
+    """Smallest number of shared words that scores above the threshold, found by the comparison that scores."""
+    size = F.greatest(n, F.lit(floor))
+    near = F.floor(size * F.lit(float(threshold))).cast("int")
+    above = lambda o: o / size > threshold
+    return F.when(above(near - 1), near - 1).when(above(near), near).when(above(near + 1), near + 1).otherwise(near + 2)
 
 
 def with_rarity(tokens: DataFrame, counts: DataFrame) -> DataFrame:

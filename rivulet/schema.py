@@ -28,7 +28,7 @@ FILE = _struct(
     ("has_stickers", _B), ("thumbs", T.ArrayType(_S)), ("video_thumbs", T.ArrayType(_S)),
 )
 
-# Attributes copied from the raw message without a change.
+# Attributes copied from the raw message without a change (fixed names).
 PASS_THROUGH = [
     ("game", _S), ("geo", _S), ("gif", _S), ("forwards", _I), ("legacy", _B), ("media_unread", _B),
     ("noforwards", _B), ("reply_to_msg_id", _L), ("restriction_reason", T.ArrayType(_S)), ("dice", _S),
@@ -50,12 +50,14 @@ RAW_MESSAGE = T.StructType(
     + _struct(*PASS_THROUGH).fields
 )
 
-# Publisher options that every flattened message carries with a fixed value.
+# Publisher options and their fixed default values.
 PUBLISH_CONSTANTS = {
     "reply_to": None, "attributes": None, "formatting_entities": None, "thumb": None, "background": None,
     "schedule": None, "comment_to": None, "parse_mode": "", "link_preview": True, "force_document": False,
-    "clear_draft": False,
+    "clear_draft": False, "silent": None, "buttons": None, "file": None, "supports_streaming": None, "nosound_video": None,
 }
+# Options that are switches though their default is null.
+PUBLISH_SWITCHES = ("background", "silent", "supports_streaming", "nosound_video")
 
 MESSAGE = T.StructType(
     _struct(
@@ -112,6 +114,9 @@ class Options:
     ssim_threshold: float = 0.9
     overlap_threshold: float = 0.7
     overlap_floor: int = 8
+    # Reports of the best matches show none below these scores; at 0 every pair with anything in common is scored.
+    overlap_report_floor: float = 0.5
+    embedding_report_floor: float = 0.2
     # publishing
     message_cap: int = 1000
     stale_hours: int = 1

@@ -6,24 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators.project import ALBUM_PART
 from ..sources.sinks import write_batch
 
 
-def fold_album_stream(members: DataFrame, gap: str = "1 minute", late: str = "1 hour", part: int = ALBUM_PART) -> DataFrame:
-    """Members ``ts, chat_id, grouped_id, pos, message, forward, caption`` folded once ``gap`` passes without another.
+def fold_album_stream(members: DataFrame, gap: str = "1 minute", late: str = "1 hour") -> DataFrame:
+    """One message per album of members ``ts, chat_id, grouped_id, pos, message, forward``, ``gap`` after the last of them.
 
-    State is held per ``part`` positions of an album, so it stays bounded.
+    The state of an album is one row, and leaves when the watermark has passed it: an album that is complete is
+    written once, members that come later than ``late`` are left out. Files are rows of their own: the members.
     """
     session = F.session_window("ts", gap)
-    files = F.array_sort(F.collect_list(F.struct("pos", "caption")))
     return (
         members.withWatermark("ts", late)
-        .groupBy(session, "chat_id", "grouped_id", F.floor(F.col("pos") / part).alias("part"))
+        .groupBy(session, "chat_id", "grouped_id")
         .agg(
             F.min("pos").alias("id"), F.min_by("message", "pos").alias("message"),
             F.max_by("forward", F.when(F.col("forward").isNotNull(), F.col("pos"))).alias("forward"),
-            F.count(F.lit(1)).alias("n_files"), F.transform(files, lambda f: f["caption"]).alias("captions"),
+            F.count(F.lit(1)).alias("n_files"),
         )
         .drop("session_window")
     )
@@ -39,9 +38,15 @@ def presence_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("service").agg(F.max_by("status", F.struct("ts", "seq")).alias("status"), F.max("ts").alias("ts"))
 
 
-def snapshot_writer(df: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
-    """The whole result table after each micro-batch, one folder per batch."""
+def upsert_writer(df: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
+    """The changed rows of a result table after each micro-batch, one folder per batch."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch, out, batch_id)
 
-    return df.writeStream.outputMode("complete").foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return df.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint)
+
+
+def newest_rows(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """The table that :func:`upsert_writer` keeps: for each key the row of its newest batch."""
+    others = [c for c in changes.columns if c not in (*keys, "batch")]
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("_row")).select(*keys, "_row.*")

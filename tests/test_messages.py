@@ -30,14 +30,21 @@ def test_parse_raw_messages(spark):
     assert bad._corrupt == "{oops" and bad.id is None
 
 
-def test_album_parts_and_captions(spark):
-    rows = [(0, 7, p, f"m{p}", "f" if p == 1 else None, None if p == 2 else f"c{p}") for p in range(5)]
+def test_one_row_per_album_and_files_as_rows(spark):
+    rows = [(0, 7, p, f"m{p}", "f" if p == 99 else None, None if p == 100 else "" if p == 101 else f"c{p}") for p in range(97, 103)]
+    rows += [(0, 8, 500, "single", None, "only"), (None, 9, 1, "n", None, "x"), (None, 9, 2, "o", None, "y")]
     df = spark.createDataFrame(rows, "chat_id long, grouped_id long, pos long, message string, forward string, caption string")
-    whole = P.fold_albums(df).collect()
-    assert len(whole) == 1 and whole[0].captions == ["c0", "c1", "None", "c3", "c4"]
-    assert (whole[0].message, whole[0].forward, whole[0].n_files, whole[0].id) == ("m0", "f", 5, 0)
-    parts = P.fold_albums(df, part=2).orderBy("part").collect()
-    assert [r.captions for r in parts] == [["c0", "c1"], ["None", "c3"], ["c4"]] and {r.n_files for r in parts} == {5}
+    whole = {r.grouped_id: r for r in P.fold_albums(df).collect()}
+    assert len(whole) == 3 and (whole[7].message, whole[7].forward, whole[7].n_files, whole[7].id) == ("m97", "f", 6, 97)
+    files = sorted((r.grouped_id, r.file_pos, r.caption) for r in P.album_files(df).collect())
+    assert files == [(7, 0, "c97"), (7, 1, "c98"), (7, 2, "c99"), (7, 3, "None"), (7, 4, ""), (7, 5, "c102"), (8, 0, "only"), (9, 0, "x"), (9, 1, "y")]
+    shown = sorted((r.grouped_id, r.caption) for r in P.album_captions(df, cap=2).where("grouped_id = 7").collect())
+    assert shown == [(7, "c1"), (7, "c9"), (7, "c9"), (7, "c9")]
+
+
+def test_outbox_keys_differ(spark):
+    keys = spark.range(100_000).select(P.outbox_key(F.lit("K"), F.col("id") % 10, F.floor(F.col("id") / 10)).alias("k"))
+    assert keys.distinct().count() == 100_000
 
 
 def test_assembly_counts_characters(spark):
@@ -71,8 +78,12 @@ def test_blocklist_and_patterns(spark):
     assert {r.id for r in S.drop_blocklisted(df, block).collect()} == {2, 3, 4, 5}
     patterns = spark.createDataFrame([("(?i)buy",), ("a b c|zzz",)], "pattern string")
     assert {r.id for r in S.drop_matching(df, patterns).collect()} == {1, 4, 5}
-    many = patterns.unionByName(spark.range(S.LITERAL_PATTERNS + 1).select(F.concat(F.lit("q"), "id").alias("pattern")))
-    assert {r.id for r in S.drop_matching(df, many).collect()} == {1, 4, 5}
+    odd = spark.createDataFrame([(6, "abab x"), (7, "zz top"), (8, "hello")], "id long, text string")
+    groups = spark.createDataFrame([("(!)q",), (r"(.)\1",), ("(?<n>y)es",), ("(?<n>w)ow",)], "pattern string")
+    for more in (0, 3 * S.PATTERNS_PER_FILTER + 1):
+        many = spark.range(more).select(F.concat(F.lit("q"), "id").alias("pattern"))
+        assert {r.id for r in S.drop_matching(df, patterns.unionByName(many)).collect()} == {1, 4, 5}
+        assert {r.id for r in S.drop_matching(odd, groups.unionByName(many)).collect()} == {6, 8}
     assert S.drop_matching(df, patterns.limit(0)).count() == 5
 
 

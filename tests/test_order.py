@@ -56,3 +56,18 @@ def test_grid_join_forms_each_pair_once(spark, rows):
     got = meet_skewed(left, right, "k", "a", "b", share=3, floor=5).select("k", "a", "b")
     want = left.join(right, "k").select("k", "a", "b")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("span", [2, 10_000])
+def test_null_keys_and_sparse_orders(spark, span):
+    data = [(1, 10**6 * 3, 1.0), (None, 10**6, 2.0), (None, 10**9, 5.0), (None, 7, 1.0), (1, 5, 4.0)]
+    df = spark.createDataFrame(data, "k long, seq long, v double")
+    got = O.running_sum(O.row_numbers(df, ["k"], "seq", "rn", span), ["k"], "seq", "v", "s", span).collect()
+    assert sorted((str(r.k), r.seq, r.rn, r.s) for r in got) == sorted(
+        [("1", 5, 1, 4.0), ("1", 3 * 10**6, 2, 5.0), ("None", 7, 1, 1.0), ("None", 10**6, 2, 3.0), ("None", 10**9, 3, 8.0)])
+
+
+def test_blocks_follow_the_rows_not_the_values(spark):
+    rows = spark.range(1000).select(F.lit(0).alias("k"), (F.col("id") * 1_000_003).alias("seq"))
+    blocks = O._blocked(rows, ["k"], "seq", 100).groupBy("_block").count().collect()
+    assert 5 <= len(blocks) <= 10 and max(b["count"] for b in blocks) < 400

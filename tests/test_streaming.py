@@ -6,7 +6,7 @@ from rivulet.operators import greedy, stems
 from rivulet.operators.signatures import strip_signatures
 from rivulet.sources.sinks import read_batches
 from rivulet.sources.topics import read_folder
-from rivulet.streaming.albums import first_seen_stream, fold_album_stream
+from rivulet.streaming.albums import first_seen_stream, fold_album_stream, newest_rows, presence_stream, upsert_writer
 from rivulet.streaming.greedy import DECISION, KEPT, curate_stream, text_tiers
 from rivulet.streaming.signatures import strip_signature_stream
 
@@ -67,7 +67,30 @@ def test_albums_close_and_repeats_drop(spark, tmp_path):
         .option("checkpointLocation", str(tmp_path / "c1")))
     got = {r.grouped_id: r for r in spark.table("albums").collect()}
     assert set(got) == {7, 8}  # the last album is still open
-    assert (got[7].message, got[7].forward, got[7].n_files, got[7].captions) == ("m", "f", 2, ["a", "b"])
+    assert (got[7].message, got[7].forward, got[7].n_files) == ("m", "f", 2)
     run(first_seen_stream(stream, ["chat_id"]).writeStream.format("memory").queryName("firsts")
         .option("checkpointLocation", str(tmp_path / "c2")))
     assert spark.table("firsts").count() == 1
+
+
+def test_album_state_goes_down_and_changes_are_upserted(spark, tmp_path):
+    schema = "t long, chat_id long, grouped_id long, pos long, message string, forward string"
+    src, out, check = (str(tmp_path / p) for p in ("in", "out", "check"))
+    sizes = []
+    for part in ([(i * 10_000 // 400, 1, i, 0, "m", None) for i in range(400)], [(500_000, 1, 9999, 0, "m", None)], [(500_001, 1, 9999, 1, "m", None)]):
+        write_part(spark, part, src, schema)
+        stream = read_folder(spark, src, spark.createDataFrame([], schema).schema).withColumn("ts", F.timestamp_seconds("t"))
+        query = (fold_album_stream(stream, "1 minute", "1 minute").writeStream.outputMode("append").format("parquet").option("path", out)
+                 .option("checkpointLocation", check).trigger(availableNow=True).start())
+        query.awaitTermination()
+        sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert sizes[-1] <= 2 < sizes[0] and spark.read.parquet(out).count() == 400
+    events = str(tmp_path / "events")
+    table, offsets = str(tmp_path / "table"), str(tmp_path / "offsets")
+    for k, part in enumerate([[("a", "up", 1), ("b", "up", 1)], [("a", "down", 2)]]):
+        write_part(spark, part, events, "service string, status string, seq long")
+        rows = read_folder(spark, events, spark.createDataFrame([], "service string, status string, seq long").schema)
+        run(upsert_writer(presence_stream(rows.withColumn("ts", F.timestamp_seconds("seq"))), table, offsets))
+    changes = spark.read.option("basePath", table).parquet(table)
+    assert changes.where("batch > 0 and service = 'b'").count() == 0
+    assert {r.service: r.status for r in newest_rows(changes, ["service"]).collect()} == {"a": "down", "b": "up"}

@@ -82,3 +82,12 @@ def test_common_stem_of_groups(spark):
                     if j - i > len(want) and all(first[i:j] in o for o in others):
                         want = first[i:j]
         assert got[g] == want, (first, others)
+
+
+def test_smallest_overlap_is_the_one_that_scores(spark):
+    from rivulet.operators.words import needed
+    for threshold in (0.5, 0.7, 0.706, 0.707, 0.708, 1 / 3, 0.999):
+        got = spark.range(1, 300).select("id", needed(F.col("id"), threshold).alias("o")).collect()
+        for r in got:
+            size = max(r.id, 8)
+            assert r.o == next(o for o in range(size + 3) if o / size > threshold), (threshold, r)
