@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -279,18 +281,25 @@ def greedy_dedup(spark, sf):
     return _shown(greedy.suppress(stems.keyed_rows(rows), tiers))
 
 
-def curated(spark, sf):
-    """The whole curation of the signed documents, with vectors and blocklist."""
+def curated_messages(spark, sf):
+    """The signed documents with links; German ones are forwards."""
     rows = signed(spark, sf).join(
         table(spark, sf, "pages").select(F.col("page_id").alias("id"), "url"), "id", "left"
     ).withColumn("text", F.concat("text", F.lit(" "), F.coalesce("url", F.lit("")))).drop("url")
-    rows = rows.withColumn("is_forward", F.col("lang") == "de")
-    vecs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("seq"), F.col("embedding").alias("vec"))
-    # The signature stands in front of every text, so it does in front of the blocklisted ones.
+    return rows.withColumn("is_forward", F.col("lang") == "de")
+
+
+def curated_lists(spark, sf):
+    """The blocklist. The signature stands in front of every text, so it does in front of the blocklisted ones."""
     toxic = signed(spark, sf).join(table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")), "id", "left_semi")
-    block = toxic.select(F.concat(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(" ")).alias("text"))
-    dims = Dims(blocklist=block, vectors=vecs)
-    return run_curate(rows.drop("id"), dims, Options(embedding_threshold=VECTOR_THRESHOLD)).withColumn("id", F.col("seq"))
+    return Dims(blocklist=toxic.select(F.concat(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(" ")).alias("text")))
+
+
+def curated(spark, sf):
+    """The whole curation of the signed documents, with vectors and blocklist."""
+    vecs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("seq"), F.col("embedding").alias("vec"))
+    dims = replace(curated_lists(spark, sf), vectors=vecs)
+    return run_curate(curated_messages(spark, sf).drop("id"), dims, Options(embedding_threshold=VECTOR_THRESHOLD)).withColumn("id", F.col("seq"))
 
 
 _CURATED_SRC = f"""(SELECT d.id, d.seq, d.chat_id, d.chat_title, d.lang, d.text || ' ' || coalesce(p.url, '') AS text FROM (

@@ -37,18 +37,32 @@ def drop_blocklisted(messages: DataFrame, blocklist: DataFrame, text: str = "tex
     return messages.join(if_small(blocked, BROADCAST_ROWS // 20), one_line(F.col(text)) == F.col("_line"), "left_anti")
 
 
+def _any_of(listed: list[str], text: Column) -> Column:
+    """Whether any pattern matches from the first character on; a flat tree, however many there are."""
+    hits = [text.rlike(rf"\A(?:{p})") for p in listed] or [F.lit(False)]
+    while len(hits) > 1:
+        hits = [x | y for x, y in zip(hits[::2], hits[1::2])] + (hits[-1:] if len(hits) % 2 else [])
+    return F.coalesce(hits[0], F.lit(False))
+
+
+def _listed(patterns: DataFrame) -> list[str]:
+    """The list is typed in by administrators."""
+    return sorted(r[0] for r in patterns.select("pattern").where("pattern is not null").distinct().collect())
+
+
+def any_match(patterns: DataFrame, text: Column) -> Column:
+    """Whether a text matches any ``pattern`` from its first character on; a null text matches none."""
+    return _any_of(_listed(patterns), text)
+
+
 def drop_matching(messages: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
     """Drop messages that match any ``pattern`` from their first character on.
 
-    The list is typed in by administrators. Every pattern is an expression of its
-    own, so that group numbers, group names and flags hold inside it only.
+    Every pattern is an expression of its own, so that group numbers, group names and flags hold inside it only.
     """
-    listed = sorted(r[0] for r in patterns.select("pattern").where("pattern is not null").distinct().collect())
+    listed = _listed(patterns)
     for at in range(0, len(listed), PATTERNS_PER_FILTER):
-        hits = [F.col(text).rlike(rf"\A(?:{p})") for p in listed[at:at + PATTERNS_PER_FILTER]]
-        while len(hits) > 1:  # a flat tree, however many there are
-            hits = [x | y for x, y in zip(hits[::2], hits[1::2])] + (hits[-1:] if len(hits) % 2 else [])
-        messages = messages.where(~F.coalesce(hits[0], F.lit(False)))
+        messages = messages.where(~_any_of(listed[at:at + PATTERNS_PER_FILTER], F.col(text)))
     return messages
 
 

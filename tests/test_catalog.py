@@ -2,16 +2,15 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from rivulet.catalog import QUERIES, SQL
 from rivulet.operators import stems, words
 from rivulet.operators.greedy import attach, counted_candidates
 
 from .oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
-from rivulet.catalog import QUERIES, SQL  # noqa: E402
 # The others take part in tests/oracle.py, which compares all of them.
-SLOW = {"word_overlap_best", "word_overlap_top3", "outcome_stats", "middleman_score", "stream_greedy_dedup"}
+SLOW = {"stream_pipeline", "word_overlap_best", "word_overlap_top3", "outcome_stats", "middleman_score", "stream_greedy_dedup"}
 
 
 @pytest.fixture(scope="module")

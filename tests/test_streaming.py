@@ -8,6 +8,9 @@ from rivulet.sources.sinks import read_batches
 from rivulet.sources.topics import read_folder
 from rivulet.streaming.albums import first_seen_stream, fold_album_stream, newest_rows, presence_stream, upsert_writer
 from rivulet.streaming.greedy import DECISION, KEPT, curate_stream, text_tiers
+from rivulet.plans.curate import Dims
+from rivulet.streaming.pipeline import DECISION as OUTCOME
+from rivulet.streaming.pipeline import pipeline_stream
 from rivulet.streaming.signatures import strip_signature_stream
 
 
@@ -94,3 +97,26 @@ def test_album_state_goes_down_and_changes_are_upserted(spark, tmp_path):
     changes = spark.read.option("basePath", table).parquet(table)
     assert changes.where("batch > 0 and service = 'b'").count() == 0
     assert {r.service: r.status for r in newest_rows(changes, ["service"]).collect()} == {"a": "down", "b": "up"}
+
+
+def test_the_whole_pipeline_over_a_restart(spark, tmp_path):
+    schema = "seq long, chat_id long, chat_title string, text string, is_forward boolean, _corrupt string"
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(0, 1, "A", "Flash: one https://t.me/x", False, None), (1, 1, "A", "BUY this", False, None), (2, 1, "A", "Flash: two", True, None),
+            (3, 9, "Z", "not followed", False, None), (4, 1, "A", "Flash: three", False, None), (5, 1, "A", None, False, "{oops"),
+            (6, 1, "A", "blocked\nline", False, None), (7, 2, "B", words, False, None), (8, 1, "A", "Flash: four", False, None), (9, 2, "B", words + " more", False, None)]
+    src, out, offsets = (str(tmp_path / p) for p in ("in", "out", "offsets"))
+    dims = Dims(patterns=spark.createDataFrame([("(?i)buy",)], "pattern string"), blocklist=spark.createDataFrame([("blocked line",)], "text string"))
+    channels = spark.createDataFrame([(1,), (2,)], "chat_id long")
+    for part in (rows[:5], rows[5:8], rows[8:]):
+        write_part(spark, part, src, schema)
+        stream = read_folder(spark, src, spark.createDataFrame([], schema).schema, 1)
+        run(pipeline_stream(stream, out, offsets, dims, channels=channels))
+    got = {r.seq: r for r in read_batches(spark, f"{out}/decisions", OUTCOME).collect()}
+    assert {k: r.outcome for k, r in got.items()} == {
+        0: "sent", 1: "ad", 2: "sent", 4: "sent", 5: "dead_letter", 6: "ad", 7: "sent", 8: "sent", 9: "duplicate"}
+    assert got[0].text == "Flash: one " and got[8].text == "four" and got[9].matched_id == 7 and got[2].target_channel == "control"
+    assert spark.read.parquet(f"{out}/dead_letters").count() == 1
+    sent = spark.read.parquet(f"{out}/outbox").collect()
+    assert len({r.key for r in sent}) == len(sent) == 5 and {r.message for r in sent} >= {"A:\nfour", f"B:\n{words}"}
+    assert all(r.timestamp is not None and r.silent is None for r in sent)
