@@ -26,6 +26,8 @@ KINDS = ("assign", "access", "hex", "markov")
 # The longest run a fixed format or a random string can stand in, and where assignments begin.
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 NAMES = ("passw", "secret", "token", "api")
+# Tokens that count as ordinary in the sample: letters only, as a secret that no format knows may hold digits.
+ORDINARY = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z][A-Za-z_-]{2,39}(?![A-Za-z0-9_-])")
 # The documented bounds of the training sample: rows of documents, tokens of each label.
 SAMPLE_ROWS, SAMPLE_TOKENS = 2000, 20_000
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -136,7 +138,7 @@ def labelled_sample(docs: DataFrame, text: str = "text", id: str = "doc_id", row
                     value = ASSIGN.match(t, start, end).group(1) if k == 0 else t[start:end]
                     found.add((True, value))
                 values = {v for _, v in found}
-                found |= {(False, w) for w in set(re.findall(r"[A-Za-z][A-Za-z0-9_-]{2,39}", t or "")) if not any(w in v for v in values)}
+                found |= {(False, w) for w in set(ORDINARY.findall(t or "")) if not any(w in v for v in values)}
                 rows.append([{"secret": s, "token": v} for s, v in found])
             yield pa.array(rows, kind)
 
