@@ -40,7 +40,7 @@ SIGNED = f"(SELECT id, seq, chat_id, chat_title, lang, chat_title || ' news: ' |
 def removed_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Blocklist: texts of the toxic documents, on one line."""
     toxic = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
-    docs = documents(spark, sf).join(F.broadcast(toxic), "id", "left_semi")
+    docs = documents(spark, sf).join(toxic, "id", "left_semi")
     return docs.select(F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
 
 

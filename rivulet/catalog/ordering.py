@@ -112,5 +112,5 @@ SELECT event_id, event_type FROM events WHERE ts >= (SELECT max(ts) FROM events)
 def retention_filter(spark, sf):
     from ..operators.select import fresh
     events = table(spark, sf, "events")
-    stamped = events.join(F.broadcast(events.agg(F.max("ts").alias("as_of"))))
-    return fresh(stamped, F.col("as_of"), 24).select("event_id", "event_type")
+    as_of = events.agg(F.max("ts").cast("string")).first()[0]
+    return fresh(events, F.lit(as_of).cast(events.schema["ts"].dataType), 24).select("event_id", "event_type")

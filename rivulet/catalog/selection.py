@@ -92,9 +92,9 @@ SELECT event_id, user_id AS chat_id, event_type FROM events
 WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def staleness_filter(spark, sf):
     events = _events(spark, sf)
-    as_of = events.agg(F.max("ts").alias("as_of"))
-    stamped = events.join(F.broadcast(as_of))
-    return S.fresh(stamped, F.col("as_of")).select("event_id", "chat_id", "event_type")
+    # The maximum comes first, so that the filter has a literal and reaches the scan.
+    as_of = events.agg(F.max("ts").cast("string")).first()[0]
+    return S.fresh(events, F.lit(as_of).cast(events.schema["ts"].dataType)).select("event_id", "chat_id", "event_type")
 
 
 @_register("no_content_filter", """

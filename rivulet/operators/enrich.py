@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import if_small, join_skewed
+from ..session import settle
+from .skew import if_small, join_counted, join_skewed
 
 
 def enrich_text(messages: DataFrame, fn: Callable[[pd.Series], pd.Series], text: str = "text", name: str = "en_message",
@@ -20,12 +21,12 @@ def enrich_text(messages: DataFrame, fn: Callable[[pd.Series], pd.Series], text:
     """
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"_key": pdf["_key"], name: fn(pdf["_text"])})
+            yield pd.DataFrame({"_key": pdf["_key"], "_n": pdf["_n"], name: fn(pdf["_text"])})
 
     keyed = messages.withColumn("_key", F.sha2(text, 256))
-    distinct = keyed.groupBy("_key").agg(F.any_value(text).alias("_text")).where(F.col("_text").isNotNull())
-    found = distinct.mapInPandas(apply, f"_key string, {name} {result}")
-    return join_skewed(keyed, found, "_key", F.monotonically_increasing_id(), "left").drop("_key")
+    distinct = keyed.groupBy("_key").agg(F.any_value(text).alias("_text"), F.count(F.lit(1)).alias("_n"))
+    found = settle(distinct.where(F.col("_text").isNotNull()).mapInPandas(apply, f"_key string, _n long, {name} {result}"))
+    return join_counted(keyed, found, "_key", F.monotonically_increasing_id(), "left", "_n").drop("_key")
 
 
 def lexicon_translate(messages: DataFrame, lexicon: DataFrame, text: str = "text", name: str = "en_message") -> DataFrame:

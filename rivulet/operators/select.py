@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import one_line
-from .skew import BROADCAST_ROWS, if_small, join_skewed
+from ..session import settle
+from .skew import BROADCAST_ROWS, if_small, join_counted
 
 # Patterns tested by one filter; a longer list takes several filters one after the other.
 PATTERNS_PER_FILTER = 200
@@ -108,8 +109,8 @@ def first_per_key(rows: DataFrame, keys: list[str], order: str = "seq") -> DataF
 def mark_repeats(rows: DataFrame, key: Column, order: str = "seq") -> DataFrame:
     """``kept`` and ``first_seq`` per row: only the first row of each key is kept; a null key never repeats."""
     keyed = rows.withColumn("_key", F.coalesce(F.sha2(key.cast("string"), 256), F.concat(F.lit("row "), order)))
-    firsts = first_per_key(keyed, ["_key"], order).select("_key", "first_seq")
-    marked = join_skewed(keyed, firsts, "_key", F.col(order))
+    firsts = settle(first_per_key(keyed, ["_key"], order))
+    marked = join_counted(keyed, firsts, "_key", F.col(order))
     return marked.withColumn("kept", F.col("first_seq") == F.col(order)).drop("_key")
 
 

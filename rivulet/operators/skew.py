@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than 1/SHARE of all rows, so there are at most
-# SHARE hot keys whatever the data size: the table of hot keys may be broadcast.
-SHARE = 1000
-# Below this many rows a key fits one task easily and is never worth salting.
+from ..session import settle
+
+# A key is hot when it holds more rows than this, whatever the size of the table: they are cut into parts of about so many.
 FLOOR = 100_000
 
 
@@ -21,43 +20,47 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def hot_keys(counts: DataFrame, key: str, n: str = "n", share: int = SHARE, floor: int = FLOOR) -> DataFrame:
+def hot_keys(counts: DataFrame, key: str, n: str = "n", floor: int = FLOOR) -> DataFrame:
     """``(key, salts)`` for the hot keys of a table ``(key, n)`` of row counts."""
-    total = counts.agg(F.sum(n).alias("_total"))
-    limit = F.greatest(F.col("_total") / share, F.lit(float(floor)))
-    return (
-        counts.where(F.col(n) > floor)
-        .join(F.broadcast(total), F.col(n) > limit)
-        .select(key, F.ceil(F.col(n) / limit).cast("int").alias("salts"))
-    )
+    return counts.where(F.col(n) > floor).select(key, F.ceil(F.col(n) / floor).cast("int").alias("salts"))
 
 
 def salt_left(df: DataFrame, key: str, hot: DataFrame, by: Column) -> DataFrame:
-    """Spread the rows of hot keys over their salts."""
-    tagged = df.join(F.broadcast(hot), key, "left")
+    """Spread the rows of hot keys over their salts; ``hot`` is a written table."""
+    tagged = df.join(if_small(hot), key, "left")
     return tagged.withColumn("salt", F.pmod(F.xxhash64(by), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
 
 
 def salt_right(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """Repeat the rows of hot keys once per salt."""
-    tagged = df.join(F.broadcast(hot), key, "left")
+    """Repeat the rows of hot keys once per salt; ``hot`` is a written table."""
+    tagged = df.join(if_small(hot), key, "left")
     salts = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
     return tagged.withColumn("salt", F.explode(salts)).drop("salts")
 
 
+def join_counted(left: DataFrame, right: DataFrame, key: str, by: Column, how: str = "inner", n: str = "n",
+                 floor: int = FLOOR) -> DataFrame:
+    """``left`` joined to a written ``right`` that holds for each key the number ``n`` of its left rows.
+
+    The left side is read once: no count of its own is needed to find the hot keys.
+    """
+    hot = settle(hot_keys(right, key, n, floor))
+    return salt_left(left, key, hot, by).join(salt_right(right.drop(n), key, hot), [key, "salt"], how).drop("salt")
+
+
 def join_skewed(left: DataFrame, right: DataFrame, key: str, by: Column, how: str = "inner",
-                share: int = SHARE, floor: int = FLOOR) -> DataFrame:
+                floor: int = FLOOR) -> DataFrame:
     """``left`` joined to a ``right`` that has few rows per key, safe for hot keys on the left.
 
     The key counts are combined on the map side. ``by`` spreads the left rows and
     must differ between them.
     """
-    hot = hot_keys(left.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, share=share, floor=floor)
+    hot = settle(hot_keys(left.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, floor=floor))
     return salt_left(left, key, hot, by).join(salt_right(right, key, hot), [key, "salt"], how).drop("salt")
 
 
 def meet_skewed(left: DataFrame, right: DataFrame, key: str, left_by: str, right_by: str,
-                share: int = SHARE, floor: int = FLOOR) -> DataFrame:
+                floor: int = FLOOR) -> DataFrame:
     """Inner join in which a key may be hot on either side.
 
     The rows a hot key holds on one side are cut into salts, and the rows of the
@@ -70,10 +73,9 @@ def meet_skewed(left: DataFrame, right: DataFrame, key: str, left_by: str, right
 
     def salts(side: DataFrame, name: str) -> DataFrame:
         counts = side.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-        return hot_keys(counts, key, share=share, floor=floor).withColumnRenamed("salts", name)
+        return hot_keys(counts, key, floor=floor).withColumnRenamed("salts", name)
 
-    # At most two times SHARE keys.
-    hot = F.broadcast(salts(left, "_nl").join(salts(right, "_nr"), key, "full"))
+    hot = if_small(settle(salts(left, "_nl").join(salts(right, "_nr"), key, "full")))
 
     def spread(side: DataFrame, by: str, own: str, other: str) -> DataFrame:
         n_own, n_other = F.coalesce(f"_n{own}", F.lit(1)), F.coalesce(f"_n{other}", F.lit(1))

@@ -50,7 +50,7 @@ def with_rarity(tokens: DataFrame, counts: DataFrame) -> DataFrame:
     hinted = if_small(counts)
     if hinted is not counts:
         return tokens.join(hinted, "token")
-    hot = hot_keys(counts, "token", n="df")
+    hot = settle(hot_keys(counts, "token", n="df"))
     spread = salt_left(tokens, "token", hot, F.col("id"))
     return spread.join(salt_right(counts, "token", hot), ["token", "salt"]).drop("salt")
 

@@ -45,7 +45,7 @@ def test_newest(rows):
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_salted_join_equals_join(spark, rows, how):
     right = spark.createDataFrame([("a", 1), ("c", 2)], "k string, x int")
-    got = join_skewed(rows, right, "k", F.col("seq"), how, share=3, floor=2)
+    got = join_skewed(rows, right, "k", F.col("seq"), how, floor=2)
     want = rows.join(right, "k", how)
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
 
@@ -53,7 +53,7 @@ def test_salted_join_equals_join(spark, rows, how):
 def test_grid_join_forms_each_pair_once(spark, rows):
     left = rows.select("k", F.col("seq").alias("a"))
     right = rows.where("seq % 2 = 0").select("k", F.col("seq").alias("b"))
-    got = meet_skewed(left, right, "k", "a", "b", share=3, floor=5).select("k", "a", "b")
+    got = meet_skewed(left, right, "k", "a", "b", floor=5).select("k", "a", "b")
     want = left.join(right, "k").select("k", "a", "b")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
