@@ -11,8 +11,9 @@ cut into blocks, and pairs are counted inside a block as matrices, never emitted
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, VALUES = 20, 3, 96
 # Pairs whose posterior falls below this are dropped; values compared between two looks.
 TOLERANCE, LOOK = 1e-9, 12
-# Classes of one block.
-BLOCK = 256
+# Classes of one block, and of a group whose pairs are listed.
+BLOCK, SMALL = 256, 32
 MEMORY = 400_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 SEEDS = mix(np.arange(1, VALUES + 1, dtype=np.uint64))
@@ -48,19 +49,34 @@ class Words(dict):
         return h
 
 
-def shingles(text: str | None, words: Words) -> np.ndarray:
-    """The distinct 64-bit hashes of all runs of five words in lower case, sorted; a shorter text is one shingle."""
-    tokens = (text or "").lower().split()
-    n = len(tokens)
-    if not n:
-        return np.zeros(0, np.uint64)
-    code = np.fromiter(map(words.__getitem__, tokens), np.int64, n).view(np.uint64)
-    width = min(n, SHINGLE)
-    h = mix(code[:n - width + 1])
-    with np.errstate(over="ignore"):
-        for k in range(1, width):
-            h = h * STEP + code[k:n - width + 1 + k]
-    return np.unique(mix(h + np.uint64(width)))
+def shingles(texts: list[str], words: Words) -> list[np.ndarray]:
+    """For each text the distinct 64-bit hashes of all runs of five words in lower case, sorted.
+
+    A text of fewer words is one shingle, one without words has none.
+    """
+    parts = [t.lower().split() for t in texts]
+    sizes = np.array([len(p) for p in parts], np.int64)
+    code = np.fromiter(map(words.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum())).view(np.uint64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    many = len(code) - SHINGLE + 1
+    if many > 0:
+        h = mix(code[:many])
+        for k in range(1, SHINGLE):
+            h *= STEP
+            h += code[k:many + k]
+        h = mix(h + np.uint64(SHINGLE))
+    out = []
+    for s, n in zip(starts.tolist(), sizes.tolist()):
+        if n >= SHINGLE:
+            out.append(np.unique(h[s:s + n - SHINGLE + 1]))
+        elif n:
+            own = np.full(1, n, np.uint64)
+            for c in code[s:s + n]:
+                own = own * STEP + c
+            out.append(mix(own))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -147,20 +163,20 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def exact_links(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def exact_links(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which pairs of shingle sets reach the threshold, exactly.
 
-    Sets become rows of a matrix over the shingles that occur twice in the block, so that one product gives all
-    intersections; a few pairs are intersected one by one.
+    Where pairs are dense, sets become rows of a matrix over the shingles that occur twice, so that one product
+    gives all intersections; other pairs are intersected one by one.
     """
-    n_left, n_right = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-    if len(i) < 64:
-        common = np.array([len(np.intersect1d(left[x], right[y], assume_unique=True)) for x, y in zip(i, j)], np.int64)
+    size = np.array([len(x) for x in sets], np.int64)
+    rows, cols = np.unique(i), np.unique(j)
+    if len(i) < 64 or len(i) * 8 < len(rows) * len(cols):
+        common = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist())], np.int64)
     else:
         common = np.zeros(len(i), np.int64)
-        rows, cols = np.unique(i), np.unique(j)
-        value = np.concatenate([left[r] for r in rows] + [right[c] for c in cols])
-        owner = np.repeat(np.arange(len(rows) + len(cols)), [len(left[r]) for r in rows] + [len(right[c]) for c in cols])
+        value = np.concatenate([sets[r] for r in rows] + [sets[c] for c in cols])
+        owner = np.repeat(np.arange(len(rows) + len(cols)), np.concatenate([size[rows], size[cols]]))
         order = np.argsort(value, kind="stable")
         value, owner = value[order], owner[order]
         shingle = np.cumsum(np.concatenate([[False], value[1:] != value[:-1]]))
@@ -174,32 +190,54 @@ def exact_links(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray,
             dense = np.zeros((len(rows) + len(cols), 4096), np.float32)
             dense[owner[s:e], shingle[s:e] - low] = 1
             common += (dense[:len(rows)] @ dense[len(rows):].T)[at_row, at_col].astype(np.int64)
-    union = n_left[i] + n_right[j] - common
-    # An exact comparison of whole numbers: common / union >= 0.8.
-    return common * 5 >= union * 4 if THRESHOLD == 0.8 else common >= THRESHOLD * union
+    union = size[i] + size[j] - common
+    # Whole numbers: common / union >= 0.8.
+    return common * 5 >= union * 4
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: int, work: Callable[[dict], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
-    """Hand over the groups of a stream that is sorted by its first ``keys`` columns, one after the other."""
-    held: list[pa.RecordBatch] = []
-    current = None
-    for batch in batches:
-        if not batch.num_rows:
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Cut a stream that is sorted by ``keys`` and row into tables of whole groups, with the first row of each.
+
+    Rows that are repeated within a group are handed over once.
+    """
+    held = None
+    for batch in chain(batches, [None]):
+        table = held
+        if batch is not None:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if table is None or not table.num_rows:
             continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
-        change = np.zeros(batch.num_rows, bool)
+        columns = [table[k].to_numpy() for k in keys]
+        new = np.zeros(table.num_rows, bool)
+        new[0] = True
         for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for s, e in zip(cuts, cuts[1:]):
-            key = tuple(c[s] for c in columns)
-            if current is not None and key != current:
-                yield from work(pa.Table.from_batches(held))
-                held = []
-            current = key
-            held.append(batch.slice(s, e - s))
-    if held:
-        yield from work(pa.Table.from_batches(held))
+            new[1:] |= c[1:] != c[:-1]
+        last = table.num_rows if batch is None else int(np.flatnonzero(new)[-1])
+        held = table.slice(last)
+        if last:
+            row = table["row"].to_numpy()[:last]
+            once = new[:last].copy()
+            once[1:] |= row[1:] != row[:-1]
+            yield table.slice(0, last).filter(pa.array(once)), np.flatnonzero(new[:last][once])
+
+
+def pairs_to_compare(table: pa.Table, starts: np.ndarray, low: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that are never dropped: those of all small groups together, then those of each larger block."""
+    sizes = np.diff(np.append(starts, table.num_rows))
+    bi, bj, mine = (table[c].to_numpy() for c in ("bi", "bj", "mine"))
+    plain = (sizes <= SMALL) & (bi[starts] == bj[starts])
+    left, right = [], []
+    for n in np.unique(sizes[plain & (sizes > 1)]).tolist():
+        at = starts[plain & (sizes == n)][:, None]
+        i, j = np.triu_indices(n, 1)
+        left.append((at + i).ravel())
+        right.append((at + j).ravel())
+    if left:
+        yield survivors(low, low, np.concatenate(left), np.concatenate(right))
+    for s, n in zip(starts[~plain].tolist(), sizes[~plain].tolist()):
+        a, b = s + np.flatnonzero(mine[s:s + n] == bi[s]), s + np.flatnonzero(mine[s:s + n] == bj[s])
+        i, j = survivors(low[a], low[b], *all_pairs(low[a], low[b], bi[s] == bj[s]))
+        yield a[i], b[j]
 
 
 def fixed_size(column: pa.ChunkedArray) -> np.ndarray:
@@ -220,7 +258,7 @@ def in_blocks(rows: DataFrame, key: str, n: str, row: str = "row") -> DataFrame:
 
 
 def by_block(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.repartition(*keys).sortWithinPartitions(*keys)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "row")
 
 
 def shingle_sets(docs: DataFrame, text: str, id: str) -> DataFrame:
@@ -233,7 +271,7 @@ def shingle_sets(docs: DataFrame, text: str, id: str) -> DataFrame:
         for batch in batches:
             out = []
             for texts in in_groups(batch.to_pylist()):
-                found = [shingles(t, words) for t in texts]
+                found = shingles(texts, words)
                 table = signatures(found)
                 buckets = band_keys(table)
                 for s, low, keys in zip(found, table, buckets):
@@ -261,21 +299,14 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     blocks = by_block(in_blocks(met, "key", "n").select("key", "bi", "bj", "mine", "row", "low"), ["key", "bi", "bj"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(group: pa.Table) -> Iterator[pa.RecordBatch]:
-            if group.num_rows < 2:
-                return
-            bi, bj = group["bi"][0].as_py(), group["bj"][0].as_py()
-            low, row, mine = fixed_size(group["low"]), group["row"].to_numpy(), group["mine"].to_numpy()
-            left, right = np.flatnonzero(mine == bi), np.flatnonzero(mine == bj)
-            i, j = all_pairs(low[left], low[right], bi == bj)
-            i, j = survivors(low[left], low[right], i, j)
-            label = roots(len(row), left[i], right[j])
-            child = np.flatnonzero(label != np.arange(len(row)))
-            if len(child):
+        for table, starts in whole_groups(batches, ["key", "bi", "bj"]):
+            low, row = fixed_size(table["low"]), table["row"].to_numpy()
+            found = list(pairs_to_compare(table, starts, low))
+            if found:
+                label = roots(len(row), *(np.concatenate(x) for x in zip(*found)))
+                child = np.flatnonzero(label != np.arange(len(row)))
                 yield pa.record_batch([pa.array(row[child]), pa.array(row[label[child]])], ["row", "other"])
 
-        yield from grouped(batches, 3, work)
-
     return blocks.mapInArrow(link, "row long, other long").distinct()
 
 
@@ -284,34 +315,30 @@ def verified(members: DataFrame) -> DataFrame:
 
     ``members``: label, n (rows of the label), row, copies, low, text.
     """
-    words_of = Words
-
     @F.arrow_udf("array<long>")
     def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = words_of()
+        words = Words()
         for batch in batches:
-            yield pa.array([shingles(t, words).view(np.int64) for t in batch.to_pylist()], pa.list_(pa.int64()))
+            for texts in in_groups(batch.to_pylist()):
+                yield pa.array([s.view(np.int64) for s in shingles(texts, words)], pa.list_(pa.int64()))
 
     held = members.withColumn("set", sets("_text")).select("label", "n", "row", "copies", "low", "set")
     blocks = by_block(in_blocks(held, "label", "n").select("label", "bi", "bj", "mine", "row", "copies", "low", "set"), ["label", "bi", "bj"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(group: pa.Table) -> Iterator[pa.RecordBatch]:
-            row, once = np.unique(group["row"].to_numpy(), return_index=True)  # rows that are repeated meet once
-            if len(row) < 2:
-                return
-            group = group.take(pa.array(once))
-            bi, bj = group["bi"][0].as_py(), group["bj"][0].as_py()
-            low, mine, copies = fixed_size(group["low"]), group["mine"].to_numpy(), group["copies"].to_numpy()
-            lists = group["set"].combine_chunks()
-            flat, starts = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
-            sets = [flat[s:e] for s, e in zip(starts, starts[1:])]
-            left, right = np.flatnonzero(mine == bi), np.flatnonzero(mine == bj)
-            i, j = survivors(low[left], low[right], *all_pairs(low[left], low[right], bi == bj))
-            if not len(i):
-                return
-            true = exact_links([sets[x] for x in left], [sets[x] for x in right], i, j)
-            i, j = left[i[true]], right[j[true]]
+        for table, starts in whole_groups(batches, ["label", "bi", "bj"]):
+            low, row, copies = fixed_size(table["low"]), table["row"].to_numpy(), table["copies"].to_numpy()
+            lists = table["set"].combine_chunks()
+            flat, offsets = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+            sets = [flat[s:e] for s, e in zip(offsets, offsets[1:])]
+            left, right = [], []
+            for i, j in pairs_to_compare(table, starts, low):
+                true = exact_links(sets, i, j)
+                left.append(i[true])
+                right.append(j[true])
+            if not left:
+                continue
+            i, j = np.concatenate(left), np.concatenate(right)
             label = roots(len(row), i, j)
             touched = np.unique(np.concatenate([i, j]))
             count = np.bincount(i, minlength=len(row)) + np.bincount(j, minlength=len(row))
@@ -319,8 +346,6 @@ def verified(members: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(row[touched]), pa.array(row[label[touched]]), pa.array(count[touched]),
                                    pa.array(docs[touched].astype(np.int64))], ["row", "other", "classes", "docs"])
 
-        yield from grouped(batches, 3, work)
-
     return blocks.mapInArrow(check, "row long, other long, classes long, docs long")
 
 
