@@ -42,20 +42,22 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "word_chars": F.length(spaceless).cast("long"),
         "n_symbols": (F.length("_t") - F.length(F.regexp_replace("_t", r"[#*$%&|<>]", ""))).cast("long"),
         "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-        "_s": F.when(F.size("_w") > 2, F.sort_array(F.transform(
-            F.sequence(F.lit(0), F.size("_w") - 3),
-            lambda i: F.struct(F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("p"))))),
+        "_h": F.when(F.size("_w") > 2, F.transform(
+            F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))),
     })
+    # Most texts repeat no window and are not sorted.
+    repeats = F.size(F.array_distinct("_h")) < F.size("_h")
+    out = out.withColumn("_s", F.when(repeats, F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))))
     twice = F.filter("_s", lambda x, i: (x["h"] == F.get("_s", i - 1)["h"]) | (x["h"] == F.get("_s", i + 1)["h"]))
     out = out.withColumn("_p", F.sort_array(F.transform(twice, lambda x: x["p"])))
     covered = F.transform("_p", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_p", i + 1) - p, F.lit(3))))
     total = F.aggregate(covered, F.lit(0).cast("long"), lambda acc, x: acc + x)
-    return out.withColumn("n_repeat_words", F.coalesce(total, F.lit(0).cast("long"))).drop("_t", "_w", "_l", "_s", "_p")
+    return out.withColumn("n_repeat_words", F.coalesce(total, F.lit(0).cast("long"))).drop("_t", "_w", "_l", "_h", "_s", "_p")
 
 
 def line_hash(line: Column) -> Column:
-    """Hash of a line without case, marks and the values of digits; null for a line without letters and digits."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"\p{N}", "0"), r"[^\p{L}\p{N}]+", " "))
+    """Hash of a line without case, ASCII marks and the values of digits; null for a line of marks only."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "))
     return F.when(plain != "", F.xxhash64(plain))
 
 
