@@ -2,7 +2,10 @@
 
 A sentence ends at a stop, at a line break, and after words chosen by their hash, so that both copies of a passage are
 cut at the same places however the words around it join on. From every sentence starts one run: the shortest with at
-least ``SENTENCES`` sentences and ``WORDS`` words. Of equal runs the one that is first by document and place stays; the
+least ``SENTENCES`` sentences and ``WORDS`` words. Sentences may be long or few, so there are runs of exactly ``WORDS``
+words besides: of every ``GAP`` such runs that start one after another, the one with the smallest hash. The words inside
+alone decide which that is, so any ``WORDS + GAP - 1`` words that repeat share a run, whatever their stops and lines.
+In scripts without spaces every character is a word. Of equal runs the one that is first by document and place stays; the
 sentences under all others are removed. Only runs that occur twice are ever sent with their place: a first pass counts
 hashes, a bitmap of the repeated ones lets the second pass drop the rest where they are read.
 """
@@ -23,11 +26,17 @@ from ..session import settle
 from .common import hash_filter, mix, original_id, passes, with_key
 
 SENTENCES, WORDS = 3, 20
+# Of so many neighbouring runs of WORDS words one is taken.
+GAP = 16
 # One word in so many ends a sentence by its hash.
 CUT = 16
 MEMORY, TOGETHER = 400_000, 200_000
 EDGES = re.compile(r"^\W+|\W+$")
 LINE = "\x00"
+# Characters of scripts that put no spaces between words: Thai, Lao, Burmese, Khmer, kana, Han.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+ALONE = re.compile(f"[{UNSPACED}]")
+TOKEN = re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 WORD, END = 1, 2
@@ -37,9 +46,9 @@ class Words(dict):
     """``hash << 2 | ends a sentence << 1 | is a word`` of a token, found once."""
 
     def __missing__(self, token: str) -> int:
-        inner = EDGES.sub("", token).lower()
+        inner = token if ALONE.match(token) else EDGES.sub("", token).lower()
         h = xxh3_64_intdigest(inner) >> 3
-        ends = token[-1] in ".!?" + LINE or bool(inner) and h % CUT == 0
+        ends = token[-1] in ".!?。！？" + LINE or bool(inner) and h % CUT == 0
         out = h << 2 | ends << 1 | bool(inner)
         if len(self) >= MEMORY:
             self.clear()
@@ -47,11 +56,30 @@ class Words(dict):
         return out
 
 
+def tokens_of(text: str) -> list[str]:
+    """The tokens of a text; those of :func:`cut_ranges` and the line breaks."""
+    text = text.replace(LINE, "�").replace("\n", f" {LINE} ")
+    return text.split() if text.isascii() or not ALONE.search(text) else TOKEN.findall(text)
+
+
+def smallest(h: np.ndarray, inside: np.ndarray, gap: int) -> np.ndarray:
+    """Which values are the smallest of any ``gap`` neighbours that start where ``inside`` says."""
+    m = len(inside)
+    low, high = h[:m].copy(), np.zeros(m + 2 * gap - 2, np.uint64)
+    for k in range(1, gap):
+        np.minimum(low, h[k:m + k], out=low)
+    high[gap - 1:m + gap - 1] = np.where(inside, low, np.uint64(0))
+    top = high[:m + gap - 1].copy()
+    for k in range(1, gap):
+        np.maximum(top, high[k:m + gap - 1 + k], out=top)
+    return (top == h) & (top > 0)
+
+
 class Runs:
     """Runs of several texts: for each its text, hash, second hash, and first and last token."""
 
     def __init__(self, texts: list[str], words: Words, sentences: int = SENTENCES, least: int = WORDS):
-        parts = [t.replace(LINE, "�").replace("\n", f" {LINE} ").split() for t in texts]
+        parts = [tokens_of(t) for t in texts]
         n = [len(p) for p in parts]
         coded = np.fromiter(map(words.__getitem__, chain.from_iterable(parts)), np.int64, sum(n))
         lines = np.fromiter((t == LINE for t in chain.from_iterable(parts)), bool, sum(n))
@@ -70,30 +98,35 @@ class Runs:
         s = sentence[is_word]
         opens = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         counts = np.diff(np.append(opens, len(s)))
-        place = np.arange(len(s)) - np.repeat(opens, counts)
+        by = owner[is_word]
         with np.errstate(over="ignore"):
-            code = mix((coded[is_word] >> 2).view(np.uint64) + place.astype(np.uint64) * np.uint64(BASE))
-            value = np.add.reduceat(code, opens)
-            power = np.full(len(value), BASE, np.uint64)
-            back = np.full(len(value), INVERSE, np.uint64)
+            word = mix((coded[is_word] >> 2).view(np.uint64))
+            power = np.full(len(word) + 1, BASE, np.uint64)
+            back = np.full(len(word) + 1, INVERSE, np.uint64)
             power[0] = back[0] = 1
             power, back = np.multiply.accumulate(power), np.multiply.accumulate(back)
-            upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value) * power, dtype=np.uint64)])
-            upto2 = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value ^ np.uint64(BASE)) * power, dtype=np.uint64)])
-            total = np.concatenate([[0], np.cumsum(counts)])
-            i = np.arange(len(value))
+            upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word * power[:-1], dtype=np.uint64)])
+            upto2 = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(word ^ np.uint64(BASE)) * power[:-1], dtype=np.uint64)])
+            total = np.append(opens, len(s))
+            i = np.arange(len(counts))
             j = np.maximum(i + sentences, np.searchsorted(total, total[:-1] + least))
-            doc = owner[is_word[opens]]
-            i, j = i[j <= len(value)], j[j <= len(value)]
-            inside = doc[i] == doc[j - 1]
+            i, j = i[j <= len(counts)], j[j <= len(counts)]
+            i, j = total[i], total[j]  # from sentences to words
+            inside = by[i] == by[j - 1]
             i, j = i[inside], j[inside]
+            m = len(s) - least + 1
+            if m >= GAP:
+                h = mix((upto[least:] - upto[:m]) * back[:m] + np.uint64(least))
+                taken = smallest(h, by[:m - GAP + 1] == by[least + GAP - 2:], GAP)
+                taken[i[j - i == least]] = False
+                more = np.flatnonzero(taken)
+                i, j = np.concatenate([i, more]), np.concatenate([j, more + least])
             self.hash = mix((upto[j] - upto[i]) * back[i] + (j - i).astype(np.uint64)).view(np.int64)
             self.check = (mix((upto2[j] - upto2[i]) * back[i]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        self.owner = doc[i]
+        self.owner = by[i]
         base = token[start[self.owner]]
-        last = np.append(opens, len(s))[j] - 1
-        self.first = token[is_word[opens[i]]] - base
-        self.last = token[is_word[last]] - base
+        self.first = token[is_word[i]] - base
+        self.last = token[is_word[j - 1]] - base
 
 
 def in_groups(texts: list[str | None]) -> Iterator[list[str]]:
@@ -110,16 +143,16 @@ def in_groups(texts: list[str | None]) -> Iterator[list[str]]:
 
 
 def run_hashes(keyed: DataFrame, text: str) -> DataFrame:
-    """One row per run of every text: its two hashes."""
+    """One row per run of every text: its hash. What shares one by chance passes the bitmap and is told apart later."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
             for texts in in_groups(batch.column(0).to_pylist()):
                 runs = Runs(texts, words)
-                yield pa.record_batch([pa.array(runs.hash), pa.array(runs.check, pa.int32())], ["hash", "check"])
+                yield pa.record_batch([pa.array(runs.hash)], ["hash"])
 
-    return keyed.select(text).mapInArrow(find, "hash long, check int")
+    return keyed.select(text).mapInArrow(find, "hash long")
 
 
 def runs_that_pass(keyed: DataFrame, text: str, bitmap: np.ndarray) -> DataFrame:
@@ -151,7 +184,7 @@ def repeated(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFra
     and texts shorter than a run hold no runs. Repeats inside one document count as well.
     """
     keyed = with_key(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("_text")), "_text")
-    twice = run_hashes(keyed, "_text").groupBy("hash", "check").count().where("count > 1").select("hash")
+    twice = run_hashes(keyed, "_text").groupBy("hash").count().where("count > 1").select("hash")
     met = settle(runs_that_pass(keyed, "_text", hash_filter(settle(twice), "hash")))
     firsts = settle(met.groupBy("hash", "check").agg(F.min(F.struct("_id", "_th", "first")).alias("f"))
                     .select("hash", "check", F.col("f._id").alias("f_id"), F.col("f._th").alias("f_th"), F.col("f.first").alias("f_first")))
@@ -162,7 +195,7 @@ def repeated(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFra
 
 def cut_ranges(text: str, ranges: list[dict]) -> tuple[str, list[dict], int]:
     """The text without the tokens of the ranges, the removed stretches in code points, and the number of tokens."""
-    where = [m.span() for m in re.finditer(r"\S+", text)]
+    where = [m.span() for m in TOKEN.finditer(text)]
     gone = np.zeros(len(where) + 2, np.int64)
     for r in ranges:
         gone[r["first"]] += 1

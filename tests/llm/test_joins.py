@@ -147,6 +147,36 @@ def test_a_planted_passage_is_removed_from_all_but_the_first(spark):
         assert len(got[k].text) + len(gone) == len(texts[k])
 
 
+@pytest.mark.parametrize("size", [51, 60])
+def test_passages_without_stops_share_a_run_wherever_they_stand(size):
+    words = sentence_spans.Words()
+    for k in range(300):
+        passage = " ".join(w.strip(".").lower() for w in prose(k, size).split())
+        texts = [" ".join([prose(10_000 + 2 * k + d, 40 + k % 17 + 5 * d).rstrip("."), passage, prose(20_000 + 2 * k + d, 40)]) for d in (0, 1)]
+        found = [set(sentence_spans.Runs([t], words).hash.tolist()) for t in texts]
+        assert found[0] & found[1], (size, k)
+
+
+def test_equal_words_make_equal_runs_and_others_do_not():
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["a", "b", "c.", "d\n", "-"]) for _ in range(r.randint(0, 120))) for _ in range(200)]
+    runs, words = sentence_spans.Runs(texts, sentence_spans.Words()), {}
+    for o, h, a, b in zip(runs.owner.tolist(), runs.hash.tolist(), runs.first.tolist(), runs.last.tolist()):
+        key = " ".join(x for x in (w.strip(".-") for w in texts[o].split()[a:b + 1]) if x)
+        assert len(key.split()) >= 20 and words.setdefault(h, key) == key
+    assert len(set(words.values())) == len(words) > 100
+
+
+def test_a_passage_without_spaces_is_removed(spark):
+    r = random.Random(6)
+    line = lambda n: "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(n))
+    passage = line(60)
+    texts = [line(70) + passage + line(50), line(90), line(33) + passage + line(80) + "。"]
+    got = {r.doc_id: r for r in sentence_spans.repeats(documents(spark, texts)).collect()}
+    assert sorted(got) == [2] and got[2].sources == [0] and got[2].n_words_removed >= 60 - 2 * (sentence_spans.GAP - 1)
+    assert all(texts[2][s.start:s.end] in passage for s in got[2].spans)
+
+
 def naive_repeats(table):
     """Covered tokens of each document by comparing the words of runs, not hashes."""
     words, firsts, runs = sentence_spans.Words(), {}, []
