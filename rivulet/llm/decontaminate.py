@@ -3,19 +3,20 @@
 Texts are reduced to templates: numbers, names and units become typed placeholders, all else lower case. Windows of
 template tokens are hashed and joined with those of the benchmark. Windows that lie on one diagonal (same distance
 between document and item) are an alignment; it holds when its slots are consistent: every value of the item stands
-for one value of the document and the other way round. Equal values are a verbatim copy, others a re-parameterised
+for one value of the document and the other way round; of windows that contradict each other the larger part stays. Equal values are a verbatim copy, others a re-parameterised
 question.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -167,6 +168,43 @@ def template_windows(rows: DataFrame, text: str, into: str, bitmap: np.ndarray |
     return rows.withColumn(into, find(F.col(text)))
 
 
+def judge(windows: list[dict]) -> dict:
+    """The consistent windows of a diagonal, whether their values are equal, and the tokens of its longest verbatim run.
+
+    Where values conflict, windows whose values have the most support go first and equal values before others; a window that
+    contradicts those before it is left out. The verbatim run is that of windows with equal values, whatever the rest says.
+    """
+    read = sorted((w["ipos"], sorted((p["kind"], p["theirs"], p["ours"]) for p in w["pairs"])) for w in windows)
+    support = Counter(chain.from_iterable(set(pairs) for _, pairs in read))
+    equal = [all(t == o for _, t, o in pairs) for _, pairs in read]
+    theirs, ours, at, same = {}, {}, set(), True
+    for k in sorted(range(len(read)), key=lambda k: (-min((support[p] for p in read[k][1]), default=len(read)), not equal[k], k)):
+        ipos, pairs = read[k]
+        forth, back = {}, {}
+        if all(theirs.get((c, t), o) == forth.setdefault((c, t), o) == o and ours.get((c, o), t) == back.setdefault((c, o), t) == t for c, t, o in pairs):
+            theirs |= forth
+            ours |= back
+            at.add(ipos)
+            same &= equal[k]
+    run = begin = end = 0
+    for (ipos, _), plain in zip(read, equal):
+        if plain:
+            begin = begin if end and ipos <= end else ipos
+            end = ipos + WINDOW
+            run = max(run, end - begin)
+    return {"at": sorted(at), "same": same, "run": run}
+
+
+def judged(windows: str) -> Column:
+    @F.arrow_udf("struct<at:array<int>,same:boolean,run:int>")
+    def judge_all(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.struct([("at", pa.list_(pa.int32())), ("same", pa.bool_()), ("run", pa.int32())])
+        for batch in batches:
+            yield pa.array([judge(w) for w in batch.to_pylist()], kind)
+
+    return judge_all(F.col(windows))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, text: str = "text", id: str = "doc_id",
                item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and benchmark item found in it.
@@ -188,18 +226,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, text
     pairs = F.transform(F.arrays_zip("islots", "slots"), lambda z: F.struct(
         z["islots"]["kind"].alias("kind"), z["islots"]["value"].alias("theirs"), z["slots"]["value"].alias("ours")))
     aligned = met.withColumn("pairs", pairs).groupBy("_id", "_th", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(
-        F.first("n_windows").alias("n_windows"), F.collect_set("ipos").alias("at"),
+        F.first("n_windows").alias("n_windows"),
         # Bounded by the item: a window of the item lies on a diagonal once.
-        F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("slots"), F.min("pos").alias("start"))
-    consistent = (
-        (F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["theirs"])))) == F.size("slots"))
-        & (F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["ours"])))) == F.size("slots")))
-    same = F.forall("slots", lambda s: s["theirs"] == s["ours"])
-    per_item = aligned.where(consistent).withColumn("same", same).groupBy("_id", "_th", "item_id").agg(
-        F.first("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"),
-        F.max(F.when(F.col("same"), F.size("at")).otherwise(0)).alias("run"), F.min("same").alias("same"), F.min("start").alias("start"))
+        F.collect_set(F.struct("ipos", "pairs")).alias("windows"))
+    per_item = aligned.withColumn("_j", judged("windows")).groupBy("_id", "_th", "item_id").agg(
+        F.first("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_list("_j.at"))).alias("at"),
+        F.max("_j.run").alias("run"), F.min("_j.same").alias("same"), F.min(F.col("diagonal") + F.get("_j.at", F.lit(0))).alias("start"))
     coverage = F.size("at") / F.col("n_windows")
-    return per_item.where((coverage >= cover) | (F.col("run") >= VERBATIM - WINDOW + 1)).select(
+    return per_item.where((coverage >= cover) | (F.col("run") >= VERBATIM)).select(
         "_id", "_th", original_id().alias("doc_id"), "item_id",
         F.when(F.col("same"), "verbatim").otherwise("reparameterised").alias("kind"),
         F.size("at").cast("long").alias("n_windows"), coverage.alias("coverage"), F.col("start").cast("long").alias("first_token"))

@@ -227,6 +227,23 @@ def test_leaks_verbatim_and_reparameterised(spark):
     assert 2 in {r.doc_id for r in left.collect()} and not {0, 1} & {r.doc_id for r in left.collect()}
 
 
+def test_one_changed_mention_leaves_the_verbatim_run(spark):
+    items = spark.createDataFrame([(7, QUESTION)], "item_id long, text string")
+    texts = [QUESTION.replace("travels 340 km", "travels 777 km"), QUESTION.replace("for 340 km", "for 777 km"),
+             " ".join(QUESTION.split()[23:35]), " ".join(QUESTION.split()[23:36]), "x " + QUESTION.replace("340", "510").replace("Boston", "Lisbon")]
+    got = {r.doc_id: r for r in decontaminate.leaks(documents(spark, texts), items).collect()}
+    assert sorted(got) == [0, 1, 3, 4] and got[1].kind == "verbatim" and got[4].kind == "reparameterised" and got[4].coverage == 1
+    assert all(0.5 < got[k].coverage < 1 for k in (0, 1))
+
+
+def test_conflicting_windows_leave_the_larger_part():
+    pair = lambda t, o: {"kind": 1, "theirs": t, "ours": o}
+    windows = [{"ipos": k, "pairs": [pair("3", "9")]} for k in range(4)] + [{"ipos": k, "pairs": [pair("3", "8")]} for k in (9, 10)]
+    assert decontaminate.judge(windows) == {"at": [0, 1, 2, 3], "same": False, "run": 0}
+    plain = [{"ipos": k, "pairs": [pair("3", "3")]} for k in range(20, 26)]
+    assert decontaminate.judge(windows + plain) == {"at": [20, 21, 22, 23, 24, 25], "same": True, "run": 13}
+
+
 def test_planted_items_are_found_and_nothing_else(spark):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     texts = {r.doc_id: " ".join(r.text.split()) for r in docs.collect()}
