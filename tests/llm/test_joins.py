@@ -238,12 +238,27 @@ def test_one_changed_mention_leaves_the_verbatim_run(spark):
 
 def test_conflicting_windows_leave_the_larger_part():
     pair = lambda t, o: {"kind": 1, "theirs": t, "ours": o}
-    windows = [{"ipos": k, "pairs": [pair("3", "9")]} for k in range(4)] + [{"ipos": k, "pairs": [pair("3", "8")]} for k in (9, 10)]
+    window = lambda k, t, o: {"ipos": k, "size": 8, "counts": True, "pairs": [pair(t, o)]}
+    windows = [window(k, "3", "9") for k in range(4)] + [window(k, "3", "8") for k in (9, 10)]
     assert decontaminate.judge(windows) == {"at": [0, 1, 2, 3], "same": False, "run": 0}
-    plain = [{"ipos": k, "pairs": [pair("3", "3")]} for k in range(20, 26)]
+    plain = [window(k, "3", "3") for k in range(20, 26)]
     assert decontaminate.judge(windows + plain) == {"at": [20, 21, 22, 23, 24, 25], "same": True, "run": 13}
 
 
+def test_short_low_literal_and_renamed_items_are_found(spark):
+    apples = "Alice has 3 apples. Bob has 5 apples. How many apples do they have together?"
+    bench = [(0, "What colour is the sky?"), (1, "12 + 7 = 19"), (2, "Anna Bert Carl Dora Emil Fritz Gerda Hans Ida Jens"), (3, apples),
+             (4, "What did McDonald sell J. Smith for three dollars in the old town?"), (5, QUESTION), (6, "4 5 6 7 8 9 10 11 12 13")]
+    around = lambda t: prose(1, 60) + " " + t + " " + prose(2, 60)
+    texts = [around(bench[0][1]), around(bench[1][1]), around(bench[2][1]), around(apples.replace("Alice", "Carol").replace("Bob", "Dave")),
+             around("What did Miller sell K. Jones for seven dollars in the old town?"), " ".join(QUESTION.split()[:13]), around(bench[6][1]),
+             around("13 + 7 = 20"), around("Xaver Bruno Carla Doris Erika Fanny Gisela Heinz Ilse Jan"), prose(3, 200), around(apples)]
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.leaks(documents(spark, texts), items).collect()}
+    same, other = "verbatim", "reparameterised"
+    assert got == {(0, 0): same, (1, 1): same, (2, 2): same, (3, 3): other, (4, 4): other, (5, 5): same, (6, 6): same, (10, 3): same}
+
+
 def test_planted_items_are_found_and_nothing_else(spark):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     texts = {r.doc_id: " ".join(r.text.split()) for r in docs.collect()}
