@@ -2,7 +2,7 @@
 
 One model is trained on random strings, the other on ordinary identifiers and words. For a run of token characters
 the difference of their log-likelihoods is summed character by character; the best stretch of a run is a secret when
-its sum beats what held-out ordinary tokens reach. The labelled sample holds the values found by the fixed formats and
+its sum beats what held-out ordinary tokens reach, and so on with what is left of the run. The labelled sample holds the values found by the fixed formats and
 generated random strings on one side, tokens of the same documents on the other.
 """
 
@@ -150,22 +150,42 @@ def labelled_sample(docs: DataFrame, text: str = "text", id: str = "doc_id", row
     return sides[0], sides[1]
 
 
+def parts(a: int, b: int, taken: list[tuple[int, int]], k: int) -> Iterator[tuple[int, int]]:
+    """What the taken stretches, apart and in order from the k-th, leave of a stretch."""
+    while k < len(taken) and taken[k][0] < b:
+        yield a, max(a, taken[k][0])
+        a = max(a, taken[k][1])
+        k += 1
+    yield a, b
+
+
 def find(text: str, model: Model | None) -> list[tuple[int, int, int]]:
-    """All spans: the fixed ones, and random stretches of runs that no fixed one touches."""
+    """All spans: the fixed ones, and all random stretches of what these leave of the runs.
+
+    After a hit the search goes on left and right of it, until no stretch beats the bar.
+    """
     out = fixed(text)
     if model is None:
         return out
+    taken: list[tuple[int, int]] = []
+    for s, _, e in out:
+        if taken and s < taken[-1][1]:
+            taken[-1] = taken[-1][0], max(taken[-1][1], e)
+        else:
+            taken.append((s, e))
     extra, k = [], 0
-    by_start = sorted((s, e) for s, _, e in out)
     for run in RUN.finditer(text):
-        a, b = run.span()
-        while k < len(by_start) and by_start[k][1] <= a:
+        while k < len(taken) and taken[k][1] <= run.start():
             k += 1
-        if any(s < b and a < e for s, e in by_start[k:k + 3]):
-            continue
-        total, start, end = model.best(run.group())
-        if total > model.bar:
-            extra.append((a + start, 3, a + end))
+        left = list(parts(*run.span(), taken, k))
+        while left:
+            a, b = left.pop()
+            if b - a < SHORTEST:
+                continue
+            total, start, end = model.best(text[a:b])
+            if total > model.bar:
+                extra.append((a + start, 3, a + end))
+                left += [(a, a + start), (a + end, b)]
     return sorted(out + extra)
 
 

@@ -64,6 +64,19 @@ def test_best_stretch_equals_brute_force():
         assert model.best(s)[0] == pytest.approx(want)
 
 
+def test_every_secret_of_a_run_is_found():
+    words = [w for k in range(40) for w in re.findall(r"\w+", prose(k, 60, 900))]
+    model = secrets.train([], words)
+    one, two, three = "qZ8fK2mX9vL4tR7wB1nC6yH3jD5gP0sQ", "W7xU2kE9bN4zJ6hF1rT8cV3mA5yL0pGd", "Xk29LqPz84TfRb61HwYd73NcVs50JmGe"
+    plain = "-".join(words[:30]).lower()
+    text = f"a/{one}/{plain}/{two}/{plain}/0123456789abcdef0123/{plain}/{three} end"
+    got = [(text[s:e], k) for s, k, e in secrets.find(text, model)]
+    assert [k for _, k in got] == [3, 3, 2, 3]
+    assert all(x[2:-2] in v for x, (v, _) in zip((one, two, "0123456789abcdef0123", three), got))
+    assert all(len(v) < 50 for v, _ in got)
+    assert secrets.find(plain, model) == []
+
+
 def test_secret_report_on_awkward_rows(spark):
     docs = awkward(spark)
     got = secrets.report(docs).collect()
