@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 SAMPLE_PAGES, SAMPLE_CHARS, MADE_PAGES = 150, 20_000, 600
 PATH_BINS, WORD_BINS, MEASURES, HIDDEN = 256, 32, 8, 20
 WIDTH = PATH_BINS + WORD_BINS + MEASURES
-# Ancestors of a block that count, and blocks labelled together.
+# Innermost ancestors of a block that are kept one by one (those around them once each), and blocks labelled together.
 ANCESTORS, TOGETHER = 6, 6000
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^<>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|<[!?][^>]*>""", re.S)
@@ -39,6 +39,8 @@ SIBLINGS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"tabl
 
 
 class Block:
+    """``path``: all non-inline ancestors, outermost first; beyond the innermost ones repeated names count once, at the last."""
+
     __slots__ = ("path", "text", "linked")
 
     def __init__(self, path: list[tuple[str, ...]], text: str, linked: int):
@@ -48,7 +50,8 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in page order: white space as one space, references decoded, scripts and styles left out."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []  # open elements that are no inline ones, with their names
+    # Open elements that are no inline ones, with their names and the distinct names down to them.
+    stack: list[tuple[str, tuple[str, ...], tuple[tuple[str, ...], ...]]] = []
     open_count: dict[str, int] = {}
     parts: list[str] = []
     links = [0, 0]  # open links, characters inside links
@@ -57,13 +60,14 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block([n for _, n in stack[-ANCESTORS:]], text, links[1]))
+                around = stack[-ANCESTORS - 1][2] if len(stack) > ANCESTORS else ()
+                out.append(Block([*around, *(n for _, n, _ in stack[-ANCESTORS:])], text, links[1]))
             parts.clear()
         links[1] = 0
 
     def pop_to(tag: str) -> None:
         while stack:
-            name, _ = stack.pop()
+            name = stack.pop()[0]
             open_count[name] -= 1
             if name == tag:
                 break
@@ -108,14 +112,18 @@ def blocks(page: str) -> list[Block]:
         if tag in CLOSES_P and open_count.get("p"):
             pop_to("p")
         if tag in SIBLINGS and open_count.get(tag):
-            for name, _ in reversed(stack[-2 * ANCESTORS:]):
+            for name, _, _ in reversed(stack[-2 * ANCESTORS:]):
                 if name in SIBLINGS[tag]:
                     break
                 if name == tag:
                     pop_to(tag)
                     break
         words = " ".join("".join(x) for x in NAMES.findall(attributes)).lower() if attributes else ""
-        stack.append((tag, (tag, *(f".{w}" for w in re.findall(r"[a-z]+[01]?", words)))))
+        names = (tag, *(f".{w}" for w in re.findall(r"[a-z]+[01]?", words)))
+        trail = stack[-1][2] if stack else ()
+        if not trail or trail[-1] != names:
+            trail = (*(x for x in trail if x != names), names)
+        stack.append((tag, names, trail))
         open_count[tag] = open_count.get(tag, 0) + 1
     flush()
     return out
@@ -143,8 +151,8 @@ def vectors(page: list[Block], paths: Bins, words: Bins) -> np.ndarray:
         for names in b.path:
             for name in names:
                 row[paths[name]] = 1.0
-        if b.path:
-            row[paths["leaf", b.path[-1][0]]] = 1.0
+        for up, names in enumerate(b.path[:-4:-1]):
+            row[paths[("leaf", "up", "upper")[up], names[0]]] = 1.0
         tokens = b.text.split(" ")
         found = np.bincount(np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens)), minlength=WORD_BINS)
         row[PATH_BINS:PATH_BINS + WORD_BINS] = 0.3 * found / np.sqrt((found * found).sum())
@@ -289,6 +297,8 @@ AROUND = {
     "form": ["form", "form.login", "form.search", "div.subscribe", "form.contact", "fieldset"],
     "talk": ["section.comments", "div.comment", "div.comments", "ol.commentlist", "div.reply", "div.discussion", "ul.responses", "div.user-comments"],
 }
+# Containers that say nothing; they nest deep on ordinary pages.
+NEUTRAL = ["div", "div.row", "div.col", "div.inner", "div.wrap", "div.box", "section", "div.grid", "div.container"]
 INSIDE_MAIN = ("ad", "side", "talk", "form", "note")
 
 
@@ -297,10 +307,19 @@ def _open(spec: str, mark: str) -> tuple[str, str]:
     return f'<{tag} class="{name} {mark}">', f"</{tag}>"
 
 
-def made_pages(words: list[str], n: int = MADE_PAGES, seed: int = 11) -> list[str]:
-    """Pages of random layouts over the given words; ``y1`` and ``y0`` among the names say what is main text."""
+def made_pages(words: list[str], n: int = MADE_PAGES, seed: int = 11, deep: float = 0.3) -> list[str]:
+    """Pages of random layouts over the given words; ``y1`` and ``y0`` among the names say what is main text.
+
+    ``deep`` is the share of containers whose content is nested in up to 14 others.
+    """
     r = random.Random(seed)
 
+    def nested(inner: str) -> str:
+        if r.random() >= deep:
+            return inner
+        pairs = [_open(r.choice(NEUTRAL), "") for _ in range(r.randint(4, 14))]
+        return "".join(a for a, _ in pairs) + inner + "".join(b for _, b in reversed(pairs))
+
     def say(low: int, high: int) -> str:
         text = " ".join(r.choice(words) for _ in range(r.randint(low, high)))
         return text[:1].upper() + text[1:] + r.choice([".", ".", ".", "!", "?"])
@@ -323,7 +342,7 @@ def made_pages(words: list[str], n: int = MADE_PAGES, seed: int = 11) -> list[st
             inner = f"&copy; {r.choice(words)} &middot; {say(2, 15)}" + (f"<p><a href='/i'>{say(1, 3)}</a></p>" if r.random() < 0.5 else "")
         else:
             inner = say(2, 25) if r.random() < 0.5 else f"<p>{say(3, 30)}</p>"
-        return a + inner + b
+        return a + nested(inner) + b
 
     def main() -> str:
         a, b = _open(r.choice(MAIN), "y1")
@@ -333,7 +352,7 @@ def made_pages(words: list[str], n: int = MADE_PAGES, seed: int = 11) -> list[st
             inner += (f"<p>{say(8, 120)}</p>" if kind < 0.6 else f"<p>{say(1, 5)}</p>" if kind < 0.72 else f"<p><b>{say(5, 60)}<br><p>" if kind < 0.8
                       else f"<h2>{say(2, 6)}</h2>" if kind < 0.86 else "<ul>" + "".join(f"<li>{say(2, 20)}</li>" for _ in range(3)) + "</ul>" if kind < 0.92
                       else f"<blockquote>{say(5, 30)}</blockquote>" if kind < 0.96 else around(r.choice(INSIDE_MAIN)))
-        return a + inner + b
+        return a + nested(inner) + b
 
     out = []
     for _ in range(n):

@@ -114,6 +114,28 @@ def test_held_out_layouts(labeller):
     assert right / total > 0.97
 
 
+def test_ancestors_of_any_depth_count():
+    wrap = "<div>" * 9 + "<div class=x>" + "<div>" * 9
+    page = f"<article>{wrap}<p>one</p>{'</div>' * 19}<nav>{wrap}<p>two</p>{'</div>' * 19}</nav></article><footer>{wrap}<p>three"
+    found, y = html_text.labelled(page, made=False)
+    assert [b.text for b in found] == ["one", "two", "three"] and y.tolist() == [1, 0, 0]
+    paths, bins = html_text.Bins(html_text.PATH_BINS), html_text.Bins(html_text.WORD_BINS)
+    x = html_text.vectors(found, paths, bins)[:, :html_text.PATH_BINS]
+    assert x[:, paths["footer"]].tolist() == [0, 0, 1] and x[:, paths["article"]].tolist() == [1, 1, 0]
+
+
+def test_held_out_deep_layouts(labeller):
+    words = sorted({w for k in range(30) for w in prose(k, 80, 700).split()})
+    paths, bins = html_text.Bins(html_text.PATH_BINS), html_text.Bins(html_text.WORD_BINS)
+    right = total = 0
+    for page in html_text.made_pages(words, 150, seed=992, deep=1.0):
+        b, y = html_text.labelled(page, made=True)
+        label = labeller.label([html_text.vectors(b, paths, bins)])[0]
+        right += (label == y.astype(bool)).sum()
+        total += len(y)
+    assert right / total > 0.97
+
+
 def test_articles_of_the_test_pages(spark, labeller):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     whole = 0
