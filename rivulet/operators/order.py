@@ -61,6 +61,24 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: str, name: st
     return _running(df, keys, order, value, name, span, F.sum, lambda own, before: own + F.coalesce(before, F.lit(0)))
 
 
+def _running_all(df: DataFrame, keys: list[str], order: str, values: dict[str, str], span: int, fold, join) -> DataFrame:
+    df = _blocked(df, keys, order, span)
+    upto = Window.partitionBy(*keys, _BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    met = _carried(df, keys, {f"_part_{n}": fold(v) for n, v in values.items()}, {f"_before_{n}": fold(f"_part_{n}") for n in values})
+    carried = {n: join(fold(v).over(upto), F.coalesce(f"_before_{n}", F.lit(0))) for n, v in values.items()}
+    return met.withColumns(carried).drop(_BLOCK, *[f"_before_{n}" for n in values])
+
+
+def running_sums(df: DataFrame, keys: list[str], order: str, values: dict[str, str], span: int = SPAN) -> DataFrame:
+    """Several running sums of integers at once: new column -> summed column."""
+    return _running_all(df, keys, order, values, span, F.sum, lambda own, before: own + before)
+
+
+def running_xors(df: DataFrame, keys: list[str], order: str, values: dict[str, str], span: int = SPAN) -> DataFrame:
+    """Exclusive or of all values up to and including each row: new column -> column."""
+    return _running_all(df, keys, order, values, span, F.bit_xor, lambda own, before: own.bitwiseXOR(before))
+
+
 def trailing(df: DataFrame, keys: list[str], order: str, value: str, size: int, name: str = "window",
              span: int = SPAN) -> DataFrame:
     """Array of the last ``size`` values up to and including each row, oldest first.
