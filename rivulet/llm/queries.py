@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import bpe, decontaminate, html_text, jaccard, line_quality, pii, secrets, sentence_spans, sharding, turn_trie, url_filter, word_runs
+from . import bpe, decontaminate, html_text, jaccard, line_quality, ngram_filter, pii, secrets, sentence_spans, sharding, turn_trie, url_filter, word_runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,12 +58,16 @@ def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     return word_runs.report(read_table(spark, sf, "documents"))
 
 
+def op12_bloom_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_filter.report(read_table(spark, sf, "documents"))
+
+
 def op13_turn_trie(spark: SparkSession, sf: str) -> DataFrame:
     return turn_trie.report(read_table(spark, sf, "conversations"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_template_decontamination, op2_markov_secrets, op3_feistel_shards, op4_boosted_pii, op5_sentence_spans, op6_line_frequency,
-    op7_prefix_bpe, op8_recurrent_html, op9_bayes_jaccard, op10_wildcard_urls, op11_periodic_runs, op13_turn_trie,
+    op7_prefix_bpe, op8_recurrent_html, op9_bayes_jaccard, op10_wildcard_urls, op11_periodic_runs, op12_bloom_scores, op13_turn_trie,
 )}
 SQL: dict[str, str] = {"op10_wildcard_urls": url_filter.SQL}
