@@ -70,10 +70,22 @@ def passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) != 0
 
 
-# Rows of a written table that may be sent to every executor: some MB of keys.
-BROADCAST_ROWS = 500_000
+# Bytes of a written table that may be sent to every executor, as they lie in memory there.
+BROADCAST_BYTES = 32 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """What a row takes as a value of a join's hash table: its fields, and a fixed part for key and pointers."""
+    total = F.lit(48 + 8 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind in ("array", "map"):
+            total = total + 16 * F.greatest(F.size(f.name), F.lit(0))
+    return total
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Hint a broadcast for a written table below the bound; beyond it the join shuffles."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Hint a broadcast for a written table within the bound; beyond it the join shuffles."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= BROADCAST_BYTES else df

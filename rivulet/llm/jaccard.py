@@ -33,7 +33,8 @@ BANDS, ROWS, VALUES = 20, 3, 96
 TOLERANCE, LOOK = 1e-9, 12
 # Classes of one block, and of a group whose pairs are listed.
 BLOCK, SMALL = 256, 32
-MEMORY = 400_000
+# Words a worker remembers; rows of a batch that are worked on at a time.
+MEMORY, ROWS_AT_ONCE = 100_000, 512
 STEP = np.uint64(0x9E3779B97F4A7C15)
 SEEDS = mix(np.arange(1, VALUES + 1, dtype=np.uint64))
 FACTORS = mix(np.arange(VALUES + 1, 2 * VALUES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -201,7 +202,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
     Rows that are repeated within a group are handed over once.
     """
     held = None
-    for batch in chain(batches, [None]):
+    pieces = (batch.slice(at, ROWS_AT_ONCE) for batch in batches for at in range(0, batch.num_rows, ROWS_AT_ONCE))
+    for batch in chain(pieces, [None]):
         table = held
         if batch is not None:
             table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
@@ -261,23 +263,29 @@ def by_block(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, "row")
 
 
+def few_at_a_time(batches: Iterator[pa.Array]) -> Iterator[list[str]]:
+    """The texts of all batches in order, in runs of bounded number and size."""
+    for batch in batches:
+        for at in range(0, len(batch), ROWS_AT_ONCE):
+            yield from in_groups(batch.slice(at, ROWS_AT_ONCE).to_pylist())
+
+
 def shingle_sets(docs: DataFrame, text: str, id: str) -> DataFrame:
     """Per document key, set size, 128-bit name of the set, signature and bucket of each band; written once."""
 
     @F.arrow_udf("struct<n:int,a:long,b:long,low:binary,bands:array<long>>")
     def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = Words()
-        kind = pa.struct([("n", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("low", pa.binary()), ("bands", pa.list_(pa.int64()))])
-        for batch in batches:
-            out = []
-            for texts in in_groups(batch.to_pylist()):
-                found = shingles(texts, words)
-                table = signatures(found)
-                buckets = band_keys(table)
-                for s, low, keys in zip(found, table, buckets):
-                    a, b = (int(mix(s ^ seed).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0 for seed in SEEDS[:2])
-                    out.append({"n": len(s), "a": a, "b": b, "low": low.tobytes(), "bands": keys.tolist() if len(s) else []})
-            yield pa.array(out, kind)
+        for texts in few_at_a_time(batches):
+            found = shingles(texts, words)
+            table = signatures(found)
+            n = np.array([len(s) for s in found], np.int32)
+            names = [np.array([mix(s ^ seed).sum(dtype=np.uint64) for s in found], np.uint64).view(np.int64) for seed in SEEDS[:2]]
+            keys = band_keys(table)[n > 0].ravel()
+            ends = np.concatenate([[0], np.cumsum((n > 0) * BANDS)]).astype(np.int32)
+            yield pa.StructArray.from_arrays([
+                pa.array(n), *map(pa.array, names), pa.array([low.tobytes() for low in table], pa.binary()),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))], ["n", "a", "b", "low", "bands"])
 
     keyed = with_key(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("_text")), "_text")
     return settle(keyed.withColumn("_s", sets("_text")).select("_id", "_th", "_s.*").withColumn("row", F.monotonically_increasing_id()))
@@ -318,9 +326,8 @@ def verified(members: DataFrame) -> DataFrame:
     @F.arrow_udf("array<long>")
     def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = Words()
-        for batch in batches:
-            for texts in in_groups(batch.to_pylist()):
-                yield pa.array([s.view(np.int64) for s in shingles(texts, words)], pa.list_(pa.int64()))
+        for texts in few_at_a_time(batches):
+            yield pa.array([s.view(np.int64) for s in shingles(texts, words)], pa.list_(pa.int64()))
 
     held = members.withColumn("set", sets("_text")).select("label", "n", "row", "copies", "low", "set")
     blocks = by_block(in_blocks(held, "label", "n").select("label", "bi", "bj", "mine", "row", "copies", "low", "set"), ["label", "bi", "bj"])
