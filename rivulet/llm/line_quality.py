@@ -1,8 +1,10 @@
 """Lines that a host puts under many of its documents, and documents with little else. Column expressions only.
 
-Normalised lines are hashed; a line that more distinct documents of one host carry than the host's limit is removed
-from all of them, and documents that are left with too little are rejected. Documents of one host with the same text
-count once, so that a copied document does not make its own lines common.
+Normalised lines are hashed, and for every host the distinct documents that carry a line are counted. A line is common,
+and removed from all documents of the host, when more than ``SHARE`` of them carry it beyond doubt: when the count less
+``DOUBT`` times its square root (its spread if documents carried the line by chance) is above that share. The limit means the same
+at every size: of 50 documents 6 must carry a line, of 500 at least 19, of a million 20,285. A document that is left
+with fewer words than the base rule asks for is depleted and rejected.
 """
 
 from __future__ import annotations
@@ -13,10 +15,10 @@ from pyspark.sql import functions as F
 from ..session import settle
 from .common import packed, small, unpacked, with_key
 
-# A line is common in more than so many documents of the host, and more than this share of them.
-LEAST, SHARE = 20, 0.02
-# What a document must have left, when lines were removed: words, and this share of its words.
-LEFT_WORDS, LEFT_SHARE = 25, 0.3
+# A line is common in more than this share of the documents of its host, by so many standard deviations.
+SHARE, DOUBT = 0.02, 2.0
+# The fewest words of a document, whole or without its common lines.
+LEAST_WORDS = 50
 # Fixed value: what separates words.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -75,31 +77,33 @@ def host_key(host: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), host), F.lit("-"))
 
 
-def common_lines(rows: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """(host, hash, documents) of the lines above their host's limit."""
-    totals = settle(rows.groupBy("_host").agg(F.count_distinct("_th").alias("total")))
-    counts = rows.select("_host", "_th", F.explode(F.array_distinct("lines.h")).alias("h")).groupBy("_host", "h").agg(
-        F.count_distinct("_th").alias("docs")).where(F.col("docs") > least)
-    return settle(counts.join(small(totals), "_host").where(F.col("docs") > F.col("total") * share).select("_host", "h", "docs"))
+def common_lines(rows: DataFrame, share: float = SHARE, doubt: float = DOUBT) -> DataFrame:
+    """(host, hash, documents) of the lines above their host's limit; rows that agree in id and text are one document."""
+    totals = settle(rows.groupBy("_host").agg(F.count_distinct("_id", "_th").alias("total")))
+    counts = rows.select("_host", "_id", "_th", F.explode(F.array_distinct("lines.h")).alias("h")).groupBy("_host", "h").agg(
+        F.count_distinct("_id", "_th").alias("docs"))
+    # What is not common whatever the host holds stays out of the join.
+    counts = counts.where(F.col("docs") - doubt * F.sqrt("docs") > 0)
+    above = F.col("docs") - doubt * F.sqrt("docs") > F.col("total") * share
+    return settle(counts.join(small(totals), "_host").where(above).select("_host", "h", "docs"))
 
 
-def judged(docs: DataFrame, text: str = "text", id: str = "doc_id", host: str = "source", least: int = LEAST, share: float = SHARE) -> DataFrame:
+def judged(docs: DataFrame, text: str = "text", id: str = "doc_id", host: str = "source", share: float = SHARE, doubt: float = DOUBT) -> DataFrame:
     """One row per document: key, measures, ``removed_words``, ``bad`` (hashes of its common lines), verdicts.
 
     ``base_failed``: fewer than 50 words, or more than half of them in repeated windows. ``kept``: neither that nor
-    depleted by the removal of common lines. Null and empty texts have no words and fail; documents without a host are
+    fewer than 50 words left when the common lines are removed. Null and empty texts have no words and fail; documents without a host are
     one host; repeated rows are judged each, alike; an empty table gives no rows.
     """
     rows = measured(docs, text, id, host)
     lines = rows.select("row", "_host", F.explode("lines").alias("x")).select("row", "_host", F.col("x.h").alias("h"), F.col("x.w").alias("w"))
-    bad = lines.join(small(common_lines(rows, least, share)), ["_host", "h"]).groupBy("row").agg(
+    bad = lines.join(small(common_lines(rows, share, doubt)), ["_host", "h"]).groupBy("row").agg(
         F.sum("w").alias("removed_words"), F.collect_set("h").alias("bad"))
     out = rows.drop("lines").join(settle(bad), "row", "left").withColumns({
         "removed_words": F.coalesce("removed_words", F.lit(0).cast("long")),
-        "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
+        "base_failed": (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
     })
-    left = F.col("n_words") - F.col("removed_words")
-    depleted = (F.col("removed_words") > 0) & ((left < LEFT_WORDS) | (left < F.col("n_words") * LEFT_SHARE))
+    depleted = (F.col("removed_words") > 0) & (F.col("n_words") - F.col("removed_words") < LEAST_WORDS)
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 

@@ -4,11 +4,12 @@ import corpus_pipeline
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from rivulet.llm import decontaminate, line_quality
+from rivulet.llm import decontaminate
 from rivulet.session import settle
 
 from .helpers import SF, awkward, empty
 from .test_joins import naive_groups
+from .test_texts import naive_verdicts
 
 
 def test_stages_against_brute_force(spark):
@@ -21,8 +22,8 @@ def test_stages_against_brute_force(spark):
     for s in steps[1:-1]:
         assert s.columns == docs.columns
     tables = [{r.doc_id: r for r in s.collect()} for s in steps]
-    kept = {r.doc_id for r in line_quality.verdicts(docs).where("kept").collect()}
-    assert set(tables[1]) == kept
+    verdicts = naive_verdicts([tuple(r) for r in docs.select("doc_id", "text", "source").collect()])
+    assert set(tables[1]) == {i for i, (_, kept, _) in verdicts.items() if kept}
     order = sorted(tables[1])
     group, _ = naive_groups([tables[1][i].text for i in order])
     assert sorted(tables[2]) == sorted({order[g] for g in group})

@@ -1,8 +1,10 @@
 """Secrets, byte-pair encoding, personal data and quality measures against brute force."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -10,7 +12,7 @@ from tokenizers import Tokenizer
 
 from rivulet.llm import bpe, line_quality, pii, secrets
 
-from .helpers import SF, awkward, documents, empty, prose
+from .helpers import DOC, SF, awkward, documents, empty, prose
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -257,9 +259,51 @@ def test_common_lines_go_and_depleted_documents_are_rejected(spark):
     assert all("subscribe" not in clean[k].text and clean[k].n_chars == len(clean[k].text) for k in range(40))
 
 
-def test_copies_do_not_make_their_own_lines_common(spark):
-    rows = collected(line_quality.judged(documents(spark, [prose(1, 100)] * 60 + [prose(2, 100)])))
-    assert all(r.kept and r.removed_words == 0 for r in rows.values())
+def naive_verdicts(rows):
+    """{doc_id: (removed words, kept)} by the rule itself: lines counted in dictionaries."""
+    total, carry, lines = Counter(), Counter(), {}
+    for i, t, host in rows:
+        found = []
+        for line in (t or "").split("\n"):
+            plain = re.sub(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", " ", re.sub("[0-9]+", "0", line.lower())).strip(" ")
+            if plain:
+                found.append((plain, len([w for w in SPACE.split(line) if w])))
+        lines[i] = host, found, naive_fast(t or "")
+        total[host] += 1
+        carry.update({(host, p) for p, _ in found})
+    out = {}
+    for i, (host, found, (n, repeated)) in lines.items():
+        common = [w for p, w in found if carry[host, p] - 2 * math.sqrt(carry[host, p]) > 0.02 * total[host]]
+        failed = n < 50 or 100 * repeated > 50 * n
+        out[i] = sum(common), not failed and not (common and n - sum(common) < 50), failed
+    return out
+
+
+def naive_fast(text):
+    words = [w for w in SPACE.split(text) if w]
+    grams = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
+    twice = Counter(grams)
+    return len(words), len({j for i, g in enumerate(grams) if twice[g] > 1 for j in (i, i + 1, i + 2)})
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_verdicts_of_the_test_tables_equal_brute_force_and_reject_depleted_documents(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    wanted = naive_verdicts([tuple(r) for r in docs.select("doc_id", "text", "source").collect()])
+    got = collected(line_quality.verdicts(docs))
+    assert {i: (r.removed_words, r.kept, r.base_failed) for i, r in got.items()} == wanted
+    # No document of the smaller table comes near the bound.
+    assert any(not kept and not failed for _, kept, failed in wanted.values()) or sf == "sf0.01"
+
+
+def test_the_limit_counts_documents_and_means_the_same_at_every_size(spark):
+    # 6 of 50 carry the line, or 19 of 500: common; one fewer: not. Copies are documents too, a repeated row is not.
+    for carry, total, common in ((6, 50, True), (5, 50, False), (19, 500, True), (18, 500, False)):
+        rows = [(k, prose(k, 60) + ("\nthe same line\n" if k < carry else ""), "en", "s", 0) for k in range(total)]
+        rows = line_quality.judged(spark.createDataFrame(rows + rows[:1] * 20, DOC))
+        assert rows.where("removed_words > 0").count() == (carry + 20 if common else 0)
+    copies = line_quality.judged(documents(spark, [prose(1, 100)] * 60 + [prose(2, 100)]))
+    assert copies.where("kept").count() == 1
 
 
 def test_quality_of_awkward_rows(spark):
