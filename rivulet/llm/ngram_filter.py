@@ -37,8 +37,10 @@ ORDER = 2
 # Levels: counts grow by this factor from one to the next. Bits set for each entry of the filter.
 STEP, PROBES = 1.5, 7
 PRIOR = 20.0
-# Tokens that are worked on together; text bytes per segment; bytes of filter and single tokens that may be sent to the workers.
-SLICE, SEGMENT_BYTES, SENT_BYTES, HEAD = 1_000_000, 8_000_000, 100_000_000, 1_000_000
+# Tokens that are counted together, and scored together; text bytes per segment.
+SLICE, AT_ONCE, SEGMENT_BYTES = 1_000_000, 250_000, 8_000_000
+# Bytes of the filter and single tokens that may be sent to the workers; bytes of the filter that reach the driver at a time.
+SENT_BYTES, HEAD, FETCHED = 100_000_000, 1_000_000, 16_000_000
 # Two marks that no word can be, as words hold no spaces.
 START, END = b" start", b" end"
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -176,14 +178,39 @@ class Filter:
             h, step, bits, offset = h[hit] + step[hit], step[hit], bits[hit], offset[hit]
 
 
+def empty_filter(sizes: dict[int, int], n: int) -> Filter:
+    """Room for ``n`` segments of these numbers of bits; those that are not named are empty."""
+    bits, offset, end = np.zeros(n, np.uint64), np.zeros(n, np.int64), 0
+    for i, k in sizes.items():
+        bits[i], offset[i] = k, end
+        end += k
+    return Filter(np.zeros(max(1, end // 8), np.uint8), offset, bits)
+
+
+def fill(table: Filter, i: int, segment: bytes) -> None:
+    at = int(table.offset[i]) >> 3
+    table.table[at:at + len(segment)] = np.frombuffer(segment, np.uint8)
+
+
 def joined(segments: list[tuple[int, bytes, int]], n: int) -> Filter:
-    """A filter of ``n`` segments; those that are not given are empty."""
-    bits, offset, parts, size = np.zeros(n, np.uint64), np.zeros(n, np.int64), [], 0
-    for i, table, k in segments:
-        bits[i], offset[i] = k, size * 8
-        parts.append(np.frombuffer(table, np.uint8))
-        size += len(table)
-    return Filter(np.concatenate(parts) if parts else np.zeros(1, np.uint8), offset, bits)
+    """A filter of ``n`` segments, given as (number, table, bits)."""
+    out = empty_filter({i: k for i, _, k in segments}, n)
+    for i, table, _ in segments:
+        fill(out, i, table)
+    return out
+
+
+def fetched(parts: DataFrame, n: int) -> Filter:
+    """All segments of a written table, a few at a time, so that the driver holds them once."""
+    segments = parts.where(F.col("bits").isNotNull())
+    sizes = {r.segment: r.bits for r in segments.select("segment", "bits").collect()}
+    out = empty_filter(sizes, n)
+    for k in range(turns := -(-len(out.table) // FETCHED)):
+        got = segments.where(F.pmod("segment", F.lit(turns)) == k).select("segment", "table").toArrow()
+        for i, table in zip(got.column("segment"), got.column("table")):
+            fill(out, i.as_py(), table.as_buffer())
+        del got
+    return out
 
 
 @dataclass
@@ -318,14 +345,12 @@ def _rows(columns: dict[str, list]) -> list[pa.Array]:
 
 def _by_sent_filter(rows: DataFrame, parts: DataFrame, totals: Totals, order: int) -> DataFrame:
     """``rows`` (row, text) with what the sent filter says. Its size was checked."""
-    got = parts.where(F.col("table").isNotNull()).select("segment", "table", "bits").toArrow()
-    shipped = rows.sparkSession.sparkContext.broadcast(
-        (joined(list(zip(*(got.column(c).to_pylist() for c in ("segment", "table", "bits")))), totals.segments), totals))
+    shipped = rows.sparkSession.sparkContext.broadcast((fetched(parts, totals.segments), totals))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, totals = shipped.value
         for batch in batches:
-            for first, words in split(batch.column("text").to_pylist()):
+            for first, words in split(batch.column("text").to_pylist(), AT_ONCE):
                 row = batch.column("row").slice(first, len(words))
                 yield pa.RecordBatch.from_arrays([row, *_rows(scored(words, table.levels, totals, order))], names=["row", *(c.split()[0] for c in SCORED.split(", "))])
 
