@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import common, greedy, images as I, keys, stems, vectors, words
+from ..operators import common, greedy, horizon, images as I, keys, stems, vectors, words
 from ..operators.reports import outcome_stats as count_outcomes
 from ..operators.reports import top_per_group
 from ..operators.select import mark_repeats
@@ -281,6 +281,21 @@ def greedy_dedup(spark, sf):
     return _shown(greedy.suppress(stems.keyed_rows(rows), tiers))
 
 
+HORIZON = 150
+
+
+@_register("greedy_dedup_horizon", f"""WITH RECURSIVE {_stem_sql(_DOCS_TEXT)}, {_word_sql(_DOCS_TEXT)}, {_BOTH.replace("edges AS", "every AS")}),
+arrival AS MATERIALIZED (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS n FROM documents),
+edges AS MATERIALIZED (SELECT e.* FROM every e JOIN arrival a ON a.id = e.id JOIN arrival b ON b.id = e.other_id
+  WHERE a.n - b.n <= {HORIZON}), {_GREEDY}
+SELECT id, tier, matched_id, score FROM why""")
+def greedy_dedup_horizon(spark, sf):
+    """Duplicates of what was kept among the last messages."""
+    rows = settle(horizon.arrivals(texts(spark, sf).select("id", "seq", "text")))
+    tiers = [stems.stem_tier(rows), words.overlap_tier(rows, min_later=10)]
+    return _shown(horizon.suppress_within(rows, tiers, HORIZON))
+
+
 def curated_messages(spark, sf):
     """The signed documents with links; German ones are forwards."""
     rows = signed(spark, sf).join(
@@ -299,7 +314,7 @@ def curated(spark, sf):
     """The whole curation of the signed documents, with vectors and blocklist."""
     vecs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("seq"), F.col("embedding").alias("vec"))
     dims = replace(curated_lists(spark, sf), vectors=vecs)
-    return run_curate(curated_messages(spark, sf).drop("id"), dims, Options(embedding_threshold=VECTOR_THRESHOLD)).withColumn("id", F.col("seq"))
+    return run_curate(curated_messages(spark, sf).drop("id"), dims, Options(embedding_threshold=VECTOR_THRESHOLD, max_latest_messages=0)).withColumn("id", F.col("seq"))
 
 
 _CURATED_SRC = f"""(SELECT d.id, d.seq, d.chat_id, d.chat_title, d.lang, d.text || ' ' || coalesce(p.url, '') AS text FROM (

@@ -20,15 +20,20 @@ def common_stem(members: DataFrame, key: str, order: str, text: str, min_len: in
     )
     pairs = join_skewed(members.select(key, order, text), head, key, F.col(order)).where(F.col(order) != F.col("_o"))
 
-    def longest(i):
-        # Being contained is monotone in the length: grow it by powers of two.
-        steps = F.array(*[F.lit(1 << p) for p in range(24, -1, -1)])
-        fits = lambda n: (i + n - 1 <= F.length("first")) & F.contains(F.col(text), F.substring("first", i, n))
-        return F.aggregate(steps, F.lit(0), lambda n, s: F.when(fits(n + s), n + s).otherwise(n))
+    def fits(i, n):
+        return (i + n - 1 <= F.length("first")) & F.contains(F.col(text), F.substring("first", i, n))
 
-    starts = F.sequence(F.lit(1), F.length("first"))
-    runs = F.transform(starts, lambda i: F.struct(i.alias("at"), longest(i).alias("n")))
-    runs = F.when(F.length("first") >= min_len, F.filter(runs, lambda r: r["n"] >= min_len))
+    def longest(i, steps):
+        # Being contained is monotone in the length: grow it by powers of two.
+        return F.aggregate(steps, F.lit(min_len), lambda n, s: F.when(fits(i, n + s), n + s).otherwise(n))
+
+    # Most starts fail with the shortest run. An array of one holds the steps up to the length of the text, so that they are
+    # found once per text and not once per start.
+    starts = F.filter(F.sequence(F.lit(1), F.length("first")), lambda i: fits(i, F.lit(min_len)))
+    powers = F.filter(F.array(*[F.lit(1 << p) for p in range(24, -1, -1)]), lambda s: s <= F.length("first") - min_len)
+    runs = F.get(F.transform(F.array(powers), lambda steps: F.transform(starts, lambda i: F.struct(
+        i.alias("at"), longest(i, steps).alias("n")))), 0)
+    runs = F.when(F.length("first") >= min_len, runs)
     per_start = pairs.select(key, "others", F.explode(runs).alias("r")).groupBy(key, "r.at").agg(
         F.min("r.n").alias("n"), F.count(F.lit(1)).alias("texts"), F.first("others").alias("others"))
     shared = per_start.where(F.col("texts") == F.col("others"))

@@ -163,11 +163,13 @@ def resolve(pairs: DataFrame, waiting: DataFrame | None = None) -> DataFrame:
     return _union(decided) if decided else edges.select("id", F.lit(True).alias("kept")).limit(0)
 
 
-def keep_first(rows: DataFrame, tiers: list[Tier], heads: int = HEADS) -> DataFrame:
+def keep_first(rows: DataFrame, tiers: list[Tier], heads: int = HEADS,
+               decide: Callable[..., DataFrame] = resolve, columns: tuple[str, ...] = ("id", "other_id")) -> DataFrame:
     """``(id, seq, kept)`` for every row of ``rows (id, seq[, copy_key])``.
 
     Rows sharing a non-null ``copy_key`` are identical for all tiers and similar
     to each other: all but the first are dropped without entering the index.
+    ``decide`` turns pairs, of which it needs ``columns``, into verdicts.
     """
     if "copy_key" in rows.columns:
         firsts = (
@@ -186,13 +188,13 @@ def keep_first(rows: DataFrame, tiers: list[Tier], heads: int = HEADS) -> DataFr
     while True:
         late = _not_ready(tiers, entries, heads)
         if late is None:
-            pairs = _union([t.pairs(e, e).select("id", "other_id") for t, e in zip(tiers, entries)])
-            verdict = resolve(pairs)
+            pairs = _union([t.pairs(e, e).select(*columns) for t, e in zip(tiers, entries)])
+            verdict = decide(pairs)
             dropped.append(verdict.where(~F.col("kept")).select("id"))
             break
         ready = [e.join(late, "id", "left_anti") for e in entries]
-        pairs = settle(_union([t.pairs(r, e).select("id", "other_id") for t, r, e in zip(tiers, ready, entries)]))
-        verdict = settle(resolve(pairs, waiting=late))
+        pairs = settle(_union([t.pairs(r, e).select(*columns) for t, r, e in zip(tiers, ready, entries)]))
+        verdict = settle(decide(pairs, waiting=late))
         lost = verdict.where(~F.col("kept")).select("id")
         # Not decided: the late rows, and ready rows that hang on a late one.
         hanging = pairs.select("id").distinct().join(verdict, "id", "left_anti")

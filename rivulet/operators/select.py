@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,12 @@ from ..functions.text import one_line
 from ..session import settle
 from .skew import BROADCAST_ROWS, if_small, join_counted
 
-# Patterns tested by one filter; a longer list takes several filters one after the other.
-PATTERNS_PER_FILTER = 200
+# Patterns of one expression, and expressions tested by one filter; a longer list takes several filters one after the other.
+PATTERNS_TOGETHER, PATTERNS_PER_FILTER = 500, 200
+# What reaches beyond the pattern it stands in: numbered and named groups and references, quotes, flags.
+REACHES_OUT = re.compile(r"\\[0-9kQEG]|\(\?(?![:=!>]|<[=!])")
+# Flags in front of a pattern, which hold for a group as well.
+FLAGS = re.compile(r"\A\(\?([imsu]+)\)")
 
 
 def followed(messages: DataFrame, channels: DataFrame, key: str = "chat_id") -> DataFrame:
@@ -38,8 +44,18 @@ def drop_blocklisted(messages: DataFrame, blocklist: DataFrame, text: str = "tex
     return messages.join(if_small(blocked, BROADCAST_ROWS // 20), one_line(F.col(text)) == F.col("_line"), "left_anti")
 
 
+def _together(listed: list[str]) -> list[str]:
+    """The patterns in few expressions: those that cannot disturb each other share one, all others stand alone."""
+    shared, alone = [], []
+    for p in listed:
+        body, flags = FLAGS.sub("", p), FLAGS.match(p)
+        inner = f"(?{flags[1]}:{body})" if flags else f"(?:{body})"
+        (alone if REACHES_OUT.search(body) else shared).append(p if REACHES_OUT.search(body) else inner)
+    return ["|".join(shared[at:at + PATTERNS_TOGETHER]) for at in range(0, len(shared), PATTERNS_TOGETHER)] + alone
+
+
 def _any_of(listed: list[str], text: Column) -> Column:
-    """Whether any pattern matches from the first character on; a flat tree, however many there are."""
+    """Whether any expression matches from the first character on; a flat tree, however many there are."""
     hits = [text.rlike(rf"\A(?:{p})") for p in listed] or [F.lit(False)]
     while len(hits) > 1:
         hits = [x | y for x, y in zip(hits[::2], hits[1::2])] + (hits[-1:] if len(hits) % 2 else [])
@@ -53,15 +69,15 @@ def _listed(patterns: DataFrame) -> list[str]:
 
 def any_match(patterns: DataFrame, text: Column) -> Column:
     """Whether a text matches any ``pattern`` from its first character on; a null text matches none."""
-    return _any_of(_listed(patterns), text)
+    return _any_of(_together(_listed(patterns)), text)
 
 
 def drop_matching(messages: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
     """Drop messages that match any ``pattern`` from their first character on.
 
-    Every pattern is an expression of its own, so that group numbers, group names and flags hold inside it only.
+    Group numbers, group names and flags of a pattern hold inside it only. Patterns without such are tested in one pass over the text.
     """
-    listed = _listed(patterns)
+    listed = _together(_listed(patterns))
     for at in range(0, len(listed), PATTERNS_PER_FILTER):
         messages = messages.where(~_any_of(listed[at:at + PATTERNS_PER_FILTER], F.col(text)))
     return messages

@@ -101,6 +101,7 @@ class Options:
     translate_to_english: bool = True
     remove_duplicates: bool = True
     add_channel_alias: bool = True
+    # A message is compared with the kept ones among so many messages that arrived before it, in batch and stream; 0 means all.
     max_latest_messages: int = 1000
     partitions: int = 10
     control_channel: str = "control"
