@@ -38,7 +38,7 @@ ORDER = 2
 STEP, PROBES = 1.5, 7
 PRIOR = 20.0
 # Tokens that are counted together, and scored together; text bytes per segment.
-SLICE, AT_ONCE, SEGMENT_BYTES = 1_000_000, 250_000, 8_000_000
+SLICE, AT_ONCE, SEGMENT_BYTES = 500_000, 250_000, 8_000_000
 # Bytes of the filter and single tokens that may be sent to the workers; bytes of the filter that reach the driver at a time.
 SENT_BYTES, HEAD, FETCHED = 100_000_000, 1_000_000, 16_000_000
 # Two marks that no word can be, as words hold no spaces.
