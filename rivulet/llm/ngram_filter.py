@@ -26,6 +26,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +40,8 @@ STEP, PROBES = 1.5, 7
 PRIOR = 20.0
 # Tokens that are counted together, and scored together; text bytes per segment.
 SLICE, AT_ONCE, SEGMENT_BYTES = 500_000, 250_000, 8_000_000
-# Bytes of the filter and single tokens that may be sent to the workers; bytes of the filter that reach the driver at a time.
-SENT_BYTES, HEAD, FETCHED = 100_000_000, 1_000_000, 16_000_000
+# Bytes of the filter and single tokens that may be sent to the workers; bytes of the filter that pass the driver at a time.
+SENT_BYTES, HEAD, FETCHED = 100_000_000, 500_000, 12_000_000
 # Two marks that no word can be, as words hold no spaces.
 START, END = b" start", b" end"
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -200,16 +201,32 @@ def joined(segments: list[tuple[int, bytes, int]], n: int) -> Filter:
     return out
 
 
-def fetched(parts: DataFrame, n: int) -> Filter:
-    """All segments of a written table, a few at a time, so that the driver holds them once."""
+def sent(parts: DataFrame, n: int) -> list[Broadcast[Filter]]:
+    """The segments of a written table on their way to the workers, some at a time: the driver never holds them all.
+
+    Of k pieces the i-th holds the segments i, i + k, i + 2 k and so on.
+    """
     segments = parts.where(F.col("bits").isNotNull())
     sizes = {r.segment: r.bits for r in segments.select("segment", "bits").collect()}
-    out = empty_filter(sizes, n)
-    for k in range(turns := -(-len(out.table) // FETCHED)):
+    turns = max(1, -(-sum(sizes.values()) // 8 // FETCHED))
+    out = []
+    for k in range(turns):
+        piece = empty_filter({i: b for i, b in sizes.items() if i % turns == k}, n)
         got = segments.where(F.pmod("segment", F.lit(turns)) == k).select("segment", "table").toArrow()
         for i, table in zip(got.column("segment"), got.column("table")):
-            fill(out, i.as_py(), table.as_buffer())
-        del got
+            fill(piece, i.as_py(), table.as_buffer())
+        out.append(parts.sparkSession.sparkContext.broadcast(piece))
+        del got, piece
+    return out
+
+
+def read_levels(pieces: list[Filter], keys: np.ndarray) -> np.ndarray:
+    """Levels of the keys, each from the piece that holds its segment."""
+    piece = keys % np.uint64(len(pieces[0].bits)) % np.uint64(len(pieces))
+    out = np.zeros(len(keys), np.int64)
+    for k, table in enumerate(pieces):
+        at = np.flatnonzero(piece == k)
+        out[at] = table.levels(keys[at])
     return out
 
 
@@ -345,14 +362,14 @@ def _rows(columns: dict[str, list]) -> list[pa.Array]:
 
 def _by_sent_filter(rows: DataFrame, parts: DataFrame, totals: Totals, order: int) -> DataFrame:
     """``rows`` (row, text) with what the sent filter says. Its size was checked."""
-    shipped = rows.sparkSession.sparkContext.broadcast((fetched(parts, totals.segments), totals))
+    pieces, frequent = sent(parts, totals.segments), rows.sparkSession.sparkContext.broadcast(totals)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, totals = shipped.value
+        tables, totals = [p.value for p in pieces], frequent.value
         for batch in batches:
             for first, words in split(batch.column("text").to_pylist(), AT_ONCE):
                 row = batch.column("row").slice(first, len(words))
-                yield pa.RecordBatch.from_arrays([row, *_rows(scored(words, table.levels, totals, order))], names=["row", *(c.split()[0] for c in SCORED.split(", "))])
+                yield pa.RecordBatch.from_arrays([row, *_rows(scored(words, lambda keys: read_levels(tables, keys), totals, order))], names=["row", *(c.split()[0] for c in SCORED.split(", "))])
 
     return rows.mapInArrow(score, f"row long, {SCORED}")
 
