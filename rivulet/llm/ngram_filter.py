@@ -39,7 +39,9 @@ ORDER = 2
 STEP, PROBES = 1.5, 7
 PRIOR = 20.0
 # Tokens that are counted together, and scored together; text bytes per segment.
-SLICE, AT_ONCE, SEGMENT_BYTES = 500_000, 250_000, 8_000_000
+SLICE, AT_ONCE, SEGMENT_BYTES = 250_000, 250_000, 8_000_000
+# Rows of a batch that are held as Python strings at a time.
+ROWS = 512
 # Bytes of the filter and single tokens that may be sent to the workers; bytes of the filter that pass the driver at a time.
 SENT_BYTES, HEAD, FETCHED = 100_000_000, 500_000, 12_000_000
 # Two marks that no word can be, as words hold no spaces.
@@ -71,9 +73,12 @@ START_KEY, END_KEY = (int(k) for k in _word_keys([START, END]).view(np.int64))
 class Slice:
     """Some texts as one sequence: ``keys[o]`` is the key of the o tokens that end at each place, ``place`` the place in the text.
 
-    Place 0 is the mark of the start; the tokens and the end follow. ``keys[o]`` holds where ``place >= o - 1``.
+    Place 0 is the mark of the start; the tokens and the end follow. ``keys[o]`` holds where ``place >= o - 1``. ``words`` are the keys
+    of the distinct tokens, ``ids`` tells which of them stands at each place.
     """
 
+    words: np.ndarray
+    ids: np.ndarray
     keys: dict[int, np.ndarray]
     place: np.ndarray
     begin: np.ndarray
@@ -84,25 +89,27 @@ def slice_of(texts: list[list[bytes]], order: int) -> Slice:
     ids = np.fromiter(chain.from_iterable(chain((0,), map(number.__getitem__, t), (1,)) for t in texts), np.int64)
     sizes = np.array([len(t) + 2 for t in texts], np.int64)
     begin = np.cumsum(sizes) - sizes
-    word = _word_keys(number)[ids]
+    words = _word_keys(number)
+    word = words[ids]
     keys = {1: word}
     for o in range(2, order + 1):
         keys[o] = word.copy()
         keys[o][1:] = mix(keys[o - 1][:-1] * SPREAD + word[1:] + np.uint64(o))
-    return Slice(keys, np.arange(len(ids)) - np.repeat(begin, sizes), begin)
+    return Slice(words, ids, keys, np.arange(len(ids)) - np.repeat(begin, sizes), begin)
 
 
-def split(texts: list, limit: int = SLICE) -> Iterator[tuple[int, list[list[bytes]]]]:
+def split(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE) -> Iterator[tuple[int, list[list[bytes]]]]:
     """(first row, tokens of some texts) of one batch; a text beyond the limit stands alone. Null texts have no words."""
     held: list[list[bytes]] = []
     n = first = 0
-    for i, t in enumerate(texts):
-        words = (t or "").encode().lower().split()
-        if held and n + len(words) > limit:
-            yield first, held
-            held, n, first = [], 0, i
-        held.append(words)
-        n += len(words)
+    for at in range(0, len(texts), ROWS):
+        for i, t in enumerate(texts.slice(at, ROWS).to_pylist(), at):
+            words = (t or "").encode().lower().split()
+            if held and n + len(words) > limit:
+                yield first, held
+                held, n, first = [], 0, i
+            held.append(words)
+            n += len(words)
     if held:
         yield first, held
 
@@ -250,20 +257,14 @@ Lookup = Callable[[np.ndarray], np.ndarray]
 
 def per_position(s: Slice, lookup: Lookup, whole: float, order: int) -> tuple[np.ndarray, np.ndarray]:
     """log10 probability of every place of the slice (0 at the start marks), and the level of its token."""
-    def levels(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(s.place), np.int64)
-        distinct, back = np.unique(keys[at], return_inverse=True)
-        out[at] = lookup(distinct)[back]
-        return out
-
-    single = last = levels(s.keys[1], np.arange(len(s.place)))
+    single = last = lookup(s.words)[s.ids]
     p = (VALUES[single] + 0.5) / whole
     for o in range(2, order + 1):
         at = np.flatnonzero(s.place >= o - 1)
         # Shorter parts: what ends here without the first token, and the history without this token.
         at = at[(last[at] > 0) & (last[at - 1] > 0)]
-        now = levels(s.keys[o], at)
-        now[at] = np.minimum(now[at], np.minimum(last[at], last[at - 1]))
+        now = np.zeros(len(s.place), np.int64)
+        now[at] = np.minimum(lookup(s.keys[o][at]), np.minimum(last[at], last[at - 1]))
         history = np.zeros(len(s.place))
         seen = np.flatnonzero(s.place >= o - 1)
         history[seen] = VALUES[last[seen - 1]]
@@ -276,11 +277,12 @@ def scored(texts: list[list[bytes]], lookup: Lookup, totals: Totals, order: int)
     """For each text: tokens, score, and of the base score and the known tokens what can be told here; ``tail`` is to be joined."""
     s = slice_of(texts, order)
     logs, single = per_position(s, lookup, totals.whole, order)
-    token = s.keys[1].view(np.int64)
-    at = np.minimum(np.searchsorted(totals.head, token), max(len(totals.head) - 1, 0))
-    frequent = totals.head[at] == token if len(totals.head) else np.zeros(len(token), bool)
+    word = s.words.view(np.int64)
+    at = np.minimum(np.searchsorted(totals.head, word), max(len(totals.head) - 1, 0))
+    frequent = totals.head[at] == word if len(totals.head) else np.zeros(len(word), bool)
+    count = np.where(frequent, totals.head_counts[at], 0)[s.ids] if len(totals.head) else np.zeros(len(s.ids))
+    frequent, token = frequent[s.ids], s.keys[1].view(np.int64)
     real = s.place > 0
-    count = np.where(frequent, totals.head_counts[at], 0) if len(totals.head) else np.zeros(len(token))
     sure = real & (frequent | (single == 0))
     base = np.where(sure, np.log10((count + 0.5) / totals.whole), 0.0)
     total = lambda x: np.add.reduceat(x, s.begin).tolist()
@@ -304,11 +306,12 @@ def counted(texts: DataFrame, segments: int, order: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, words in split(batch.column(0).to_pylist()):
+            for _, words in split(batch.column(0)):
                 s = slice_of(words, order)
                 rows: list[tuple] = []
                 for o, keys in s.keys.items():
-                    distinct, n = np.unique(keys[s.place >= o - 1], return_counts=True)
+                    distinct, n = (s.words, np.bincount(s.ids)) if o == 1 else np.unique(keys[s.place >= o - 1], return_counts=True)
+                    distinct, n = distinct[n > 0], n[n > 0]
                     for once in (True, False):
                         part, many = distinct[(n == 1) == once], n[(n == 1) == once].astype(np.uint32)
                         at = (part % np.uint64(segments)).astype(np.int64)
@@ -367,7 +370,7 @@ def _by_sent_filter(rows: DataFrame, parts: DataFrame, totals: Totals, order: in
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, totals = [p.value for p in pieces], frequent.value
         for batch in batches:
-            for first, words in split(batch.column("text").to_pylist(), AT_ONCE):
+            for first, words in split(batch.column("text"), AT_ONCE):
                 row = batch.column("row").slice(first, len(words))
                 yield pa.RecordBatch.from_arrays([row, *_rows(scored(words, lambda keys: read_levels(tables, keys), totals, order))], names=["row", *(c.split()[0] for c in SCORED.split(", "))])
 
@@ -382,10 +385,10 @@ def _by_segments(rows: DataFrame, parts: DataFrame, totals: Totals, order: int)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, row = batch.column("text").to_pylist(), batch.column("row").to_pylist()
+            texts, row = batch.column("text"), batch.column("row").to_pylist()
             for first, words in split(texts):
                 # The first row's number names the slice.
-                out = [(row[first], row[first + i], texts[first + i], None, None) for i in range(len(words))]
+                out = [(row[first], row[first + i], t, None, None) for i, t in enumerate(texts.slice(first, len(words)).to_pylist())]
                 s = slice_of(words, order)
                 keys = np.unique(np.concatenate([k[s.place >= o - 1] for o, k in s.keys.items()]))
                 at = (keys % np.uint64(n)).astype(np.int64)
