@@ -64,3 +64,27 @@ IMAGES = """(SELECT vec_id * 2 AS id,
              SELECT vec_id * 2 + 1 AS id,
                list_transform(embedding, lambda x, i: round(127.5 + CAST(x AS DOUBLE) * 300.0) + (i - 1) % 5) AS gray
              FROM embeddings)"""
+
+
+def message_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of a conversation as versions of its three messages: some edits change nothing, some messages are removed early."""
+    turn = F.col("turn")
+    kind = F.when((turn == 3) & (F.col("conv_id") % 3 == 0), "remove").when(turn >= 6, F.when(F.col("role") == "user", "remove").otherwise("edit")).when(
+        turn < 3, "new").otherwise("edit")
+    text = F.when((F.length("text") % 4 == 0) | ((F.col("conv_id") % 5 == 0) & (turn % 3 == 1)), F.lit("same")).otherwise(F.col("text"))
+    return table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + turn).alias("seq"), F.col("conv_id").alias("chat_id"), (turn % 3).alias("id"), kind.alias("kind"), text.alias("text"))
+
+
+CHANGED = """(
+WITH e AS (SELECT conv_id * 1000 + turn AS seq, conv_id AS chat_id, turn % 3 AS id,
+    CASE WHEN turn = 3 AND conv_id % 3 = 0 THEN 'remove' WHEN turn >= 6 THEN CASE WHEN role = 'user' THEN 'remove' ELSE 'edit' END
+      WHEN turn < 3 THEN 'new' ELSE 'edit' END AS kind,
+    CASE WHEN length(text) % 4 = 0 OR (conv_id % 5 = 0 AND turn % 3 = 1) THEN 'same' ELSE text END AS text FROM conversations),
+live AS (SELECT e.* FROM e LEFT JOIN (SELECT chat_id, id, min(seq) AS gone FROM e WHERE kind = 'remove' GROUP BY ALL) r USING (chat_id, id)
+  WHERE gone IS NULL OR seq <= gone),
+step AS (SELECT *, lag(text) OVER w AS before, lag(seq) OVER w IS NULL AS first FROM live WINDOW w AS (PARTITION BY chat_id, id ORDER BY seq)),
+done AS (SELECT *, CASE WHEN kind = 'remove' THEN CASE WHEN NOT first THEN 'retract' END WHEN first THEN 'insert'
+  WHEN before IS DISTINCT FROM text THEN 'update' END AS op FROM step)
+SELECT seq, chat_id, id, op, row_number() OVER (PARTITION BY chat_id, id ORDER BY seq) AS version,
+  CASE WHEN op <> 'retract' THEN text END AS text FROM done WHERE op IS NOT NULL)"""

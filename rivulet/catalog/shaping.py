@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_links as strip
+from ..operators import changes
 from ..operators import enrich as E
 from ..operators import project as P
 from ..plans.curate import route_forwards
 from ..plans.publish import outbox as publish
 from ..schema import Options
-from .base import DOCS, documents, table, texts
+from .base import CHANGED, DOCS, documents, message_events, table, texts
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -152,6 +154,35 @@ def enrich_distinct(spark, sf):
     return out.select("id", F.md5("en_message").alias("digest"))
 
 
+def letter_model():
+    """A small fixed model: how often the five vowels stand in a text, as a vector of length 1."""
+    def predict(found):
+        counts = np.array([[t.count(v) for v in "aeiou"] for t in found], dtype=np.float64) + 1
+        return counts / np.linalg.norm(counts, axis=1)[:, None]
+    return predict
+
+
+@_register("embed_texts", """
+WITH c AS (SELECT doc_id AS id, list_transform(['a', 'e', 'i', 'o', 'u'], lambda v: length(text) - length(replace(text, v, '')) + 1.0) AS n FROM documents)
+SELECT id, CAST(g - 1 AS INTEGER) AS pos, round(CAST(n[g] / sqrt(list_sum(list_transform(n, lambda x: x * x))) AS DOUBLE), 5) AS value
+FROM c, range(1, 6) t(g)""")
+def embed_texts(spark, sf):
+    vectors = E.embed(texts(spark, sf), letter_model)
+    return vectors.select("id", F.posexplode("vec").alias("pos", "value")).select("id", "pos", F.round("value", 5).alias("value"))
+
+
+@_register("change_feed", f"SELECT seq, chat_id, id, op, version, text FROM {CHANGED}")
+def change_feed(spark, sf):
+    return changes.change_feed(message_events(spark, sf)).select("seq", "chat_id", "id", "op", "version", "text")
+
+
+@_register("published_now", f"""
+SELECT chat_id, id, text FROM (SELECT *, row_number() OVER (PARTITION BY chat_id, id ORDER BY version DESC) AS r FROM {CHANGED})
+WHERE r = 1 AND op <> 'retract'""")
+def published_now(spark, sf):
+    return changes.current(changes.change_feed(message_events(spark, sf))).select("chat_id", "id", "text")
+
+
 @_register("mean_pool_normalize", """
 WITH e AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
 m AS (SELECT label, pos, avg(CAST(v AS DOUBLE)) AS mean FROM e GROUP BY ALL),

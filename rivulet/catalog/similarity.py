@@ -254,6 +254,34 @@ def image_dup_pairs(spark, sf):
     return _shown(found).withColumn("score", F.round("score", 4))
 
 
+# Every 25th image and its brighter copy are twice as large: each pixel four times. Pairs are compared at the size of the later one.
+_SSIM_SIZES = f"""im AS MATERIALIZED (SELECT id, gray, (id // 2) % 25 = 0 AS big FROM {IMAGES}),
+sized AS MATERIALIZED (SELECT id, 8 AS side, gray FROM im UNION ALL
+  SELECT id, 16, list_transform(range(256), lambda k: gray[CAST(1 + (k // 32) * 8 + (k % 16) // 2 AS BIGINT)]) FROM im),
+corner AS (SELECT 8 AS side, unnest([0, 1, 8, 9]) AS c UNION ALL SELECT 16, r * 16 + k FROM range(10) a(r), range(10) b(k)),
+win AS MATERIALIZED (SELECT id, side, c, m, list_transform(px, lambda p: p - m) AS d FROM (SELECT id, side, c, px, list_avg(px) AS m FROM (
+  SELECT id, sized.side, c, list_transform(range(49), lambda k: gray[CAST(1 + c + (k // 7) * sized.side + k % 7 AS BIGINT)]) AS px
+  FROM sized JOIN corner USING (side)))),
+wv AS MATERIALIZED (SELECT *, list_dot_product(d, d) / 48 AS var FROM win),
+sim AS MATERIALIZED (SELECT a.id, b.id AS other_id, avg((2 * a.m * b.m + 6.5025) / (a.m * a.m + b.m * b.m + 6.5025)
+  * (2 * list_dot_product(a.d, b.d) / 48 + 58.5225) / (a.var + b.var + 58.5225)) AS score
+  FROM wv a JOIN im ON im.id = a.id AND a.side = CASE WHEN big THEN 16 ELSE 8 END JOIN wv b ON a.c = b.c AND a.side = b.side AND b.id < a.id GROUP BY ALL)"""
+
+
+@_register("image_dup_sizes", f"""WITH RECURSIVE {_SSIM_SIZES}, edges AS MATERIALIZED (
+  SELECT id, other_id, score, 'image' AS tier, 0 AS rank FROM sim WHERE round_even(score, 2) > 0.9), {_GREEDY}
+SELECT id, tier, matched_id, round(score, 4) AS score FROM why""")
+def image_dup_sizes(spark, sf):
+    """Images of two sizes, compared at full size."""
+    rows = images(spark, sf)
+    big = F.floor(F.col("id") / 2) % 25 == 0
+    doubled = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: F.get("gray", (F.floor(k / 32) * 8 + F.floor((k % 16) / 2)).cast("int")))
+    side = F.when(big, 16).otherwise(8)
+    rows = rows.withColumns({"gray": F.when(big, doubled).otherwise(F.col("gray")), "height": side, "width": side})
+    found = greedy.suppress(rows.select("id", "seq"), [I.image_tier(rows)])
+    return _shown(found).withColumn("score", F.round("score", 4))
+
+
 @_register("image_hist_corr", f"""
 WITH px AS (SELECT id, unnest(gray) AS bin FROM {IMAGES}), h AS (SELECT id, bin, count(*) AS n FROM px WHERE bin < 255 GROUP BY ALL),
 s AS (SELECT id, sum(n) AS s, sum(n * n) AS q FROM h GROUP BY 1),

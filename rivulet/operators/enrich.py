@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import settle
 from .skew import if_small, join_counted, join_skewed
@@ -29,6 +32,20 @@ def enrich_text(messages: DataFrame, fn: Callable[[pd.Series], pd.Series], text:
     return join_counted(keyed, found, "_key", F.monotonically_increasing_id(), "left", "_n").drop("_key")
 
 
+def embed(messages: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]], text: str = "text", name: str = "vec",
+          batch: int = 64) -> DataFrame:
+    """Add the vector of every text; null where there is no text.
+
+    ``load`` makes the model: a function from an array of ``batch`` texts to an array of vectors. It is called once per Python
+    worker, and the model sees every distinct text once. The join back is salted, as for :func:`enrich_text`.
+    """
+    model = predict_batch_udf(load, return_type=T.ArrayType(T.DoubleType()), batch_size=batch)
+    keyed = messages.withColumn("_key", F.sha2(text, 256))
+    distinct = keyed.groupBy("_key").agg(F.any_value(text).alias("_text"), F.count(F.lit(1)).alias("_n"))
+    found = settle(distinct.where(F.col("_text").isNotNull()).select("_key", "_n", model("_text").alias(name)))
+    return join_counted(keyed, found, "_key", F.monotonically_increasing_id(), "left", "_n").drop("_key")
+
+
 def lexicon_translate(messages: DataFrame, lexicon: DataFrame, text: str = "text", name: str = "en_message") -> DataFrame:
     """Replace each space-separated word found in ``lexicon (word, en)``; others stay."""
     words = messages.select("id", F.posexplode(F.split(text, " ", -1)).alias("pos", "word"))

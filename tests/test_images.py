@@ -1,7 +1,16 @@
+import struct
+import zlib
+
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from rivulet.functions.images import area_resize, grayscale, ssim, ssim_feature
+from rivulet.functions.images import area_resize, decode_png, grayscale, negative_share, ssim, ssim_feature
 from rivulet.operators import greedy, images as I
+from rivulet.plans.curate import Dims, curate
+from rivulet.schema import FILE, Options
+from rivulet.sources.lists import read_attachments
+from rivulet.sources.sinks import write_image_audit
 
 
 def test_feature_bounds_the_score():
@@ -10,8 +19,107 @@ def test_feature_bounds_the_score():
         a = rng.integers(0, 256, (8, 8)).astype(float)
         b = np.clip(a + rng.normal(size=(8, 8)) * rng.choice([1, 10, 40]), 0, 255)
         s = ssim(a, b)
-        if s > 0.76:  # then no window of four can have a negative bound
-            assert ssim_feature(a) @ ssim_feature(b) >= s - 1e-9
+        if s > 0.76:  # then no window of four can be negative
+            assert negative_share(8, 8, 0.76) == 0 and ssim_feature(a) @ ssim_feature(b) >= s - 1e-9
+
+
+def test_feature_bounds_the_score_at_any_size():
+    rng = np.random.default_rng(2)
+    close = 0
+    for h, w in [(8, 8), (9, 23), (16, 16), (40, 31), (64, 64)]:
+        for noise in (1, 3, 8, 20, 60):
+            a = area_resize(rng.integers(0, 256, (8, 8)).astype(float), h, w) + rng.normal(size=(h, w)) * 3
+            b = a + rng.normal(size=(h, w)) * noise * (rng.random((h, w)) < rng.choice([0.02, 0.3, 1]))
+            s = ssim(a, b)
+            fa, fb = ssim_feature(a), ssim_feature(b)
+            assert len(fa) == len(fb) == 801 and abs(fa @ fa - 1) < 1e-9
+            if s > 0.8:
+                close += 1
+                assert fa @ fb >= s - negative_share(h, w, s) - 1e-9
+    assert close > 5
+
+
+def patched(sign):
+    """A flat image with a small pattern in its middle: what differs is a twentieth of the windows, but all of the thumbnail."""
+    image = np.full((64, 64), 128.0)
+    image[29:35, 29:35] += sign * 100 * np.kron([[1, -1], [1, 1]], np.ones((3, 3)))
+    return image
+
+
+def test_a_pair_that_thumbnails_lose_is_found(spark):
+    a, b = patched(1), patched(-1)
+    assert ssim(a, b) > 0.905
+    small = [area_resize(x, 8, 8) for x in (a, b)]
+    assert ssim_feature(small[0]) @ ssim_feature(small[1]) < 0.9
+    rows = [(i, i, [float(x) for x in g.ravel()], *g.shape) for i, g in enumerate([a, np.kron(small[0], np.ones((2, 2))), b])]
+    df = spark.createDataFrame(rows, "id long, seq long, gray array<double>, height int, width int")
+    out = {r.id: r for r in greedy.suppress(df.select("id", "seq"), [I.image_tier(df)]).collect()}
+    assert out[2].matched_id == 0 and out[2].score == pytest.approx(ssim(a, b))
+
+
+def png(pixels, filters=(0, 1, 2, 3, 4)):
+    """A PNG file whose lines take turns with all filters."""
+    h, w, c = pixels.shape
+    lines, above = [], np.zeros((w, c), int)
+    for y in range(h):
+        row, f = pixels[y].astype(int), filters[y % len(filters)]
+        left = np.vstack([np.zeros((1, c), int), row[:-1]])
+        corner = np.vstack([np.zeros((1, c), int), above[:-1]])
+        p = left + above - corner
+        far = np.abs(np.stack([p - left, p - above, p - corner]))
+        paeth = np.where((far[0] <= far[1]) & (far[0] <= far[2]), left, np.where(far[1] <= far[2], above, corner))
+        guess = [0, left, above, (left + above) // 2, paeth][f]
+        lines.append(bytes([f]) + ((row - guess) & 255).astype(np.uint8).tobytes())
+        above = row
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    head = struct.pack(">IIBBBBB", w, h, 8, {1: 0, 2: 4, 3: 2, 4: 6}[c], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("channels", [1, 2, 3, 4])
+def test_png_files_are_read(channels):
+    pixels = np.random.default_rng(channels).integers(0, 256, (11, 9, channels)).astype(np.uint8)
+    want = pixels[..., 0].astype(float) if channels < 3 else grayscale(pixels[..., 2::-1])
+    assert (decode_png(png(pixels)) == want).all()
+    with pytest.raises(ValueError):
+        decode_png(b"GIF89a")
+
+
+def test_attachments_reach_the_curation(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    one = np.kron(rng.integers(40, 215, (8, 8, 1)), np.ones((2, 2, 1), int)).astype(np.uint8)
+    other = rng.integers(0, 256, (16, 16, 3)).astype(np.uint8)
+    files = {"a.png": png(one), "b.png": png(other), "c.png": png(np.clip(one.astype(int) + 1, 0, 255).astype(np.uint8)), "d.bin": b"no image"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    attached = read_attachments(spark, str(tmp_path)).withColumn("seq", F.ascii("file_name").cast("long"))
+    assert {r.file_name: bytes(r.bytes) for r in attached.collect()} == files
+    as_file = F.struct(*[F.col(f.name).alias(f.name) if f.name in ("bytes", "file_name", "file_size") else (F.lit(True) if f.name == "as_image" else F.lit(None)).cast(
+        f.dataType).alias(f.name) for f in FILE.fields])
+    messages = attached.select("seq", F.array(as_file).alias("files"))
+    read = I.decode_files(I.image_files(messages))
+    assert {r.file_name: r.problem is not None for r in read.collect()} == {"a.png": False, "b.png": False, "c.png": False, "d.bin": True}
+    shown = I.message_images(messages)
+    assert shown.count() == 3
+    texts = messages.select("seq", F.lit(1).cast("long").alias("chat_id"), F.lit("A").alias("chat_title"), F.concat(F.lit("text "), "seq").alias("text"), F.lit(False).alias("is_forward"))
+    done = {r.seq: r for r in curate(texts, Dims(images=shown), Options(remove_signatures=False)).collect()}
+    assert {k: r.outcome for k, r in done.items()} == {97: "sent", 98: "sent", 99: "duplicate", 100: "sent"}
+    assert done[99].tier == "image" and done[99].matched_id == 97
+
+
+def test_images_of_the_image_source(spark, tmp_path):
+    pixels = np.random.default_rng(6).integers(0, 256, (9, 8, 3)).astype(np.uint8)
+    (tmp_path / "x.png").write_bytes(png(pixels))
+    row = I.decode(spark.read.format("image").load(str(tmp_path))).select("gray", "height", "width").first()
+    assert (row.height, row.width) == (9, 8) and (np.array(row.gray).reshape(9, 8) == grayscale(pixels[..., ::-1])).all()
+
+
+def test_the_audit_of_pairs_survives_a_replay(spark, tmp_path):
+    pairs = spark.createDataFrame([(2, 1), (3, 1)], "id long, matched_id long")
+    for _ in range(2):
+        write_image_audit(pairs, str(tmp_path / "audit"), 4)
+    got = spark.read.parquet(str(tmp_path / "audit"))
+    assert got.count() == 2 and got.select("pair_key").distinct().count() == 2
 
 
 def test_kernels():
