@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,14 +31,17 @@ COVER, VERBATIM = 0.5, 13
 # Words a worker remembers.
 MEMORY = 400_000
 
-NUMERAL = re.compile(r"\d[\d.,:/]*([^\W\d_]*)")
+NUMERAL = re.compile(r"\d[\d.,:/]*([°%€$£]?[^\W\d_]*)")
 EDGES = re.compile(r"^\W+|\W+$")
+STOPS = ".,;:!?"
 # Units, which count as such after a number only.
 UNITS = frozenset("""
 m km cm mm mi mile miles ft foot feet inch inches yd yard yards g kg mg t ton tons lb lbs oz pound pounds l ml litre litres
 liter liters gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year
 years % percent ° degree degrees c f k v w kw hz khz mhz ghz kb mb gb tb mph kmh € $ £ euro euros dollar dollars cent cents
 """.split())
+# What may be glued to a number besides a unit.
+SUFFIXES = frozenset("x st nd rd th °c °f °k".split())
 # Words that may stand for a number.
 NUMBER_WORDS = frozenset("""
 zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen
@@ -47,6 +51,7 @@ twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million b
 # capital that is a unit's sign as well is one after a number.
 WORD, NUMBER, UNIT, NAME, SKIP, LIKE_NUMBER, LIKE_NAME, LIKE_SIGN = range(8)
 STRICT, LOOSE, RAW = range(3)
+LISTED = dict.fromkeys(NUMBER_WORDS, LIKE_NUMBER) | dict.fromkeys(UNITS, UNIT)
 PLACEHOLDERS = mix(np.arange(1, 6, dtype=np.uint64))
 STEP = np.uint64(0x9E3779B97F4A7C15)
 # Texts are worked on together until they hold so many tokens.
@@ -62,22 +67,25 @@ class Words(dict):
     """``hash << 4 | ends a sentence << 3 | class`` of a token, found once; UNIT and NAME are only possible classes."""
 
     def __missing__(self, token: str) -> int:
-        inner = EDGES.sub("", token)
+        # Most tokens are small letters with a stop behind them at most.
+        inner = token.rstrip(STOPS)
+        if not inner.isalpha():
+            inner = EDGES.sub("", token)
         low = inner.lower()
-        numeral = NUMERAL.fullmatch(low)
+        kind = LISTED.get(low, WORD)
+        if kind == UNIT:
+            kind = LIKE_SIGN if inner.isupper() and len(inner) == 1 else UNIT
+        elif kind == WORD and inner != low:
+            if inner[0].isupper() and inner[1:].islower():
+                kind = NAME
+            elif inner[0].isupper() and (len(inner) == 1 and inner not in "AI" or any(map(str.islower, inner))):
+                kind = LIKE_NAME
         if not inner:
             kind = SKIP
-        elif numeral and (not numeral[1] or numeral[1] in UNITS):
-            kind = NUMBER
-        elif low in UNITS:
-            kind = LIKE_SIGN if inner.isupper() and len(inner) == 1 else UNIT
-        elif low in NUMBER_WORDS:
-            kind = LIKE_NUMBER
-        elif inner[0].isupper() and inner[1:].islower():
-            kind = NAME
-        else:
-            lone = len(inner) == 1 and inner not in "AI"
-            kind = LIKE_NAME if inner[0].isupper() and (lone or any(map(str.islower, inner))) else WORD
+        elif low[0].isdecimal():
+            numeral = NUMERAL.fullmatch(low)
+            if numeral and (not numeral[1] or numeral[1] in UNITS or numeral[1] in SUFFIXES):
+                kind = NUMBER
         out = xxh3_64_intdigest(low) >> 5 << 4 | (token[-1] in ".!?") << 3 | kind
         if len(self) >= MEMORY:
             self.clear()
@@ -85,6 +93,12 @@ class Words(dict):
         return out
 
 
+@lru_cache
+def words_of_worker() -> Words:
+    """What this process remembers from one task to the next."""
+    return Words()
+
+
 class Templates:
     """Template tokens of several texts: 64-bit codes, classes, raw tokens, and the text each belongs to.
 
@@ -109,7 +123,10 @@ class Templates:
         strict = np.where((kind == NAME) & opens | (kind == UNIT) & ~after_number | (kind > SKIP), WORD, kind)
         loose = np.where((kind == UNIT) & ~after_number & ~after_like, WORD, kind)
         loose = np.where(kind == LIKE_NUMBER, NUMBER, np.where(kind == LIKE_NAME, np.where(sign & after_like, UNIT, NAME), loose))
-        self.place = np.flatnonzero(kind != SKIP)
+        # Names in a row are one: a name of two words may stand where the item has one of three.
+        more = np.zeros(len(tokens), bool)
+        more[1:] = (strict[1:] == NAME) & (strict[:-1] == NAME) & (owner[1:] == owner[:-1])
+        self.place = np.flatnonzero((kind != SKIP) & ~more)
         self.kinds = {STRICT: strict[self.place], LOOSE: loose[self.place]}
         self.owner, self.tokens = owner[self.place], tokens
         raw = coded[self.place].view(np.uint64) >> np.uint64(4)
@@ -207,7 +224,7 @@ def template_windows(rows: DataFrame, text: str, into: str, bitmap: np.ndarray |
 
     @F.arrow_udf(KIND)
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words, table = Words(), shipped.value
+        words, table = words_of_worker(), shipped.value
         for batch in batches:
             out = []
             for texts in in_groups(batch.to_pylist()):
