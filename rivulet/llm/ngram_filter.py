@@ -25,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -35,15 +36,16 @@ from ..session import settle
 from .common import mix
 
 ORDER = 2
-# Levels: counts grow by this factor from one to the next. Bits set for each entry of the filter.
-STEP, PROBES = 1.5, 7
+# Levels: counts grow by this factor from one to the next. Bits probed for each entry, all in one word of 64, and bits of room for it:
+# an entry that is not there is found once in a hundred times.
+STEP, PROBES, ROOM = 1.5, 5, 12
 PRIOR = 20.0
 # Tokens that are counted together, and scored together; text bytes per segment.
 SLICE, AT_ONCE, SEGMENT_BYTES = 250_000, 250_000, 8_000_000
 # Rows of a batch that are held as Python strings at a time.
 ROWS = 512
 # Bytes of the filter and single tokens that may be sent to the workers; bytes of the filter that pass the driver at a time.
-SENT_BYTES, HEAD, FETCHED = 100_000_000, 500_000, 12_000_000
+SENT_BYTES, HEAD, FETCHED = 128_000_000, 500_000, 12_000_000
 # Two marks that no word can be, as words hold no spaces.
 START, END = b" start", b" end"
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -135,69 +137,83 @@ def _values() -> np.ndarray:
 VALUES = _values()
 
 
-def _places(keys: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
-    """The bits of these entries, one probe after the other."""
+def _entries(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """For these n-grams at this level: a number below 2**32 that chooses the word, and the bits in it."""
     h = _of_level(keys, level)
-    step = mix(h) | np.uint64(1)
-    for _ in range(PROBES):
-        yield (h % np.uint64(bits)).astype(np.int64)
-        h += step
+    bits = np.zeros(len(h), np.uint64)
+    for i in range(PROBES):
+        bits |= np.uint64(1) << (h >> np.uint64(6 * i) & np.uint64(63))
+    return h >> np.uint64(32), bits
+
+
+def _scaled(x: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    """Numbers below 2**32 scaled to numbers below n."""
+    return (x * (np.uint64(n) if isinstance(n, int) else n) >> np.uint64(32)).astype(np.int64)
+
+
+def segment_of(keys: np.ndarray, n: int) -> np.ndarray:
+    return _scaled(keys >> np.uint64(32), n)
+
+
+def twin(keys: np.ndarray) -> np.ndarray:
+    """Other keys of the same n-grams."""
+    return mix(keys ^ SPREAD)
 
 
 def segment(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, int]:
     """The filter of these n-grams, and its number of bits."""
     levels = level_of(counts)
-    bits = 64 * max(1, math.ceil(int(levels.sum()) * PROBES / math.log(2) / 64))
-    table = np.zeros(bits, bool)
+    words = max(1, math.ceil(int(levels.sum()) * ROOM / 64))
+    table = np.zeros(words, np.uint64)
     for j in range(1, int(levels.max(initial=0)) + 1):
-        for at in _places(keys[levels >= j], j, bits):
-            table[at] = True
-    return np.packbits(table, bitorder="little").tobytes(), bits
+        x, bits = _entries(keys[levels >= j], j)
+        at = _scaled(x, words)
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        table[at[first]] |= np.bitwise_or.reduceat(bits[order], first)
+    return table.tobytes(), 64 * words
 
 
 @dataclass
 class Filter:
-    """All segments side by side."""
+    """Segments side by side: the words of the i-th begin at ``offset[i]``, ``words[i]`` are there."""
 
     table: np.ndarray
     offset: np.ndarray
-    bits: np.ndarray
+    words: np.ndarray
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        seg = (keys % np.uint64(len(self.bits))).astype(np.int64)
+    def levels(self, keys: np.ndarray, single: bool = False) -> np.ndarray:
+        """Levels of the keys. Single tokens are entered twice: as histories they weigh on all that follows them."""
+        seg = segment_of(keys, len(self.words))
+        read = self._read(keys, seg)
+        return np.minimum(read, self._read(twin(keys), seg)) if single else read
+
+    def _read(self, keys: np.ndarray, seg: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
-        left, level = np.flatnonzero(self.bits[seg]), 1
+        left, level = np.flatnonzero(self.words[seg]), 1
         while len(left):
-            for hit in self._hits(keys[left], seg[left], level):
-                left = left[hit]
+            x, bits = _entries(keys[left], level)
+            s = seg[left]
+            left = left[self.table[self.offset[s] + _scaled(x, self.words[s])] & bits == bits]
             out[left] = level
             level += 1
         return out
 
-    def _hits(self, keys: np.ndarray, seg: np.ndarray, level: int) -> Iterator[np.ndarray]:
-        """For each probe, which of the entries still there have their bit set."""
-        h = _of_level(keys, level)
-        step = mix(h) | np.uint64(1)
-        bits, offset = self.bits[seg], self.offset[seg]
-        for _ in range(PROBES):
-            at = offset + (h % bits).astype(np.int64)
-            hit = (self.table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 != 0
-            yield hit
-            h, step, bits, offset = h[hit] + step[hit], step[hit], bits[hit], offset[hit]
-
 
 def empty_filter(sizes: dict[int, int], n: int) -> Filter:
     """Room for ``n`` segments of these numbers of bits; those that are not named are empty."""
-    bits, offset, end = np.zeros(n, np.uint64), np.zeros(n, np.int64), 0
-    for i, k in sizes.items():
-        bits[i], offset[i] = k, end
-        end += k
-    return Filter(np.zeros(max(1, end // 8), np.uint8), offset, bits)
+    words, offset, end = np.zeros(n, np.uint64), np.zeros(n, np.int64), 0
+    for i, bits in sizes.items():
+        words[i], offset[i] = bits // 64, end
+        end += bits // 64
+    return Filter(np.zeros(max(1, end), np.uint64), offset, words)
 
 
 def fill(table: Filter, i: int, segment: bytes) -> None:
-    at = int(table.offset[i]) >> 3
-    table.table[at:at + len(segment)] = np.frombuffer(segment, np.uint8)
+    at = int(table.offset[i])
+    part = np.frombuffer(segment, np.uint64)
+    table.table[at:at + len(part)] = part
 
 
 def joined(segments: list[tuple[int, bytes, int]], n: int) -> Filter:
@@ -227,13 +243,13 @@ def sent(parts: DataFrame, n: int) -> list[Broadcast[Filter]]:
     return out
 
 
-def read_levels(pieces: list[Filter], keys: np.ndarray) -> np.ndarray:
+def read_levels(pieces: list[Filter], keys: np.ndarray, single: bool = False) -> np.ndarray:
     """Levels of the keys, each from the piece that holds its segment."""
-    piece = keys % np.uint64(len(pieces[0].bits)) % np.uint64(len(pieces))
+    piece = segment_of(keys, len(pieces[0].words)) % len(pieces)
     out = np.zeros(len(keys), np.int64)
     for k, table in enumerate(pieces):
         at = np.flatnonzero(piece == k)
-        out[at] = table.levels(keys[at])
+        out[at] = table.levels(keys[at], single)
     return out
 
 
@@ -252,19 +268,20 @@ class Totals:
         return self.tokens + 0.5 * (self.distinct + 1)
 
 
-Lookup = Callable[[np.ndarray], np.ndarray]
+# Levels of keys; the second value says whether they are single tokens.
+Lookup = Callable[[np.ndarray, bool], np.ndarray]
 
 
 def per_position(s: Slice, lookup: Lookup, whole: float, order: int) -> tuple[np.ndarray, np.ndarray]:
     """log10 probability of every place of the slice (0 at the start marks), and the level of its token."""
-    single = last = lookup(s.words)[s.ids]
+    single = last = lookup(s.words, True)[s.ids]
     p = (VALUES[single] + 0.5) / whole
     for o in range(2, order + 1):
         at = np.flatnonzero(s.place >= o - 1)
         # Shorter parts: what ends here without the first token, and the history without this token.
         at = at[(last[at] > 0) & (last[at - 1] > 0)]
         now = np.zeros(len(s.place), np.int64)
-        now[at] = np.minimum(lookup(s.keys[o][at]), np.minimum(last[at], last[at - 1]))
+        now[at] = np.minimum(lookup(s.keys[o][at], False), np.minimum(last[at], last[at - 1]))
         history = np.zeros(len(s.place))
         seen = np.flatnonzero(s.place >= o - 1)
         history[seen] = VALUES[last[seen - 1]]
@@ -314,7 +331,7 @@ def counted(texts: DataFrame, segments: int, order: int) -> DataFrame:
                     distinct, n = distinct[n > 0], n[n > 0]
                     for once in (True, False):
                         part, many = distinct[(n == 1) == once], n[(n == 1) == once].astype(np.uint32)
-                        at = (part % np.uint64(segments)).astype(np.int64)
+                        at = segment_of(part, segments)
                         by = np.argsort(at, kind="stable")
                         cut = np.flatnonzero(np.diff(at[by], prepend=-1))
                         for a, b in zip(cut, [*cut[1:], len(by)]):
@@ -330,7 +347,7 @@ def counted(texts: DataFrame, segments: int, order: int) -> DataFrame:
             sides[single][0].append(k)
             sides[single][1].append(np.frombuffer(counts, np.uint32).astype(np.int64) if counts else np.ones(len(k), np.int64))
         found = {s: summed(np.concatenate(k or [np.zeros(0, np.uint64)]), np.concatenate(c or [np.zeros(0, np.int64)])) for s, (k, c) in sides.items()}
-        bits, n = segment(*(np.concatenate([found[True][i], found[False][i]]) for i in (0, 1)))
+        bits, n = segment(np.concatenate([found[True][0], twin(found[True][0]), found[False][0]]), np.concatenate([found[True][1], found[True][1], found[False][1]]))
         tokens, counts = found[True][0].view(np.int64), found[True][1]
         at = table.column("segment")[0].as_py()
         return pa.Table.from_arrays([
@@ -372,7 +389,7 @@ def _by_sent_filter(rows: DataFrame, parts: DataFrame, totals: Totals, order: in
         for batch in batches:
             for first, words in split(batch.column("text"), AT_ONCE):
                 row = batch.column("row").slice(first, len(words))
-                yield pa.RecordBatch.from_arrays([row, *_rows(scored(words, lambda keys: read_levels(tables, keys), totals, order))], names=["row", *(c.split()[0] for c in SCORED.split(", "))])
+                yield pa.RecordBatch.from_arrays([row, *_rows(scored(words, lambda keys, single: read_levels(tables, keys, single), totals, order))], names=["row", *(c.split()[0] for c in SCORED.split(", "))])
 
     return rows.mapInArrow(score, f"row long, {SCORED}")
 
@@ -381,46 +398,51 @@ def _by_segments(rows: DataFrame, parts: DataFrame, totals: Totals, order: int)
     """The same with a filter of any size: distinct n-grams of a slice go to their segments, levels come back to the slice."""
     shipped = rows.sparkSession.sparkContext.broadcast(totals)
     n = totals.segments
-    kind = pa.schema([("slice", pa.int64()), ("row", pa.int64()), ("text", pa.string()), ("segment", pa.int64()), ("keys", pa.binary())])
+    kind = pa.schema([("slice", pa.int64()), ("row", pa.int64()), ("text", pa.string()), ("segment", pa.int64()), ("single", pa.bool_()), ("keys", pa.binary())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, row = batch.column("text"), batch.column("row").to_pylist()
             for first, words in split(texts):
                 # The first row's number names the slice.
-                out = [(row[first], row[first + i], t, None, None) for i, t in enumerate(texts.slice(first, len(words)).to_pylist())]
+                out = [(row[first], row[first + i], t, None, None, None) for i, t in enumerate(texts.slice(first, len(words)).to_pylist())]
                 s = slice_of(words, order)
-                keys = np.unique(np.concatenate([k[s.place >= o - 1] for o, k in s.keys.items()]))
-                at = (keys % np.uint64(n)).astype(np.int64)
-                by = np.argsort(at, kind="stable")
-                cut = np.flatnonzero(np.diff(at[by], prepend=-1))
-                out += [(row[first], None, None, int(at[by[a]]), keys[by[a:b]].tobytes()) for a, b in zip(cut, [*cut[1:], len(by)])]
+                for single in (True, False):
+                    keys = s.words if single else np.unique(np.concatenate([np.zeros(0, np.uint64), *(k[s.place >= o - 1] for o, k in s.keys.items() if o > 1)]))
+                    at = segment_of(keys, n)
+                    by = np.argsort(at, kind="stable")
+                    cut = np.flatnonzero(np.diff(at[by], prepend=-1))
+                    out += [(row[first], None, None, int(at[by[a]]), single, keys[by[a:b]].tobytes()) for a, b in zip(cut, [*cut[1:], len(by)])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kind)], schema=kind)
 
-    dealt = settle(rows.select("row", "text").mapInArrow(deal, "slice long, row long, text string, segment long, keys binary"))
+    dealt = settle(rows.select("row", "text").mapInArrow(deal, "slice long, row long, text string, segment long, single boolean, keys binary"))
 
     def answer(asked: pa.Table, segments: pa.Table) -> pa.Table:
+        # The only segment of a filter of one: whatever its number, all these keys belong to it.
         table = joined([(0, segments.column("table")[0].as_py(), segments.column("bits")[0].as_py())], 1) if segments.num_rows else None
         levels = []
-        for k in asked.column("keys").to_pylist():
+        for single, k in zip(asked.column("single").to_pylist(), asked.column("keys").to_pylist()):
             keys = np.frombuffer(k, np.uint64)
-            levels.append((table.levels(keys) if table else np.zeros(len(keys))).astype(np.uint8).tobytes())
-        return pa.table({"slice": asked.column("slice"), "keys": asked.column("keys"), "levels": pa.array(levels, pa.binary())})
+            levels.append((table.levels(keys, single) if table else np.zeros(len(keys))).astype(np.uint8).tobytes())
+        return pa.table({"slice": asked.column("slice"), "single": asked.column("single"), "keys": asked.column("keys"), "levels": pa.array(levels, pa.binary())})
 
-    asked = dealt.where(F.col("keys").isNotNull()).select("slice", "segment", "keys")
+    asked = dealt.where(F.col("keys").isNotNull()).select("slice", "segment", "single", "keys")
     segments = parts.where(F.col("table").isNotNull()).select("segment", "table", "bits")
-    answers = asked.groupBy("segment").cogroup(segments.groupBy("segment")).applyInArrow(answer, "slice long, keys binary, levels binary")
+    answers = asked.groupBy("segment").cogroup(segments.groupBy("segment")).applyInArrow(answer, "slice long, single boolean, keys binary, levels binary")
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(k, np.uint64) for k in known.column("keys").to_pylist()] or [np.zeros(0, np.uint64)])
-        levels = np.concatenate([np.frombuffer(v, np.uint8) for v in known.column("levels").to_pylist()] or [np.zeros(0, np.uint8)])
-        by = np.argsort(keys)
-        keys, levels = keys[by], levels[by].astype(np.int64)
+        found: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
+        for single in (True, False):
+            own = known.filter(pc.equal(known.column("single"), single))
+            keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(k, np.uint64) for k in own.column("keys").to_pylist())])
+            levels = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(v, np.uint8) for v in own.column("levels").to_pylist())])
+            by = np.argsort(keys)
+            found[single] = keys[by], levels[by].astype(np.int64)
+        lookup = lambda k, single: found[single][1][np.searchsorted(found[single][0], k)]
         words = [(t or "").encode().lower().split() for t in texts.column("text").to_pylist()]
-        found = scored(words, lambda k: levels[np.searchsorted(keys, k)], shipped.value, order) if words else None
         if not words:
             return pa.Table.from_arrays([pa.array([], pa.int64()), *_rows(dict.fromkeys(("n_tokens", "score", "base", "known", "tail"), []))], names=["row", *(c.split()[0] for c in SCORED.split(", "))])
-        return pa.Table.from_arrays([texts.column("row").combine_chunks(), *_rows(found)], names=["row", *(c.split()[0] for c in SCORED.split(", "))])
+        return pa.Table.from_arrays([texts.column("row").combine_chunks(), *_rows(scored(words, lookup, shipped.value, order))], names=["row", *(c.split()[0] for c in SCORED.split(", "))])
 
     texts = dealt.where(F.col("keys").isNull()).select("slice", "row", "text")
     return texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(score, f"row long, {SCORED}")

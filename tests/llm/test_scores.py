@@ -59,8 +59,8 @@ def compared(df, rows, tolerance):
     assert len(got) == len(want)
     for (g, score), (w, wanted) in zip(got, want):
         assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-9)
-        # What the filter lets through by chance makes a text a little more probable.
-        assert score == pytest.approx(wanted, rel=tolerance)
+        # A pair that the filter lets through by chance makes a text more probable, by a few orders at most.
+        assert score == pytest.approx(wanted, rel=tolerance, abs=5)
 
 
 def test_levels_are_exact_for_small_counts_and_near_for_large_ones():
@@ -71,15 +71,15 @@ def test_levels_are_exact_for_small_counts_and_near_for_large_ones():
 
 def test_the_filter_never_reads_too_low_and_rarely_too_high():
     r = np.random.default_rng(1)
-    keys, counts = nf.summed(r.integers(0, 2**63, 20_000).astype(np.uint64), np.minimum(r.zipf(1.5, 20_000), 10**6))
-    parts = [(i, *nf.segment(keys[keys % 5 == i], counts[keys % 5 == i])) for i in range(4)]
+    keys, counts = nf.summed(r.integers(0, 2**64, 20_000, np.uint64), np.minimum(r.zipf(1.5, 20_000), 10**6))
+    at = nf.segment_of(keys, 5)
+    parts = [(i, *nf.segment(keys[at == i], counts[at == i])) for i in range(4)]
     table = nf.joined(parts, 5)
-    read, true = table.levels(keys), nf.level_of(counts)
-    there = keys % np.uint64(5) < 4
+    read, true, there = table.levels(keys), nf.level_of(counts), at < 4
     assert (read[~there] == 0).all() and (read[there] >= true[there]).all() and (read[there] > true[there]).mean() < 0.02
-    unseen = r.integers(0, 2**63, 20_000).astype(np.uint64)
+    unseen = r.integers(0, 2**64, 20_000, np.uint64)
     assert (table.levels(unseen) > 0).mean() < 0.02
-    assert sum(len(p[1]) for p in parts) < 1.6 * true[there].sum() * nf.PROBES / 8
+    assert sum(len(p[1]) for p in parts) < 1.01 * true[there].sum() * nf.ROOM / 8
 
 
 def test_scores_of_the_test_table(spark):
