@@ -324,6 +324,36 @@ def greedy_dedup_horizon(spark, sf):
     return _shown(horizon.suppress_within(rows, tiers, HORIZON))
 
 
+_ARRIVAL = "arrival AS MATERIALIZED (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS n FROM documents)"
+_NEAR = f"JOIN arrival a ON a.id = e.id JOIN arrival b ON b.id = e.other_id WHERE a.n - b.n <= {HORIZON}"
+
+
+@_register("word_overlap_top3_horizon", f"""WITH RECURSIVE {_word_sql(_DOCS_TEXT)}, {_ARRIVAL},
+edges AS MATERIALIZED (SELECT e.* FROM ({_WORD_EDGES}) e {_NEAR}), {_GREEDY},
+ranked AS (SELECT e.id, e.other_id, round(score, 6) AS score, row_number() OVER (PARTITION BY e.id ORDER BY score DESC, e.other_id) AS rank
+  FROM overlap e {_NEAR} AND e.other_id NOT IN (SELECT id FROM lost))
+SELECT id, CAST(rank AS INTEGER) AS rank, other_id, score FROM ranked WHERE rank <= 3""")
+def word_overlap_top3_horizon(spark, sf):
+    """The three best matches of every message among the kept ones of the last messages, however low they score."""
+    rows = settle(horizon.arrivals(texts(spark, sf).select("id", "seq", "text")))
+    decisions = horizon.suppress_within(rows, [words.overlap_tier(rows)], HORIZON)
+    sets = words.hashed_sets(rows)
+    return horizon.best_within(sets, decisions.where("kept"), HORIZON, 3, horizon.word_scores(), "words").withColumn("score", F.round("score", 6))
+
+
+@_register("embedding_top1_horizon", f"""
+WITH v AS MATERIALIZED (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings)
+SELECT id, other_id, round(score, 6) AS score FROM (SELECT a.id, b.id AS other_id, list_dot_product(a.e, b.e) AS score,
+  row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.e, b.e) DESC, b.id) AS r
+  FROM v a JOIN v b ON b.n < a.n AND a.n - b.n <= {HORIZON} WHERE list_dot_product(a.e, b.e) > 0) WHERE r = 1""")
+def embedding_top1_horizon(spark, sf):
+    """The most similar of the last messages, however little similar it is."""
+    vecs = spread_small(table(spark, sf, "embeddings")).select(F.col("vec_id").alias("id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("vec"))
+    rows = settle(horizon.arrivals(vecs))
+    found = horizon.best_within(rows, rows, HORIZON, 1, horizon.vector_scores, "vec")
+    return found.select("id", "other_id", F.round("score", 6).alias("score"))
+
+
 def curated_messages(spark, sf):
     """The signed documents with links; German ones are forwards."""
     rows = signed(spark, sf).join(
