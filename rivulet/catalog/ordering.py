@@ -61,6 +61,15 @@ def signature_candidates(spark, sf):
     return G.signature_candidates(signed(spark, sf))
 
 
+@_register("signature_candidates_six", f"""
+WITH w AS (SELECT chat_id, seq, list(text) OVER (PARTITION BY chat_id ORDER BY seq ROWS 5 PRECEDING) AS recent FROM {SIGNED}),
+s AS (SELECT chat_id, seq, {_stem_sql('recent[1]', 'recent[2:6]')} AS stem FROM w WHERE len(recent) = 6)
+SELECT * FROM s WHERE stem <> ''""")
+def signature_candidates_six(spark, sf):
+    """The older window of six texts."""
+    return G.signature_candidates(signed(spark, sf), 6)
+
+
 @_register("signature_apply", f"""
 SELECT id, replace(replace(text, chat_title || ' news: ', ''), '. ', '') AS text FROM {SIGNED}""")
 def signature_apply(spark, sf):

@@ -107,8 +107,6 @@ class Options:
     control_channel: str = "control"
     default_channel: str = "main"
     # similarity
-    stem_min_len: int = 5
-    stem_ratio: float = 0.8
     stem_guard: int = 10
     embedding_guard: int = 10
     embedding_threshold: float = 0.7

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,13 +51,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_scopes = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that :func:`settle` writes inside, when everything that reads them is done.
+
+    For code that writes its results, such as the work of a micro-batch. What a function returns must not depend on tables of the scope.
+    """
+    stack = _scopes.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into a table in the shared checkpoint folder and read it back.
 
     This cuts the lineage between the rounds of iterative operators. The table
     survives the loss of an executor, unlike a local checkpoint, and stays
-    columnar, unlike an RDD checkpoint.
+    columnar, unlike an RDD checkpoint. Inside :func:`scratch` it goes when the scope ends.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    if stack := getattr(_scopes, "stack", None):
+        stack[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,7 +16,7 @@ from ..operators.control import parse_commands, switch_state
 from ..operators.select import drop_matching, followed
 from ..schema import Options
 from ..session import settle
-from ..sources.sinks import read_one, write_batch
+from ..sources.sinks import in_scratch, read_one, write_batch
 
 # kind: follow, pattern, switch or clock; value: the number of the command, of the switch, or microseconds.
 STATE = T.StructType([
@@ -76,7 +76,7 @@ def gather_stream(messages: DataFrame, commands: DataFrame, out: str, checkpoint
     both = messages.select("seq", "ts", "chat_id", "text", F.lit(False).alias("command")).unionByName(
         commands.select("seq", F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("long").alias("chat_id"), "text", F.lit(True).alias("command")))
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
+    def work(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = settle(batch)
         lists = settle(lists_before(spark, out, batch_id))
@@ -96,7 +96,7 @@ def gather_stream(messages: DataFrame, commands: DataFrame, out: str, checkpoint
         tick = newest.where("value is not null").select(F.lit("clock").alias("kind"), F.lit("").alias("name"), "value")
         write_batch(changed(lists, rows.where("command").select("seq", "text")).unionByName(tick).coalesce(1), f"{out}/lists", batch_id)
 
-    return both.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return both.writeStream.foreachBatch(in_scratch(work)).option("checkpointLocation", checkpoint)
 
 
 def removal_stream(published: DataFrame, deletions: DataFrame, keep: str = "30 days", late: str = "1 hour") -> DataFrame:
@@ -118,7 +118,7 @@ def blocklist_stream(removals: DataFrame, out: str, checkpoint: str, lists: str
     ``lists`` is the folder of :func:`gather_stream`; its newest state is read when a batch starts, and noted in ``out-switch`` so
     that a replay of the batch does the same. With the switch off nothing is appended. Each message is listed once, with its first deletion.
     """
-    def handle(batch: DataFrame, batch_id: int) -> None:
+    def work(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         noted = read_one(spark, f"{out}-switch", STATE, batch_id).first()
         on = int(noted.value) if noted else _newest_switch(spark, lists)
@@ -130,7 +130,7 @@ def blocklist_stream(removals: DataFrame, out: str, checkpoint: str, lists: str
             F.min_by(F.struct("id", line.alias("text")), "deleted_at").alias("m")).select("new_id", "m.id", "m.text")
         write_batch(lines, out, batch_id)
 
-    return removals.writeStream.outputMode("append").foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return removals.writeStream.outputMode("append").foreachBatch(in_scratch(work)).option("checkpointLocation", checkpoint)
 
 
 def _newest_switch(spark: SparkSession, lists: str | None) -> int:

@@ -10,7 +10,7 @@ from .oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
 # The others take part in tests/oracle.py, which compares all of them.
-SLOW = {"stream_pipeline", "word_overlap_best", "word_overlap_top3", "outcome_stats", "middleman_score", "stream_greedy_dedup"}
+SLOW = {"stream_greedy_horizon", "word_overlap_top3_horizon", "stream_pipeline", "word_overlap_best", "word_overlap_top3", "outcome_stats", "middleman_score", "stream_greedy_dedup"}
 
 
 @pytest.fixture(scope="module")

@@ -9,11 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from rivulet.operators import changes, enrich, greedy, horizon, words
-from rivulet.schema import Options
-from rivulet.session import settle
-from rivulet.sources.sinks import read_batches, read_one, write_batch
-from rivulet.sources.topics import read_folder
+from rivulet.schema import PROFILE, Options
+from rivulet.session import scratch, settle
+from rivulet.sources.lists import read_profiles, write_profiles
+from rivulet.sources.sinks import exists, read_batches, read_one, write_batch
+from rivulet.sources.topics import read_folder, write_folder, write_nowhere
 from rivulet.streaming.control import STATE, blocklist_stream, changed, gather_stream, removal_stream, switch_of
+from rivulet.streaming.delivery import deliver_stream
 from rivulet.streaming.greedy import KEPT, WINDOW, History, curate_stream
 from rivulet.streaming.monitor import Monitor, query_health, read_monitor
 from rivulet.streaming.pacing import Pacer, paced_stream
@@ -232,3 +234,58 @@ def test_the_model_is_loaded_once_per_worker_and_sees_each_text_once(spark, tmp_
     # One load for each worker and each call of the hook.
     assert loads and all(n <= 2 for n in loads.values())
     assert sum(int(x) for p in glob.glob(f"{folder}/seen-*") for x in open(p)) == 2 * 7
+
+
+# --- topics, delivery, lists, intermediate tables
+
+def test_records_go_through_a_topic_and_are_delivered_once(spark, tmp_path):
+    src, topic, out, c1, c2 = (str(tmp_path / p) for p in ("in", "topic", "out", "c1", "c2"))
+    schema = "key string, partition int, message string, target_channel string"
+    body = spark.createDataFrame([], "message string, target_channel string").schema
+    sent = []
+
+    def step(rows, at, broken=()):
+        put(spark, rows, schema, src)
+        run(write_folder(read_folder(spark, src, spark.createDataFrame([], schema).schema), topic, c1))
+        kind = spark.createDataFrame([], "key string, partition int, value string").schema
+        put(spark, list(broken), kind, f"{src}-other")  # another writer of the topic
+        records = read_folder(spark, topic, kind).unionByName(read_folder(spark, f"{src}-other", kind))
+        stamp = F.when(F.col("key") == "old", at - 90_000).otherwise(at)
+        records = records.withColumn("timestamp", F.timestamp_seconds(stamp)).withColumn("topic", F.lit("published"))
+        run(deliver_stream(records, body, lambda df: sent.extend((r.key, r.message) for r in df.collect()), out, c2, Options(stale_hours=1)))
+
+    step([("a", 1, "one", "main"), ("b", 2, "two", None), ("old", 0, "late", "main")], 1_000_000, [("x", 0, "{oops")])
+    step([("a", 1, "one", "main"), ("c", 1, "three", "main")], 1_000_100)
+    assert sorted(sent) == [("a", "one"), ("b", "two"), ("c", "three")]
+    receipts = {r.key: r.outcome for r in spark.read.parquet(f"{out}/receipts").collect()}
+    assert receipts == {"a": "sent", "b": "sent", "c": "sent", "old": "stale", "x": "dead_letter"}
+    assert [(r.key, r.value) for r in spark.read.parquet(f"{out}/dead_letters").collect()] == [("x", "{oops")]
+    kept = spark.read.parquet(topic)
+    assert {(r.key, r.partition) for r in kept.collect()} == {("a", 1), ("b", 2), ("old", 0), ("c", 1)}
+    run(write_nowhere(read_folder(spark, src, spark.createDataFrame([], schema).schema), str(tmp_path / "c3")))
+
+
+def test_the_newest_finished_snapshot_of_profiles_is_read(spark, tmp_path):
+    path = str(tmp_path / "profiles")
+    assert read_profiles(spark, path).count() == 0
+
+    def profile(title):
+        return spark.createDataFrame([("1", ["sig"], None, None, title, None, None)], PROFILE)
+
+    for version in (2, 10):
+        write_profiles(profile(f"v{version}"), path, version)
+    (tmp_path / "profiles" / "version=11").mkdir()  # its writer has not finished
+    assert read_profiles(spark, path).first().title == "v10" and read_profiles(spark, path, 2).first().title == "v2"
+    assert read_profiles(spark, path, 5).count() == 0
+
+
+def test_tables_of_a_scope_go_when_it_ends(spark):
+    with scratch(spark):
+        outer = settle(spark.range(3))
+        with scratch(spark):
+            inner = settle(spark.range(4))
+            assert inner.count() == 4
+        assert outer.count() == 3 and not exists(spark, inner.inputFiles()[0])
+        files = outer.inputFiles()
+    assert not any(exists(spark, f) for f in files)
+    assert settle(spark.range(5)).count() == 5  # outside of a scope a table stays

@@ -85,6 +85,14 @@ def test_blocklist_and_patterns(spark):
         assert {r.id for r in S.drop_matching(df, patterns.unionByName(many)).collect()} == {1, 4, 5}
         assert {r.id for r in S.drop_matching(odd, groups.unionByName(many)).collect()} == {6, 8}
     assert S.drop_matching(df, patterns.limit(0)).count() == 5
+    # One expression for the plain ones, one for each that reaches out; flags in front hold for their pattern only.
+    listed = ["(?i)a", "b|c", r"(x)\1", "(?:d)e", "f(?i)g", r"\Qh.\E", "(?!i)j", "(?<n>k)", r"l\\d"]
+    assert len(S._together(listed)) == 1 + 4
+    texts = ["A", "B", "c", "xx", "de", "fG", "FG", "h.", "hx", "j", "k", "l1", r"l\d", "za"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    table = spark.createDataFrame([(p,) for p in listed], "pattern string")
+    alone = {i for i, in rows.where(" or ".join(f"text rlike r'\\A(?:{p})'" for p in listed)).select("id").collect()}
+    assert {r.id for r in S.drop_matching(rows, table).collect()} == set(range(len(texts))) - alone
 
 
 def test_commands(spark):
