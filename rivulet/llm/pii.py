@@ -1,8 +1,9 @@
 """Personal data, found by column expressions only.
 
-Fixed formats are always reported. Beyond them, generators of high recall propose overlapping stretches of text; boosted
+Fixed formats are always reported. In what they leave of a text, generators of high recall propose overlapping stretches, one generator for each
+format that numbers are written in and one for any run of digits; boosted
 trees judge each by its format and the words around it, and a threshold per generator, calibrated on held-out
-rows, selects what is reported too. The trees are trained on a generated labelled sample of ``SAMPLE`` sentences and become
+rows, selects them. Of those that overlap the one farthest above its threshold is reported. The trees are trained on a generated labelled sample of ``SAMPLE`` sentences and become
 nested conditions, so that a document is judged inside its own row, without a shuffle.
 """
 
@@ -30,6 +31,10 @@ BASE = {
 }
 GENERATORS = {
     "mail_like": r"[^\s@<>()\[\]\"',;|]{1,64}+ ?(?:@|\(at\)|\[at\]) ?[^\s@<>()\[\]\"',;|]{1,64}+(?: ?(?:\(dot\)|\[dot\]) ?[A-Za-z]{2,12}+)?",
+    "phone_like": r"(?<![0-9])[(]?[0-9]{3}[)]?[ .-]{0,2}[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
+    "grouped": r"(?<![0-9])[0-9]{3,4}[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
+    "ssn_like": r"(?<![0-9])[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}(?![0-9])",
+    "card_like": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{3,7}(?![0-9])",
     "digit_run": r"(?<![0-9])[(]?[0-9](?:[ ().-]{0,2}[0-9]){8,18}+",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "hardware": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}[:]){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])",
@@ -41,7 +46,8 @@ WORDS = {
 }
 FEATURES = ["generator", "length", "digits", "letters", "marks", "opens", "luhn", "octets", "glued_before", "glued_after",
             "contact", "identity", "neutral", "groups", "dots", "at"]
-# Labelled sentence patterns; # is a digit, @ with letters as they stand. The second value is the label, L: a valid checksum.
+# Labelled sentence patterns; # is a digit, @ with letters as they stand, | parts two values. The last value is the label, L: a valid checksum.
+# A proposal is right when it is one of the values, whole.
 PATTERNS = [
     ("call me on ", "(###) ###-####", "1"), ("my mobile: ", "###-###-####", "1"), ("tel. ", "### ### ####", "1"), ("phone ", "#### ### ###", "1"),
     ("see you, ", "(###) ###-####", "1"), ("or ", "###-###-####", "1"), ("fax ", "##########", "1"), ("dial ", "0## #### ####", "1"),
@@ -51,6 +57,8 @@ PATTERNS = [
     ("write to ", "ann.lee (at) mail##.example.org", "1"), ("mail ", "joe[at]site#.example (dot) com", "1"), ("contact: ", "bob@mail##", "1"),
     ("iban ", "DE## #### #### #### #### ##", "1"), ("bank account ", "GB##WEST##############", "1"), ("paid from ", "FR## #### #### #### #### #### ###", "1"),
     ("device ", "0#:1#:a#:##:b#:##", "1"), ("adapter ", "##:##:##:##:##:##", "1"),
+    ("numbers ", "###-###-####|###-###-####", "1"), ("call ", "(###) ###-####|(###) ###-####", "1"), ("card and phone ", "#### #### #### ####|(###) ###-####", "1"),
+    ("tel ", "### ### ####|#### ### ###", "1"), ("ssn and phone ", "###-##-####|###-###-####", "1"), ("mobile ", "###.###.####", "1"), ("from ", "### ###-####", "1"),
     ("order ", "##########", "0"), ("invoice no. ", "############", "0"), ("isbn ", "978-#-##-######-#", "0"), ("isbn ", "978##########", "0"),
     ("version ", "#.#.##.####.####", "0"), ("build ", "####.##.##.####", "0"), ("tracking ", "################", "0"), ("ticket ", "### ### ###", "0"),
     ("serial ", "###-##-####", "0"), ("part ", "###-###-####", "0"), ("pi is ", "3.#########", "0"), ("total ", "###.###.###", "0"),
@@ -131,30 +139,40 @@ def features(text: Column, number: int, span: Column) -> Column:
     return F.struct(*[x.cast("double").alias(n) for n, x in zip(FEATURES, values)])
 
 
-def candidates(text: Column) -> Column:
-    """All candidates of all generators, with their features."""
+def candidates(text: Column, context: Column | None = None) -> Column:
+    """All candidates of all generators, with their features; the words around them are those of ``context``, a text with the same places."""
     parts = []
     for number, (name, pattern) in enumerate(GENERATORS.items()):
-        parts.append(F.transform(located(text, pattern), _described(text, number, name)))
+        parts.append(F.transform(located(text, pattern), _described(text if context is None else context, number, name)))
     return F.concat(*parts)
 
 
+def _of_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
 def _described(text: Column, number: int, name: str):
     return lambda s: F.struct(F.lit(name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), features(text, number, s).alias("x"))
 
 
-def labelled(spark: SparkSession, rows: int = SAMPLE) -> DataFrame:
+def labelled(spark: SparkSession, rows: int = SAMPLE, patterns: list[tuple[str, str, str]] = PATTERNS) -> DataFrame:
     """The labelled sample: candidates of generated sentences. It is the same at every call."""
-    pattern = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(y).alias("y")) for a, b, y in PATTERNS])
+    pattern = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(y).alias("y")) for a, b, y in patterns])
     filler = F.array(*[F.lit(w) for w in ("we met at noon", "the report of", "nothing more", "see below", "it was late", "in the end")])
-    picked = spark.range(rows).withColumn("p", F.get(pattern, F.pmod("id", F.lit(len(PATTERNS))).cast("int")))
+    picked = spark.range(rows).withColumn("p", F.get(pattern, F.pmod("id", F.lit(len(patterns))).cast("int")))
     value = F.array_join(F.transform(F.split("p.b", ""), lambda c, i: F.when(
         c == "#", F.pmod(F.xxhash64("id", i), F.lit(10)).cast("string")).otherwise(c)), "")
-    made = picked.withColumn("v", value).withColumn("text", F.concat(
-        F.get(filler, F.pmod(F.xxhash64("id"), F.lit(6)).cast("int")), F.lit(". "), "p.a", "v", F.lit(" "),
-        F.get(filler, F.pmod(F.xxhash64("id", F.lit(1)), F.lit(6)).cast("int"))))
-    label = F.when(F.col("p.y") == "L", luhn(digits(F.col("v"))).cast("double")).otherwise(F.col("p.y").cast("double"))
-    return made.select("id", label.alias("label"), F.explode(candidates(F.col("text"))).alias("c")).select("id", "label", "c.kind", "c.x.*")
+    made = picked.withColumn("v", value).withColumn("front", F.concat(F.get(filler, F.pmod(F.xxhash64("id"), F.lit(6)).cast("int")), F.lit(". "), "p.a"))
+    made = made.withColumn("text", F.concat("front", F.replace("v", F.lit("|"), F.lit(" ")), F.lit(" "), F.get(filler, F.pmod(F.xxhash64("id", F.lit(1)), F.lit(6)).cast("int"))))
+    # The values end at the bars and at the end, and begin behind the one before.
+    parts = F.split("v", r"\|")
+    begin = F.struct(F.length("front").alias("pos"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    true = F.aggregate(parts, begin, lambda acc, x: F.struct((acc["pos"] + F.length(x) + 1).alias("pos"), F.concat(
+        acc["out"], F.array(F.struct(acc["pos"].alias("start"), (acc["pos"] + F.length(x)).alias("end")))).alias("out")), lambda acc: acc["out"])
+    right = F.when(F.col("p.y") == "L", luhn(digits(F.col("v")))).otherwise(F.col("p.y") == "1")
+    found = made.withColumns({"true": true, "right": right}).select("id", "true", "right", F.explode(candidates(F.col("text"))).alias("c"))
+    whole = F.exists("true", lambda t: (t["start"] == F.col("c.start")) & (t["end"] == F.col("c.end")))
+    return found.select("id", (F.col("right") & whole).cast("double").alias("label"), "c.kind", "c.start", "c.end", "c.x.*")
 
 
 def _conditions(tree: str, x: Column) -> Column:
@@ -182,9 +200,13 @@ class Model:
     def margin(self, x: Column) -> Column:
         return reduce(lambda a, b: a + b, [F.lit(w) * _conditions(t, x) for t, w in zip(self.trees, self.weights)])
 
-    def accepts(self, candidate: Column) -> Column:
+    def above(self, candidate: Column) -> Column:
+        """By how much a candidate passes the threshold of its generator; negative if it does not."""
         m = self.margin(candidate["x"])
-        return reduce(lambda rest, kind: F.when(candidate["kind"] == kind, m >= self.bars[kind]).otherwise(rest), self.bars, F.lit(False))
+        return m - reduce(lambda rest, kind: F.when(candidate["kind"] == kind, self.bars[kind]).otherwise(rest), self.bars, F.lit(float("inf")))
+
+    def accepts(self, candidate: Column) -> Column:
+        return self.above(candidate) >= 0
 
 
 def train(spark: SparkSession, rows: int = SAMPLE) -> Model:
@@ -206,11 +228,39 @@ def train(spark: SparkSession, rows: int = SAMPLE) -> Model:
     return model
 
 
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with line breaks in place of the spans, so that all other places stay."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+    def step(acc: Column, s: Column) -> Column:
+        start, end = F.greatest(s["start"], acc["pos"]), F.greatest(s["end"], acc["pos"])
+        piece = F.concat(F.substring(text, acc["pos"] + 1, start - acc["pos"]), F.repeat(F.lit("\n"), end - start))
+        return F.struct(end.alias("pos"), F.concat(acc["out"], piece).alias("out"))
+
+    begin = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+    return F.when(F.size(spans) > 0, F.aggregate(ordered, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))).otherwise(text)
+
+
+def chosen(judged: Column) -> Column:
+    """Of candidates ``above, kind, start, end`` those that no better one overlaps, best first; equal ones go by start and length."""
+    order = F.array_sort(judged, lambda x, y: (
+        F.when(x["above"] != y["above"], F.when(x["above"] > y["above"], -1).otherwise(1))
+        .when(x["start"] != y["start"], F.when(x["start"] < y["start"], -1).otherwise(1))
+        .when(x["end"] > y["end"], -1).when(x["end"] < y["end"], 1).otherwise(0)))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+
+    def step(acc: Column, c: Column) -> Column:
+        free = ~F.exists(acc, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+        return F.when(free, F.concat(acc, F.array(F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))))).otherwise(acc)
+
+    return F.aggregate(order, none, step)
+
+
 def scan(docs: DataFrame, model: Model | None, text: str = "text", into: str = "pii") -> DataFrame:
     """Add ``into``: kind, start, end (code points, end exclusive) of all spans, by kind in the order of the formats and
     generators, then start.
 
-    Proposed stretches that touch a fixed span are dropped: those stay as they are. A null or empty text has no
+    Stretches are proposed in what the fixed spans leave of the text: those stay as they are. A null or empty text has no
     spans; other columns pass through, one named ``into`` is replaced.
     """
     others = [c for c in docs.columns if c != into]
@@ -221,11 +271,14 @@ def scan(docs: DataFrame, model: Model | None, text: str = "text", into: str = "
         out = out.withColumn("_found", F.col("_base"))
     else:
         none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-        out = out.withColumn("_c", F.when(F.col("_digits") | F.col("_text").rlike(r"@|\((?:at)\)|\[at\]"), candidates(F.col("_text"))))
-        more = F.transform(
-            F.filter("_c", lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])) & model.accepts(c)),
-            lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-        out = out.withColumn("_found", F.concat("_base", F.coalesce(more, none)))
+        out = out.withColumn("_rest", F.when(F.col("_digits") | F.col("_text").rlike(r"@|\((?:at)\)|\[at\]"), blanked(F.col("_text"), F.col("_base"))))
+        out = out.withColumn("_c", F.when(F.col("_rest").isNotNull(), candidates(F.col("_rest"), F.col("_text"))))
+        judged = F.transform("_c", lambda c: F.struct(model.above(c).alias("above"), c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+        out = out.withColumn("_j", F.filter(judged, lambda c: c["above"] >= 0))
+        # In the order of the generators, then by start.
+        best = F.when(F.size("_j") > 0, chosen(F.col("_j")))
+        out = out.withColumn("_m", best).withColumn("_found", F.concat("_base", *[
+            F.array_sort(F.filter(F.coalesce("_m", none), _of_kind(k))) for k in GENERATORS]))
     return out.select(*[F.col("_doc")[c].alias(c) for c in others], F.col("_found").alias(into))
 
 

@@ -205,6 +205,33 @@ def test_held_out_sentences_are_told_apart(spark, trees):
     assert share[1.0] > 0.85 and share[0.0] < 0.08
 
 
+def test_neighbours_are_found_whole(spark, trees):
+    texts = ["from 1.2.3.4 555-123-4567", "4111 1111 1111 1111 (555) 123-4567", "555-123-4567 555-987-6543", "my ssn 078-05-1120 tel 555-123-4567 ok"]
+    wanted = [{"1.2.3.4", "555-123-4567"}, {"4111 1111 1111 1111", "(555) 123-4567"}, {"555-123-4567", "555-987-6543"}, {"078-05-1120", "555-123-4567"}]
+    rows = collected(pii.scan(documents(spark, texts), trees))
+    assert [{t[s.start:s.end] for s in rows[i].pii} for i, t in enumerate(texts)] == wanted
+    clean = collected(pii.redact(pii.scan(documents(spark, texts), trees), "pii"))
+    assert not any(re.search("[0-9]", r.text) for r in clean.values())
+
+
+# Formats and openings that the labelled sample does not have.
+UNSEEN = [("reach me at ", "(###)###-####", "1"), ("cell number ", "### ### ####", "1"), ("whatsapp: ", "###-###-####", "1"), ("text her on ", "###.###.####", "1"),
+          ("mastercard ", "####-####-####-####", "1"), ("my social is ", "###-##-####", "1"), ("phones: ", "###.###.####|(###) ###-####", "1"),
+          ("write: ", "eve (at) host##.example.net", "1"), ("account ", "NL## #### #### #### ##", "1"), ("nic ", "a#:b#:##:##:c#:##", "1"),
+          ("release ", "#.##.###.####", "0"), ("ref. ", "############", "0"), ("page ", "### of ###", "0"), ("total price ", "##.###.###", "0"), ("batch ", "###-##-####", "0")]
+
+
+def test_formats_beyond_the_sample_are_found(spark, trees):
+    from pyspark.sql import functions as F
+    sample = pii.labelled(spark, 3000, UNSEEN)
+    accepted = trees.accepts(F.struct("kind", F.struct(*pii.FEATURES).alias("x")))
+    judged = sample.withColumn("hit", accepted).groupBy("id", "start", "end").agg(F.max("label").alias("label"), F.max("hit").alias("hit"))
+    got = {r.label: r.share for r in judged.groupBy("label").agg(F.avg(F.col("hit").cast("double")).alias("share")).collect()}
+    values = sum(len(b.split("|")) for _, b, y in UNSEEN if y == "1") * 200
+    proposed = judged.where("label = 1").count()
+    assert proposed / values > 0.95 and got[1.0] * proposed / values > 0.9, (proposed / values, got)
+
+
 def test_redaction_and_awkward_rows(spark, trees):
     odd = awkward(spark)
     out = pii.redact(pii.scan(odd, trees, into="_pii"), "_pii")
