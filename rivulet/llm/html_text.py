@@ -30,6 +30,8 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^<>"']+
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # Fixed values of HTML.
 RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "select")}
+# A tag that closes itself; the slash at the end of a value without quotes is part of the value.
+EMPTY = re.compile(r"""(?:^|[\s"'])/$""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("""a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strong strike sub
 sup time tt u var acronym""".split())
@@ -107,7 +109,7 @@ def blocks(page: str) -> list[Block]:
             end = RAW[tag].search(page, at)
             at = end.end() if end else n
             continue
-        if tag in VOID or attributes.endswith("/"):
+        if tag in VOID or EMPTY.search(attributes):
             continue
         if tag in CLOSES_P and open_count.get("p"):
             pop_to("p")
@@ -183,7 +185,7 @@ class Labeller:
         self.w["d"] = (r.randn(WIDTH) / np.sqrt(WIDTH)).astype(np.float32)
         self.w["ob"] = np.zeros(1, np.float32)
 
-    def _side(self, x: np.ndarray, live: np.ndarray, side: str):
+    def _side(self, x: np.ndarray, live: np.ndarray, side: str, tape: bool):
         steps, n, _ = x.shape
         gates = x.reshape(-1, WIDTH) @ self.w[f"x{side}"] + self.w[f"c{side}"]
         gates = gates.reshape(steps, n, 4 * HIDDEN)
@@ -198,20 +200,21 @@ class Labeller:
             new_c = np.where(m, f * c + i * g, c)
             tanh_c = np.tanh(new_c)
             new_h = np.where(m, o * tanh_c, h)
-            kept.append((t, h, c, i, f, o, g, tanh_c, m))
+            if tape:
+                kept.append((t, h, c, i, f, o, g, tanh_c, m))
             h, c = new_h, new_c
             out[t] = new_h
         return out, kept
 
-    def run(self, x: np.ndarray, live: np.ndarray):
-        """Logits of [step, page, feature] input."""
-        forward, kept_f = self._side(x, live, "f")
-        backward, kept_b = self._side(x, live, "b")
+    def run(self, x: np.ndarray, live: np.ndarray, tape: bool = False):
+        """Logits of [step, page, feature] input; with ``tape`` also what training needs of every step."""
+        forward, kept_f = self._side(x, live, "f", tape)
+        backward, kept_b = self._side(x, live, "b", tape)
         both = np.concatenate([forward, backward], axis=2)
         return both @ self.w["o"] + x @ self.w["d"] + self.w["ob"], both, kept_f, kept_b
 
     def gradients(self, x: np.ndarray, live: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        logits, both, kept_f, kept_b = self.run(x, live)
+        logits, both, kept_f, kept_b = self.run(x, live, tape=True)
         p = sigmoid(logits)
         total = live.sum()
         loss = float(-(np.where(y > 0, np.log(p + 1e-7), np.log(1 - p + 1e-7)) * live).sum() / total)
@@ -331,7 +334,8 @@ def made_pages(words: list[str], n: int = MADE_PAGES, seed: int = 11, deep: floa
             inner = "".join(item.format(say(1, 2).rstrip(".!?")) for _ in range(r.randint(3, 9)))
             inner = f"<ul>{inner}</ul>" if r.random() < 0.6 else inner
         elif kind == "talk":
-            inner = "".join(f"<div><b>{r.choice(words)}</b><p>{say(3, 40)}</p></div>" for _ in range(r.randint(1, 4)))
+            inner = f"<h{r.randint(2, 4)}>{say(1, 3).rstrip('.!?')}</h3>" if r.random() < 0.6 else ""
+            inner += "".join(f"<div><b>{r.choice(words)}</b><p>{say(3, 40)}</p></div>" for _ in range(r.randint(1, 4)))
         elif kind == "form":
             inner = f"<label>{say(1, 3)}</label><input name=q><p>{say(2, 12)}</p><button>{r.choice(words)}</button>"
         elif kind == "side":
@@ -344,14 +348,27 @@ def made_pages(words: list[str], n: int = MADE_PAGES, seed: int = 11, deep: floa
             inner = say(2, 25) if r.random() < 0.5 else f"<p>{say(3, 30)}</p>"
         return a + nested(inner) + b
 
+    def code() -> str:
+        lines = "\n".join(f"{r.choice(words)} = {r.choice(words)}{r.choice(['()', ' + 1', ''])}" for _ in range(r.randint(1, 6)))
+        return f"<pre>{lines}</pre>" if r.random() < 0.5 else f"<pre><code>{lines}</code></pre>"
+
+    def table() -> str:
+        row = lambda cell, n: "<tr>" + "".join(f"<{cell}>{say(1, 3).rstrip('.!?')}</{cell}>" for _ in range(n)) + "</tr>"
+        n = r.randint(2, 4)
+        return "<table>" + row("th", n) + "".join(row("td", n) for _ in range(r.randint(1, 4))) + "</table>"
+
     def main() -> str:
         a, b = _open(r.choice(MAIN), "y1")
         inner = f"<h1>{say(3, 10)}</h1>" if r.random() < 0.8 else ""
         for _ in range(r.randint(1, 12)):
             kind = r.random()
-            inner += (f"<p>{say(8, 120)}</p>" if kind < 0.6 else f"<p>{say(1, 5)}</p>" if kind < 0.72 else f"<p><b>{say(5, 60)}<br><p>" if kind < 0.8
-                      else f"<h2>{say(2, 6)}</h2>" if kind < 0.86 else "<ul>" + "".join(f"<li>{say(2, 20)}</li>" for _ in range(3)) + "</ul>" if kind < 0.92
-                      else f"<blockquote>{say(5, 30)}</blockquote>" if kind < 0.96 else around(r.choice(INSIDE_MAIN)))
+            inner += (f"<p>{say(8, 120)}</p>" if kind < 0.5 else f"<p>{say(1, 5)}</p>" if kind < 0.64 else f"<p><b>{say(5, 60)}<br><p>" if kind < 0.7
+                      else f"<h2>{say(2, 6)}</h2>" if kind < 0.76 else "<ul>" + "".join(f"<li>{say(2, 20)}</li>" for _ in range(3)) + "</ul>" if kind < 0.81
+                      else f"<blockquote>{say(5, 30)}</blockquote>" if kind < 0.84 else code() if kind < 0.88 else table() if kind < 0.92
+                      else f"<figure><img src='/i'><figcaption>{say(2, 12)}</figcaption></figure>" if kind < 0.94
+                      else f"<dl><dt>{say(1, 3)}</dt><dd>{say(2, 20)}</dd></dl>" if kind < 0.96 else around(r.choice(INSIDE_MAIN)))
+        if r.random() < 0.3:
+            inner += f"<p>{say(1, 4)}</p>"
         return a + nested(inner) + b
 
     out = []
@@ -395,9 +412,14 @@ def train(pages: list[str]) -> Labeller:
 
 def sample(pages: DataFrame, html: str = "html", id: str = "page_id") -> list[str]:
     """A bounded sample of pages, chosen by a hash of their id among those of ordinary length."""
+    # Ids first: the bound they give lets only the pages that are wanted leave the scan.
     order = F.xxhash64(F.col(id))
-    top = pages.where(F.length(html) <= SAMPLE_CHARS).select(F.col(html).alias("h"), order.alias("o")).orderBy("o", "h").limit(SAMPLE_PAGES)
-    return [r.h for r in top.collect()]
+    usable = pages.where(F.length(html) <= SAMPLE_CHARS)
+    bar = usable.select(order.alias("o")).orderBy("o").limit(SAMPLE_PAGES).agg(F.max("o")).first()[0]
+    if bar is None:
+        return []
+    top = usable.where(order <= bar).select(F.col(html).alias("h"), order.alias("o"))
+    return [r.h for r in top.orderBy("o", "h").limit(SAMPLE_PAGES).collect()]
 
 
 def extract(pages: DataFrame, model: Labeller, html: str = "html", into: str = "text") -> DataFrame:

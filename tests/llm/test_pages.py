@@ -197,3 +197,38 @@ def test_shards_of_awkward_rows(spark):
     assert all(r.size == 8 and r.text_crc32 == 0 for r in got if r.doc_id in (1, 2))
     assert sharding.shard_table(empty(spark)).collect() == []
     check_shards(sharding.shard_table(documents(spark, ["same"] * 500)).collect(), 500)
+
+
+WRITTEN = """<!DOCTYPE html><html><head><title>Lakes</title></head><body>
+<nav><ul><li><a href=/>Home</a></li><li><a href=/lakes>Lakes</a></li><li><a href=/about>About us</a></li></ul></nav>
+<main><h1>The deep lake</h1>
+<p>The lake lies between two ridges and was measured for the first time in the spring, when the ice had gone and the boats could leave.</p>
+<pre>depth = 3\nwidth = 12</pre>
+<table><tr><th>Depth</th><th>Width</th></tr><tr><td>3 m</td><td>12 m</td></tr></table>
+<figure><img src=/l.png><figcaption>The lake in May</figcaption></figure>
+<p>Nobody had been there for years, and the people of the village were glad that somebody came to see it again after all.</p>
+<p>Short.</p></main>
+<section class="comments"><h3>Comments</h3><div><b>ann</b><p>I have been there as well, it is lovely.</p></div></section>
+<footer>&copy; Lakes <a href=/legal>Legal</a></footer></body></html>"""
+
+
+def test_a_written_page_keeps_code_tables_and_short_paragraphs(spark):
+    real = spark.read.parquet(f"{SF}/pages.parquet")
+    model = html_text.train(html_text.sample(real))
+    pages = spark.createDataFrame([(1, WRITTEN), (2, WRITTEN.replace("<main>", "<article data-u=/x/>").replace("</main>", "</article>"))], "page_id long, html string")
+    for row in html_text.extract(pages, model).collect():
+        for part in ("The deep lake", "measured for the first time", "depth = 3 width = 12", "Depth", "3 m", "The lake in May", "Short."):
+            assert part in row.text, (row.page_id, part)
+        for part in ("Home", "About us", "Comments", "lovely", "Legal"):
+            assert part not in row.text, (row.page_id, part)
+
+
+def test_a_page_of_very_many_blocks_takes_bounded_memory():
+    import resource
+    model = html_text.Labeller()
+    page = "<main>" + "<p>some words of a paragraph that is not short at all</p>" * 40_000 + "</main>"
+    found = html_text.blocks(page)
+    rows = html_text.vectors(found, html_text.Bins(html_text.PATH_BINS), html_text.Bins(html_text.WORD_BINS))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert len(model.label([rows])[0]) == len(found) == 40_000
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000  # KB
