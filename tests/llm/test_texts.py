@@ -52,6 +52,19 @@ def test_markov_models_tell_random_strings_from_identifiers():
     assert found / len(held) > 0.9 and wrong / len(plain) < 0.02
 
 
+def test_names_paths_versions_and_rulers_are_no_secrets():
+    words = [w for k in range(40) for w in re.findall(r"\w+", prose(k, 60, 900))]
+    model = secrets.train([], words)
+    ordinary = ["see /doc/python3-numpy and /usr/share/doc/python3-numpy", "xmlHttpRequestFactoryBuilder", "AbstractSingletonProxyFactoryBean",
+                "Donaudampfschifffahrtsgesellschaft", "-" * 20, "_" * 32, "=" * 60, "id 550e8400-e29b-41d4-a716-446655440000 ok", "v1.2.3-rc1+build20200101",
+                "images/2021/03/17/new-york-marathon-1234", "2021-03-17T10-15-00", "MAX_CONNECTION_POOL_SIZE_DEFAULT", "get_user_profile_by_email_address"]
+    assert [t for t in ordinary if secrets.find(t, model)] == []
+    key = secrets.random_strings(1, seed=5)[0]
+    assert secrets.find(f"550e8400-e29b-41d4-a716-446655440000/{key}", model)
+    precision, recall = secrets.quality(model, secrets.random_strings(600, seed=91), [x for x in secrets.identifiers(words, seed=92) if len(x) >= 16][-1500:])
+    assert precision > 0.98 and recall > 0.9, (precision, recall)
+
+
 def test_best_stretch_equals_brute_force():
     model = secrets.train([], ["alpha", "beta", "gamma"])
     r = random.Random(5)
