@@ -11,13 +11,28 @@ from ..session import settle
 FLOOR = 100_000
 
 
-# Rows of (key) or (id, flag) that may be sent to every executor.
-BROADCAST_ROWS = 2_000_000
+# Rows, and bytes in memory, of a table that may be sent to every executor.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 128 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """What a row takes in the hash table of a join: its fields, and a fixed part for key and pointers."""
+    total = F.lit(32 + 8 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind == "array" and f.dataType.elementType.typeName() in ("string", "binary"):
+            total = total + F.coalesce(F.aggregate(f.name, F.lit(0).cast("long"), lambda n, x: n + 16 + F.coalesce(F.octet_length(x), F.lit(0))), F.lit(0))
+        elif kind in ("array", "map"):
+            total = total + 16 * F.greatest(F.size(f.name), F.lit(0))
+    return total
 
 
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when the (already computed) table is small enough; else join by shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+    """Hint a broadcast when the (already computed) table is small enough in rows and bytes; else join by shuffle."""
+    n, size = df.agg(F.count(F.lit(1)), F.sum(row_bytes(df))).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= BROADCAST_BYTES else df
 
 
 def hot_keys(counts: DataFrame, key: str, n: str = "n", floor: int = FLOOR) -> DataFrame:
