@@ -41,9 +41,9 @@ ORDER = 2
 STEP, PROBES, ROOM = 1.5, 5, 12
 PRIOR = 20.0
 # Tokens that are counted together, and scored together; text bytes per segment.
-SLICE, AT_ONCE, SEGMENT_BYTES = 250_000, 250_000, 8_000_000
+SLICE, AT_ONCE, SEGMENT_BYTES = 250_000, 100_000, 8_000_000
 # Rows of a batch that are held as Python strings at a time.
-ROWS = 512
+ROWS = 256
 # Bytes of the filter and single tokens that may be sent to the workers; bytes of the filter that pass the driver at a time.
 SENT_BYTES, HEAD, FETCHED = 128_000_000, 500_000, 12_000_000
 # Two marks that no word can be, as words hold no spaces.
@@ -381,7 +381,7 @@ def _rows(columns: dict[str, list]) -> list[pa.Array]:
 
 
 def _by_sent_filter(rows: DataFrame, parts: DataFrame, totals: Totals, order: int) -> DataFrame:
-    """``rows`` (row, text) with what the sent filter says. Its size was checked."""
+    """``rows`` (row, text) with what the sent filter says, as a written table. Its size was checked."""
     pieces, frequent = sent(parts, totals.segments), rows.sparkSession.sparkContext.broadcast(totals)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,7 +391,10 @@ def _by_sent_filter(rows: DataFrame, parts: DataFrame, totals: Totals, order: in
                 row = batch.column("row").slice(first, len(words))
                 yield pa.RecordBatch.from_arrays([row, *_rows(scored(words, lambda keys, single: read_levels(tables, keys, single), totals, order))], names=["row", *(c.split()[0] for c in SCORED.split(", "))])
 
-    return rows.mapInArrow(score, f"row long, {SCORED}")
+    found = settle(rows.mapInArrow(score, f"row long, {SCORED}"))
+    for b in (*pieces, frequent):
+        b.unpersist()
+    return found
 
 
 def _by_segments(rows: DataFrame, parts: DataFrame, totals: Totals, order: int) -> DataFrame:
@@ -445,7 +448,7 @@ def _by_segments(rows: DataFrame, parts: DataFrame, totals: Totals, order: int)
         return pa.Table.from_arrays([texts.column("row").combine_chunks(), *_rows(scored(words, lookup, shipped.value, order))], names=["row", *(c.split()[0] for c in SCORED.split(", "))])
 
     texts = dealt.where(F.col("keys").isNull()).select("slice", "row", "text")
-    return texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(score, f"row long, {SCORED}")
+    return settle(texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(score, f"row long, {SCORED}"))
 
 
 def score_texts(rows: DataFrame, training: Column, order: int = ORDER, sent_bytes: int = SENT_BYTES, head: int = HEAD,
@@ -463,7 +466,7 @@ def score_texts(rows: DataFrame, training: Column, order: int = ORDER, sent_byte
     totals = totals_of(parts, segments, head)
     bits = parts.agg(F.sum("bits")).first()[0] or 0
     way = _by_sent_filter if bits // 8 <= sent_bytes else _by_segments
-    found = settle(way(rows.select("row", "text"), parts, totals, order))
+    found = way(rows.select("row", "text"), parts, totals, order)
     # Tokens that are neither frequent nor surely unknown: a few of each text.
     tail = found.where(F.size("tail") > 0).select("row", F.explode("tail").alias("token"))
     counts = parts.where(F.col("token").isNotNull()).select("token", "count")
