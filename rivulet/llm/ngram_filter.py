@@ -7,7 +7,7 @@ more often than its parts, which takes away most of what the filter lets through
 the shorter history to the longer one: ``(count + PRIOR * shorter) / (history + PRIOR)``, at the bottom the base estimate of
 single tokens.
 
-The filter is as large as the n-grams need (about ten bits for each level of each n-gram). It is dealt by hash into
+The filter is as large as the n-grams need (twelve bits for each level of each n-gram, for single tokens twice as many). It is dealt by hash into
 segments, each built in one task from counts that were summed per slice of texts before. Segments that together stay
 within ``SENT_BYTES`` are sent to the workers, which then need no shuffle; beyond that the distinct n-grams of each slice of texts go to their
 segments and come back with their levels. Scores are the same either way.
