@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rivulet.functions.images import area_resize, decode_png, grayscale, negative_share, ssim, ssim_feature
-from rivulet.operators import greedy, images as I
+from rivulet.operators import greedy, images as I, vectors as V
 from rivulet.plans.curate import Dims, curate
 from rivulet.schema import FILE, Options
 from rivulet.sources.lists import read_attachments
@@ -144,3 +144,19 @@ def test_rounding_is_half_even(spark):
     from pyspark.sql import functions as F
     df = spark.createDataFrame([(0.905,), (0.9051,), (0.9,)], "s double")
     assert [r[0] for r in df.select(I.passes(F.col("s"))).collect()] == [False, True, False]
+
+
+def test_sketches_are_short_and_lower_no_dot_product(spark):
+    """Random images: the feature of 801 numbers was moved to each of 64 cells that ruled nothing out."""
+    r = np.random.default_rng(5)
+    images = [r.uniform(0, 255, (8, 8)) for _ in range(200)]
+    features = np.stack([ssim_feature(x) for x in images])
+    axes = I.sketch_axes(features, 0.9)
+    short = np.stack([I.sketch(f, axes) for f in features])
+    assert short.shape[1] <= 257 and (short @ short.T >= features @ features.T - 1e-9).all()
+    assert not (short @ short.T > 0.9)[~np.eye(200, dtype=bool)].any()
+    assert len(V._choose_pivots(short, np.arccos(0.9))) == V.FEW_CELLS
+    rows = spark.createDataFrame([(2 * i + k, 2 * i + k, [float(p + k) for p in x.ravel()], 8, 8) for i, x in enumerate(images[:60]) for k in (0, 1)],
+                                 "id long, seq long, gray array<double>, height int, width int")
+    out = {x.id: x for x in greedy.suppress(rows.select("id", "seq"), [I.image_tier(rows)]).collect()}
+    assert all(out[2 * i].kept and not out[2 * i + 1].kept and out[2 * i + 1].matched_id == 2 * i for i in range(60))
