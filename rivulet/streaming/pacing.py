@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,12 +13,26 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from .signatures import use_rocksdb
 
 OUT = "target string, seq long, send_at timestamp, body string"
+# Records of one target that are one entry of the state.
+CHUNK = 512
 _AT = T.StructType([T.StructField("at", T.LongType())])
-_RECORD = T.StructType([T.StructField("at", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("body", T.StringType())])
+# The waiting chunks are numbered ``head`` to ``tail`` - 1; of the first one ``sent`` records have left.
+_QUEUE = T.StructType([T.StructField("head", T.LongType()), T.StructField("sent", T.LongType()), T.StructField("tail", T.LongType())])
+_CHUNK = T.StructType([
+    T.StructField("at", T.ArrayType(T.LongType())), T.StructField("seq", T.ArrayType(T.LongType())), T.StructField("body", T.ArrayType(T.StringType())),
+])
+
+
+def _due(at: int) -> int:
+    """Timers count milliseconds; a record never leaves before its time."""
+    return -(-at // 1000)
 
 
 class Pacer(StatefulProcessor):
-    """Waiting records by the millisecond in which they leave, which a gap of a millisecond or more makes unique; a timer for each."""
+    """Waiting records of a target in the order in which they leave, in chunks, and one timer for the first of them.
+
+    A gap of a millisecond or more makes their milliseconds differ, so the queue is in order and only its end grows.
+    """
 
     def __init__(self, gap: float):
         self.gap = round(gap * 1_000_000)
@@ -27,29 +42,47 @@ class Pacer(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", _AT)
-        self.waiting = handle.getMapState("waiting", _AT, _RECORD)
+        self.queue = handle.getValueState("queue", _QUEUE)
+        self.waiting = handle.getMapState("waiting", _AT, _CHUNK)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
+        head, sent, tail = self.queue.get() if self.queue.exists() else (0, 0, 0)
         # One target's share of one micro-batch, which the trigger bounds, in order.
         pdf = pd.concat(list(rows)).sort_values("seq")
+        if pdf.empty:
+            return iter(())
         ready = pdf["ready_at"].astype("datetime64[us]").astype("int64")
-        for seq, at, body in zip(pdf["seq"].tolist(), ready.tolist(), pdf["body"].tolist()):
+        leave = []
+        for at in ready.tolist():
             last = at if last is None else max(at, last + self.gap)
-            # Timers count milliseconds; a record never leaves before its time.
-            due = -(-last // 1000)
-            self.waiting.updateValue((due,), (last, seq, body))
-            self.handle.registerTimer(due)
-        if last is not None:
-            self.last.update((last,))
+            leave.append(last)
+        if head == tail:
+            self.handle.registerTimer(_due(leave[0]))
+        seqs, bodies = pdf["seq"].tolist(), pdf["body"].tolist()
+        for low in range(0, len(leave), CHUNK):
+            part = slice(low, low + CHUNK)
+            self.waiting.updateValue((tail,), (leave[part], seqs[part], bodies[part]))
+            tail += 1
+        self.last.update((last,))
+        self.queue.update((head, sent, tail))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = (expiredTimerInfo.getExpiryTimeInMs(),)
-        if self.waiting.containsKey(due):
-            at, seq, body = self.waiting.getValue(due)
-            self.waiting.removeKey(due)
-            yield pd.DataFrame([(key[0], seq, pd.Timestamp(at, unit="us"), body)], columns=["target", "seq", "send_at", "body"])
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        head, sent, tail = self.queue.get()
+        while head < tail:
+            at, seq, body = self.waiting.getValue((head,))
+            upto = bisect_right(at, now, sent, key=_due)
+            if upto > sent:
+                yield pd.DataFrame({"target": key[0], "seq": seq[sent:upto], "send_at": pd.to_datetime(at[sent:upto], unit="us"), "body": body[sent:upto]})
+            sent = upto
+            if upto < len(at):
+                self.handle.registerTimer(_due(at[upto]))
+                break
+            self.waiting.removeKey((head,))
+            head, sent = head + 1, 0
+        self.queue.update((head, sent, tail))
 
     def close(self) -> None:
         pass
@@ -59,7 +92,7 @@ def paced_stream(records: DataFrame, gap: float, late: str = "0 seconds") -> Dat
     """``target, seq, send_at, body`` of records ``target, seq, ready_at, body``, released when event time reaches ``send_at``.
 
     Records of one target are sent in the order of ``seq`` inside a micro-batch and of micro-batches, at least ``gap`` seconds apart and not
-    before they are ready. What waits is state, one entry and timer per record, and survives a restart.
+    before they are ready. What waits is state, an entry for ``CHUNK`` records and a timer per target, and survives a restart.
     """
     use_rocksdb(records.sparkSession)
     return records.withWatermark("ready_at", late).groupBy("target").transformWithStateInPandas(

@@ -8,12 +8,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rivulet.catalog import streams
 from rivulet.operators import changes, enrich, greedy, horizon, words
 from rivulet.schema import PROFILE, Options
 from rivulet.session import scratch, settle
 from rivulet.sources.lists import read_profiles, write_profiles
 from rivulet.sources.sinks import exists, read_batches, read_one, write_batch
 from rivulet.sources.topics import read_folder, write_folder, write_nowhere
+from rivulet.streaming.changes import _order
 from rivulet.streaming.control import STATE, blocklist_stream, changed, gather_stream, removal_stream, switch_of
 from rivulet.streaming.delivery import deliver_stream
 from rivulet.streaming.greedy import KEPT, WINDOW, History, curate_stream
@@ -289,3 +291,47 @@ def test_tables_of_a_scope_go_when_it_ends(spark):
         files = outer.inputFiles()
     assert not any(exists(spark, f) for f in files)
     assert settle(spark.range(5)).count() == 5  # outside of a scope a table stays
+
+
+# --- size of the streams' work
+
+def test_waiting_records_are_few_entries_of_state(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    put(spark, [("a", i, 100, "x") for i in range(1500)], "target string, seq long, at long, body string", src)
+
+    def step():
+        records = spark.readStream.schema("target string, seq long, at long, body string").parquet(src).select(
+            "target", "seq", F.timestamp_seconds("at").alias("ready_at"), "body")
+        query = paced_stream(records, 1.0).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(
+            availableNow=True).start()
+        query.awaitTermination()
+        return sum(s["numRowsTotal"] for s in query.lastProgress["stateOperators"])
+
+    assert step() < 20
+    put(spark, [("b", 2000, 1000, "y")], "target string, seq long, at long, body string", src)
+    step()
+    sent = lambda: [(r.seq, r.s) for r in spark.read.parquet(out).where("target = 'a'").select("seq", F.unix_seconds("send_at").alias("s")).orderBy("seq").collect()]
+    assert sent() == [(i, 100 + i) for i in range(901)]
+    put(spark, [("b", 2001, 5000, "y")], "target string, seq long, at long, body string", src)
+    step()
+    assert sent() == [(i, 100 + i) for i in range(1500)]
+
+
+def test_parts_are_written_by_the_tasks_that_read_them(spark, tmp_path):
+    rows = spark.range(1000).select(F.col("id").alias("seq")).repartition(4)
+    streams._arrive(rows, [0], 2, str(tmp_path / "in"))
+    assert len(glob.glob(f"{tmp_path}/in/*.parquet")) > 1
+    assert spark.read.parquet(str(tmp_path / "in")).agg(F.count("seq"), F.max("seq")).first()[:] == (500, 499)
+
+
+def test_signatures_are_learned_over_bounded_batches(spark, monkeypatch, tmp_path):
+    folder = str(tmp_path)
+    put(spark, [(i if i < 198 else None, f"src{i % 3}", f"{'Flash: ' if i % 5 else ''}text {i}") for i in range(200)], "doc_id long, source string, text string", f"{folder}/documents.parquet")
+    whole = sorted(map(tuple, streams.stream_signatures(spark, folder).collect()), key=str)
+    monkeypatch.setattr(streams, "BATCH", 90)
+    assert sorted(map(tuple, streams.stream_signatures(spark, folder).collect()), key=str) == whole and len(whole) == 200
+
+
+def test_events_without_a_number_come_last():
+    found = sorted([(None, 1), (3, 2), (float("nan"), 3), (1, 4)], key=_order)
+    assert [x[1] for x in found] == [4, 2, 1, 3]
