@@ -176,3 +176,21 @@ def test_long_group_of_copies_stays_linear(spark):
     (tier2,) = greedy.settled([tier2])
     assert kept_of(greedy.keep_first(rows.select("id", "seq"), [tier2], heads=16)) == {0}
     assert sum(made) < 40 * n
+
+
+def test_keys_are_decided_without_pairs(spark):
+    """A group of n rows under a key once made n x n / 2 pairs."""
+    r = random.Random(3)
+    data = [(i, i // 2 if i < 40 else i, r.choice([None, *range(30)]), r.choice([None, *"abcdefghij"])) for i in range(200)]
+    rows = spark.createDataFrame(data, "id long, seq long, p long, q string")
+    tier = keys.key_tier(rows, ["p", "q"])
+    kept = {}
+    for i, seq, p, q in sorted(data, key=lambda x: x[1]):
+        kept[i] = not any(kept[j] and s < seq and (p is not None and p == p2 or q is not None and q == q2) for j, s, p2, q2 in data if j in kept)
+
+    def none(later, earlier):
+        raise AssertionError("no pairs")
+
+    out = greedy.keep_first(rows.select("id", "seq"), [greedy.replace(tier, pairs=none)])
+    assert {x.id: x.kept for x in out.collect()} == kept
+    assert 0 < sum(kept.values()) < 200
