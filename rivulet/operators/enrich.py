@@ -46,20 +46,48 @@ def embed(messages: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndar
     return join_counted(keyed, found, "_key", F.monotonically_increasing_id(), "left", "_n").drop("_key")
 
 
-def lexicon_translate(messages: DataFrame, lexicon: DataFrame, text: str = "text", name: str = "en_message") -> DataFrame:
-    """Replace each space-separated word found in ``lexicon (word, en)``; others stay."""
-    words = messages.select("id", F.posexplode(F.split(text, " ", -1)).alias("pos", "word"))
-    # A lexicon too long to broadcast is joined by shuffle, safe for frequent words.
-    known = lexicon.groupBy("word").agg(F.min("en").alias("en"))
+def _looked_up(words: DataFrame, known: DataFrame, how: str) -> DataFrame:
+    """``words (id, word, ...)`` joined to the lexicon; one too long to broadcast is joined by shuffle, safe for frequent words."""
     hinted = if_small(known)
     if hinted is known:
-        joined = join_skewed(words, known, "word", F.struct("id", "pos"), "left")
-    else:
-        joined = words.join(hinted, "word", "left")
-    put = F.coalesce("en", "word")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", put.alias("w"))))
-    joined = joined.groupBy("id").agg(F.array_join(F.transform(ordered, lambda s: s["w"]), " ").alias(name))
-    return messages.join(joined, "id", "left")
+        return join_skewed(words, known, "word", F.struct(*[c for c in words.columns if c != "word"]), how)
+    return words.join(hinted, "word", how)
+
+
+@F.pandas_udf("string")
+def _replaced(text: pd.Series, words: pd.Series, put: pd.Series) -> pd.Series:
+    """Texts with each of their ``words`` replaced; the others stay."""
+    out = []
+    for t, known, new in zip(text, words, put):
+        if t is not None and known is not None:
+            known = dict(zip(known, new))
+            t = " ".join([known.get(w, w) for w in t.split(" ")])
+        out.append(t)
+    return pd.Series(out, dtype=object)
+
+
+def lexicon_translate(messages: DataFrame, lexicon: DataFrame, text: str = "text", name: str = "en_message") -> DataFrame:
+    """Replace each space-separated word found in ``lexicon (word, en)``; others stay.
+
+    Only the distinct words of a message that the lexicon holds are moved; they
+    replace the others where the text is. The texts of messages that share an id make one text, word by word.
+    """
+    words = F.split(text, " ", -1)
+    known = lexicon.groupBy("word").agg(F.min("en").alias("en"))
+    shared = settle(messages.where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"))
+    single = messages if shared.isEmpty() else messages.join(if_small(shared), "id", "left_anti")
+    found = _looked_up(single.where("id IS NOT NULL").select("id", F.explode(F.array_distinct(words)).alias("word")), known.where("en IS NOT NULL"), "inner")
+    pairs = found.groupBy("id").agg(F.collect_list(F.struct("word", "en")).alias("_pairs"))
+    lookup = pairs.select("id", F.col("_pairs.word").alias("_words"), F.col("_pairs.en").alias("_put"))
+    put = F.when(F.col("id").isNotNull(), F.when(F.col("_words").isNull(), F.col(text)).otherwise(_replaced(F.col(text), F.col("_words"), F.col("_put"))))
+    done = single.join(lookup, "id", "left").withColumn(name, put).drop("_words", "_put")
+    if single is messages:
+        return done
+    several = messages.join(if_small(shared), "id", "left_semi")
+    each = _looked_up(several.select("id", F.posexplode(words).alias("pos", "word")), known, "left")
+    ordered = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("en", "word").alias("w"))))
+    joined = each.groupBy("id").agg(F.array_join(F.transform(ordered, lambda s: s["w"]), " ").alias(name))
+    return done.unionByName(several.join(joined, "id", "left"))
 
 
 def mean_pool_normalize(vectors: DataFrame, key: str, vec: str) -> DataFrame:

@@ -170,3 +170,13 @@ def test_options_of_the_curation(spark):
                      remove_links=False, remove_duplicates=False, remove_signatures=False, add_channel_alias=False)
     out = {r.seq: r for r in curate(df, dims, strict).collect()}
     assert out[1].outcome == "forward" and out[4].outcome == "sent" and "https" in out[5].text and out[0].pre_msg == ""
+
+
+def test_a_lexicon_moves_only_the_words_it_holds(spark):
+    rows = spark.createDataFrame([(1, "a b a  c"), (2, None), (3, ""), (None, "a"), (4, "a x"), (4, "b y"), (5, "none")], "id long, text string")
+    lexicon = spark.createDataFrame([("a", "A"), ("a", "B"), ("b", None), ("c", "C"), (None, "N")], "word string, en string")
+    out = E.lexicon_translate(rows, lexicon)
+    got = sorted([(r.id or 0, r.text, r.en_message) for r in out.collect()], key=str)
+    assert got == sorted([(1, "a b a  c", "A b A  C"), (2, None, None), (3, "", ""), (0, "a", None), (4, "a x", "A b x y"), (4, "b y", "A b x y"), (5, "none", "none")], key=str)
+    plain = E.lexicon_translate(rows.where("id < 4"), lexicon)
+    assert "posexplode" not in plain._jdf.queryExecution().optimizedPlan().toString()
