@@ -14,11 +14,18 @@ from ..operators.project import outbox_key
 from .signatures import use_rocksdb
 
 _OUT = "seq long, chat_id long, id long, op string, version long, text string"
+_NAMES = [c.split()[0] for c in _OUT.split(", ")]
 _STATE = T.StructType([
     T.StructField("text", T.StringType()), T.StructField("version", T.LongType()), T.StructField("gone", T.BooleanType()),
 ])
 
 
+def _order(event: tuple) -> tuple[bool, int]:
+    """By number; events without one come last."""
+    seq = event[0]
+    return (True, 0) if seq is None or seq != seq else (False, seq)
+
+
 class Changes(StatefulProcessor):
     """The text last published for a message, how often it changed, and whether it was removed."""
 
@@ -26,10 +33,12 @@ class Changes(StatefulProcessor):
         self.state = handle.getValueState("published", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        text, version, gone = self.state.get() if self.state.exists() else (None, 0, False)
-        found = []
-        pdf = pd.concat(list(rows)).sort_values("seq")
-        for seq, kind, new in zip(pdf["seq"].tolist(), pdf["kind"].tolist(), pdf["text"].tolist()):
+        # A message has few events and there are many messages: what is done per message counts.
+        text, version, gone = self.state.get() or (None, 0, False)
+        found, events = [], []
+        for pdf in rows:
+            events += zip(pdf["seq"].tolist(), pdf["kind"].tolist(), pdf["text"].tolist())
+        for seq, kind, new in sorted(events, key=_order):
             new = None if new is None or new != new else new
             if gone:
                 break
@@ -43,7 +52,7 @@ class Changes(StatefulProcessor):
                 found.append((seq, key[0], key[1], op, version, None if gone else text))
         self.state.update((None if gone else text, version, gone))
         if found:
-            yield pd.DataFrame(found, columns=[c.split()[0] for c in _OUT.split(", ")])
+            yield pd.DataFrame(dict(zip(_NAMES, map(list, zip(*found)))))
 
     def close(self) -> None:
         pass
