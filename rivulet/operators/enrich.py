@@ -54,7 +54,7 @@ def _looked_up(words: DataFrame, known: DataFrame, how: str) -> DataFrame:
     return words.join(hinted, "word", how)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _replaced(text: pd.Series, words: pd.Series, put: pd.Series) -> pd.Series:
     """Texts with each of their ``words`` replaced; the others stay."""
     out = []
