@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rivulet.operators import greedy, keys, stems, vectors, words
+from rivulet.operators import greedy, keys, overlaps, stems, vectors, words
 
 
 def serial(ids, similar):
@@ -194,3 +195,52 @@ def test_keys_are_decided_without_pairs(spark):
     out = greedy.keep_first(rows.select("id", "seq"), [greedy.replace(tier, pairs=none)])
     assert {x.id: x.kept for x in out.collect()} == kept
     assert 0 < sum(kept.values()) < 200
+
+
+def test_blocks_of_sets_count_what_brute_force_counts():
+    """Frequent words with and without a bitmap, rare ones, sets of one block and of two, both roles of a row."""
+    r = np.random.default_rng(1)
+    rows = []
+    for i in range(160):
+        if rows and r.random() < 0.5:
+            old = rows[r.integers(len(rows))]
+            common, rare = old[1][r.random(len(old[1])) < 0.85], old[2][r.random(len(old[2])) < 0.85]
+        else:
+            top = r.choice([20, overlaps.DENSE, overlaps.COMMON])
+            common, rare = r.integers(0, top, r.integers(1, 80)), r.integers(-2**60, 2**60, r.integers(0, 9))
+        rows.append((i, np.unique(common).astype(np.uint16), np.unique(rare).astype(np.int64), i % 7 != 3))
+    sets = [{*c.tolist(), *(int(x) + 2**61 for x in k)} for _, c, k, _ in rows]
+
+    def similar(a, b, t):
+        both = len(sets[a] & sets[b])
+        return bool(sets[a] and sets[b]) and rows[a][3] and (both / max(8, min(len(sets[a]), len(sets[b]))) > t or sets[a] == sets[b])
+
+    frame = pd.DataFrame({"id": range(160), "seq": range(160), "n": [len(s) for s in sets], "common": [c.tobytes() for _, c, _, _ in rows],
+                          "rare": [k.tobytes() for _, _, k, _ in rows], "long": [x for *_, x in rows]})
+    frame = frame[frame["n"] > 0]
+    for t in (0.7, 0.5):
+        want = {(a, b) for a in range(160) for b in range(a) if similar(a, b, t)}
+        assert len(want) > 50
+        for side, whole in ((0 * frame["id"], True), (frame["id"] % 2, True), (frame["id"] % 2, False)):
+            found = overlaps.compare(frame.assign(side=side, whole=whole), t, 8, True)
+            got = list(zip(found["id"], found["other_id"]))
+            crossing = not whole or side.any()
+            assert len(got) == len(set(got))
+            assert set(got) == {(a, b) for a, b in want if not crossing or (a % 2, b % 2) == (0, 1) or (whole and a % 2 != b % 2)}
+            for i, j, s in zip(found["id"], found["other_id"], found["score"]):
+                assert s == len(sets[i] & sets[j]) / max(8, min(len(sets[i]), len(sets[j])))
+            best = overlaps.compare(frame.assign(side=side, whole=whole), t, 8, True, best=1)
+            assert not best["id"].duplicated().any() and set(best["id"]) == set(found["id"])
+
+
+def test_words_are_counted_in_blocks_and_only_pairs_leave_them(spark, monkeypatch):
+    """Every word that two sets shared was a row of a shuffle; now the sets are shuffled, whatever they share."""
+    texts = make_texts(7)
+    rows = text_rows(spark, texts)
+    (tier,) = greedy.settled([words.overlap_tier(rows)])
+    whole = {tuple(r) for r in tier.pairs(tier.rows, tier.rows).collect()}
+    monkeypatch.setattr(overlaps, "LEAST_WORDS", 60)
+    met = tier.pairs(tier.rows, tier.rows)
+    assert {tuple(r) for r in met.collect()} == whole and len(whole) > 100
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
