@@ -7,7 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rivulet.operators import greedy, keys, overlaps, stems, vectors, words
+from rivulet.operators import greedy, horizon, keys, overlaps, stems, vectors, words
+
+from rivulet.session import settle
 
 
 def serial(ids, similar):
@@ -244,3 +246,29 @@ def test_words_are_counted_in_blocks_and_only_pairs_leave_them(spark, monkeypatc
     assert {tuple(r) for r in met.collect()} == whole and len(whole) > 100
     plan = met._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_near_rows_are_compared_without_an_index(spark):
+    """Every word and anchor was a row of a shuffle, twice; now only the rows are, and the index is not made."""
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["news", "and", "more", "of", "it", "again"]) for _ in range(r.randint(0, 9))) + r.choice(["", " aaaa", "aaaaaaaaaaaaaaaa"]) for _ in range(160)]
+    sets = [set(t.split()) for t in texts]
+    rows = settle(text_rows(spark, texts))
+
+    def run(a, b):
+        x, y, m = texts[a], texts[b], len(texts[a]) * 4 // 5 + 1
+        return len(x) > 10 and any(x[i:i + m] in y for i in range(len(x) - m + 1))
+
+    def words_(a, b):
+        x, y = sets[a], sets[b]
+        return len(texts[a]) >= 10 and bool(x and y) and (len(x & y) / max(8, min(len(x), len(y))) > 0.7 or x == y)
+
+    def no_index():
+        raise AssertionError("no index")
+
+    for span in (3, 40):
+        for tier, similar in ((stems.stem_tier(rows), run), (words.overlap_tier(rows, min_later=10), words_)):
+            near = horizon.near(greedy.replace(tier, index=no_index), rows, span)
+            got = [(x.id, x.other_id) for x in near.pairs(near.entries, near.entries).collect()]
+            assert len(got) == len(set(got)) > 0
+            assert set(got) == {(a, b) for a in range(160) for b in range(max(0, a - span), a) if similar(a, b)}
