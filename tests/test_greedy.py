@@ -272,3 +272,13 @@ def test_near_rows_are_compared_without_an_index(spark):
             got = [(x.id, x.other_id) for x in near.pairs(near.entries, near.entries).collect()]
             assert len(got) == len(set(got)) > 0
             assert set(got) == {(a, b) for a in range(160) for b in range(max(0, a - span), a) if similar(a, b)}
+
+
+def test_null_texts_have_no_best_match(spark, tmp_path):
+    """A null text ended the task that met it."""
+    from rivulet.catalog import QUERIES
+
+    rows = [(1, "one two three", "en", "src1"), (2, None, "en", "src1"), (3, "three four five", "en", "src2"), (4, "", "en", "src2")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["word_overlap_top3_horizon"](spark, str(tmp_path)).collect()
+    assert [(r.id, r["rank"], r.other_id, r.score) for r in got] == [(3, 1, 1, 0.125)]
