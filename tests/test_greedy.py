@@ -282,3 +282,43 @@ def test_null_texts_have_no_best_match(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = QUERIES["word_overlap_top3_horizon"](spark, str(tmp_path)).collect()
     assert [(r.id, r["rank"], r.other_id, r.score) for r in got] == [(3, 1, 1, 0.125)]
+
+
+def test_tokens_of_texts_are_those_of_brute_force():
+    """Grams and runs of three whole words, in whole texts and in middles, each text for itself."""
+    r = random.Random(2)
+    texts = ["", " ", "a", "aaaaaaa", "äöü 😀😀 x", *("".join(r.choice("ab  é😀") for _ in range(r.randint(11, 60))) for _ in range(200))]
+
+    def middle(t):
+        window = len(t) * 4 // 5 + 1
+        return t[len(t) - window:window]
+
+    def runs(t, part):
+        pieces = t.split(" ")[1:-1] if part else t.split(" ")
+        return [" ".join(pieces[i:i + 3]) for i in range(len(pieces) - 2)]
+
+    def grams(t, part):
+        return [t[i:i + 7] for i in range(len(t) - 6)]
+
+    for kind, brute in ((False, runs), (True, grams)):
+        known = {}
+        for part in (False, True):
+            owner, token = stems._tokens(texts, kind, part)
+            for i, t in enumerate(texts):
+                want = brute(middle(t) if part else t, part)
+                got = token[owner == i].tolist()
+                assert len(got) == len(want)
+                # One hash for a piece wherever it stands, another one for every other piece.
+                assert all(known.setdefault(w, g) == g for w, g in zip(want, got))
+        assert len(set(known.values())) == len(known) > 500
+
+
+def test_texts_with_a_token_of_their_own_leave_no_token(spark):
+    """All tokens of all middles were rows of a join, and the grams that were asked for were sorted anew for every text."""
+    own = [(i, i, " ".join(f"w{i}x{j}" for j in range(9))) for i in range(40)]
+    same = [(40 + i, 40 + i, f"{'x' * i}one two three four five six seven eight nine ten eleven{'y' * i}") for i in range(3)]
+    rows = spark.createDataFrame(own + same, "id long, seq long, text string")
+    seen = stems._Seen(stems._repeated(stems._exploded(rows)))
+    assert {r.id for r in stems._exploded(rows, middle=True, seen=seen, every=True).collect()} == {40, 41, 42}
+    (tier,) = greedy.settled([stems.stem_tier(rows)])
+    assert {(r.id, r.other_id) for r in tier.pairs(tier.rows, tier.rows).collect()} == {(41, 40), (42, 40), (42, 41)}
