@@ -322,3 +322,29 @@ def test_texts_with_a_token_of_their_own_leave_no_token(spark):
     assert {r.id for r in stems._exploded(rows, middle=True, seen=seen, every=True).collect()} == {40, 41, 42}
     (tier,) = greedy.settled([stems.stem_tier(rows)])
     assert {(r.id, r.other_id) for r in tier.pairs(tier.rows, tier.rows).collect()} == {(41, 40), (42, 40), (42, 41)}
+
+
+def test_a_tier_is_asked_only_about_rows_that_none_before_it_matched(spark):
+    """Every tier compared all rows with all kept ones, whatever the tiers before it had found."""
+    rows = text_rows(spark, make_texts(3))
+    stem, word = greedy.settled([stems.stem_tier(rows), words.overlap_tier(rows)])
+    want = {tuple(r) for r in greedy.suppress(stems.keyed_rows(rows), [stem, word], heads=512).collect()}
+    log, found = [], {}
+
+    def asked(tier):
+        def pairs(later, earlier):
+            out = settle(tier.pairs(later, earlier))
+            log.append((tier.name, {r.id for r in later.select("id").collect()}, {r.id for r in out.collect()}))
+            return out
+        return greedy.replace(tier, pairs=pairs, best=None)
+
+    tiers = [asked(stem), asked(word)]
+    got = {tuple(r) for r in greedy.suppress(stems.keyed_rows(rows), tiers, heads=8).collect()}
+    assert got == want and sum(not r[2] for r in got) > 20
+    for name, later, ids in log:
+        if name == "stem":
+            found["last"] = ids
+        elif len(log) > 2 and name == "words" and later:
+            found.setdefault("apart", []).append(not (later & found["last"]))
+    # The last step is the evidence, those before it the sweeps.
+    assert found["apart"][-1] and sum(found["apart"]) > 1
