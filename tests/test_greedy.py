@@ -4,12 +4,13 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rivulet.operators import greedy, horizon, keys, overlaps, stems, vectors, words
 
-from rivulet.session import settle
+from rivulet.session import discard, settle
 
 
 def serial(ids, similar):
@@ -348,3 +349,68 @@ def test_a_tier_is_asked_only_about_rows_that_none_before_it_matched(spark):
             found.setdefault("apart", []).append(not (later & found["last"]))
     # The last step is the evidence, those before it the sweeps.
     assert found["apart"][-1] and sum(found["apart"]) > 1
+
+
+def test_sets_are_shuffled_once_however_many_blocks_they_meet(spark, monkeypatch):
+    """Every set was a row of the shuffle once per block of the other side, so that disk grew with the square of the input."""
+    rows = text_rows(spark, make_texts(9))
+    (tier,) = greedy.settled([words.overlap_tier(rows)])
+    sets = tier.rows
+    whole = {tuple(r) for r in tier.pairs(sets, sets).collect()}
+    first, rest = (settle(sets.where(c)) for c in ("id % 3 = 0", "id % 3 > 0"))
+    parted = {tuple(r) for r in tier.pairs(rest, first).collect()}
+    monkeypatch.setattr(overlaps, "LEAST_WORDS", 60)
+    assert overlaps._blocks(sets, 9) > 2
+    for want, met in ((whole, tier.pairs(sets, sets)), (parted, tier.pairs(rest, first))):
+        assert {tuple(r) for r in met.collect()} == want and want
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Generate" not in plan and "explode" not in plan
+
+
+def test_packed_sets_come_back_as_they_were():
+    r = np.random.default_rng(4)
+    common = [np.unique(r.integers(0, overlaps.COMMON, 9)).astype(np.uint16) for _ in range(5)]
+    rare = [np.unique(r.integers(-2**60, 2**60, n)).astype(np.int64) for n in (0, 3, 1, 0, 7)]
+    frame = pd.DataFrame({"id": range(5), "seq": range(5), "n": [len(c) + len(k) for c, k in zip(common, rare)],
+                          "common": [c.tobytes() for c in common], "rare": [k.tobytes() for k in rare], "long": [True, False, True, True, False]})
+    for part in (frame, frame[:0], frame[:1]):
+        old = overlaps._Sets(part)
+        new = overlaps._Sets.unpacked(pa.py_buffer(old.packed()))
+        for x in ("id", "seq", "n", "n_rare", "rare", "order", "common", "long", "common_end", "rare_end"):
+            assert getattr(old, x).tolist() == getattr(new, x).tolist()
+
+
+def test_words_are_coded_alike_in_batches(spark):
+    """The codes of a row do not depend on the rows beside it, and rows without a frequent or without a rare word are kept."""
+    data = [(0, 0, [5, 7, -9], 3), (1, 1, [7, 5], 2), (2, 2, [11], 1), (3, 3, [], 0), (4, 4, [-9, 5, 13, 2**62], 4)]
+    coded = overlaps.coded_sets(spark.createDataFrame(data, "id long, seq long, words array<long>, n int")).collect()
+    # 5 stands in three sets; 7 and -9 in two, the smaller one first.
+    codes = {5: 0, -9: 1, 7: 2}
+    assert sorted(r.id for r in coded) == [0, 1, 2, 4]
+    for r in coded:
+        words_ = data[r.id][2]
+        assert np.frombuffer(r.common, np.uint16).tolist() == sorted(codes[w] for w in words_ if w in codes)
+        assert np.frombuffer(r.rare, np.int64).tolist() == sorted(w for w in words_ if w not in codes)
+
+
+def test_what_a_table_was_made_of_goes_when_it_is_written(spark):
+    """Shuffle files and tables of earlier steps stayed until the end of the session."""
+    from pathlib import Path
+
+    local = [Path(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    shuffled = lambda: {f.name for d in local for f in d.rglob("shuffle_*.data")}
+    before = shuffled()
+    table = settle(spark.range(500).repartition(3, "id"))
+    assert not shuffled() - before and table.count() == 500
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    at = Path(table._settled_at.removeprefix("file:"))
+    assert at.exists()
+    discard(table, spark.range(3))
+    assert not at.exists()
+    # The hashed words are not read after the coded sets are written, nor the rows of a round after those of the next one.
+    rows = text_rows(spark, make_texts(11))
+    held = lambda: {p: spark.read.parquet(str(p)).columns for p in at.parent.iterdir()}
+    old = set(held())
+    greedy.suppress(words.keyed_rows(rows), [words.overlap_tier(rows)], heads=4).collect()
+    new = {p: c for p, c in held().items() if p not in old}
+    assert sum("words" in c for c in new.values()) == 0 and sum("common" in c for c in new.values()) == 1
