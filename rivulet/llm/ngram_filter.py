@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import join_skewed
-from ..session import settle
+from ..session import condense, settle
 from .common import mix
 
 ORDER = 2
@@ -46,6 +46,8 @@ SLICE, AT_ONCE, SEGMENT_BYTES = 250_000, 100_000, 8_000_000
 ROWS = 256
 # Bytes of the filter and single tokens that may be sent to the workers; bytes of the filter that pass the driver at a time.
 SENT_BYTES, HEAD, FETCHED = 128_000_000, 500_000, 12_000_000
+# Text bytes whose n-grams are dealt to the segments at a time.
+DEALT = 1_000_000_000
 # Two marks that no word can be, as words hold no spaces.
 START, END = b" start", b" end"
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -56,14 +58,6 @@ def _of_level(keys: np.ndarray, level: int) -> np.ndarray:
     return mix(keys + np.uint64(int(SPREAD) * level & (1 << 64) - 1))
 
 
-class Numbers(dict):
-    """Numbers words in the order in which they are met."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
-
-
 def _word_keys(words) -> np.ndarray:
     return mix(np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64))
 
@@ -86,12 +80,35 @@ class Slice:
     begin: np.ndarray
 
 
-def slice_of(texts: list[list[bytes]], order: int) -> Slice:
-    number = Numbers({START: 0, END: 1})
-    ids = np.fromiter(chain.from_iterable(chain((0,), map(number.__getitem__, t), (1,)) for t in texts), np.int64)
-    sizes = np.array([len(t) + 2 for t in texts], np.int64)
+@dataclass
+class Tokens:
+    """Texts as words: how many each has, and the words one after another."""
+
+    sizes: np.ndarray
+    words: pa.Array
+
+
+def tokens_of(texts: pa.Array) -> Tokens:
+    """Null texts have no words."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    sizes, words = lists.value_lengths().to_numpy(), lists.flatten()
+    # Spaces at the ends of a text part words that are not there.
+    there = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    if not there.all():
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[there], minlength=len(sizes))
+        words = words.filter(pa.array(there))
+    return Tokens(sizes.astype(np.int64), words)
+
+
+def slice_of(texts: list[Tokens], order: int) -> Slice:
+    sizes = np.concatenate([t.sizes for t in texts]) + 2
+    coded = pa.concat_arrays([t.words for t in texts]).dictionary_encode()
     begin = np.cumsum(sizes) - sizes
-    words = _word_keys(number)
+    ids = np.empty(int(sizes.sum()), np.int64)
+    inner = np.ones(len(ids), bool)
+    inner[begin], inner[begin + sizes - 1] = False, False
+    ids[begin], ids[begin + sizes - 1], ids[inner] = 0, 1, coded.indices.to_numpy() + 2
+    words = _word_keys([START, END, *coded.dictionary.cast(pa.binary() if pa.types.is_string(coded.dictionary.type) else pa.large_binary()).to_pylist()])
     word = words[ids]
     keys = {1: word}
     for o in range(2, order + 1):
@@ -100,20 +117,24 @@ def slice_of(texts: list[list[bytes]], order: int) -> Slice:
     return Slice(words, ids, keys, np.arange(len(ids)) - np.repeat(begin, sizes), begin)
 
 
-def split(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """(first row, tokens of some texts) of one batch; a text beyond the limit stands alone. Null texts have no words."""
-    held: list[list[bytes]] = []
+def split(texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, list[Tokens]]]:
+    """(first row, rows, their tokens) of stretches of one batch; a text beyond the limit stands alone."""
+    held: list[Tokens] = []
     n = first = 0
     for at in range(0, len(texts), ROWS):
-        for i, t in enumerate(texts.slice(at, ROWS).to_pylist(), at):
-            words = (t or "").encode().lower().split()
-            if held and n + len(words) > limit:
-                yield first, held
-                held, n, first = [], 0, i
-            held.append(words)
-            n += len(words)
+        part = tokens_of(texts.slice(at, ROWS))
+        ends, low = np.concatenate([[0], np.cumsum(part.sizes)]), 0
+        while low < len(part.sizes):
+            high = int(np.searchsorted(ends, ends[low] + limit - n, side="right")) - 1
+            if high <= low and held:
+                yield first, at + low - first, held
+                held, n, first = [], 0, at + low
+                continue
+            high = max(high, low + 1)
+            held.append(Tokens(part.sizes[low:high], part.words.slice(ends[low], ends[high] - ends[low])))
+            n, low = n + int(ends[high] - ends[low]), high
     if held:
-        yield first, held
+        yield first, len(texts) - first, held
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -281,7 +302,9 @@ def per_position(s: Slice, lookup: Lookup, whole: float, order: int) -> tuple[np
         # Shorter parts: what ends here without the first token, and the history without this token.
         at = at[(last[at] > 0) & (last[at - 1] > 0)]
         now = np.zeros(len(s.place), np.int64)
-        now[at] = np.minimum(lookup(s.keys[o][at], False), np.minimum(last[at], last[at - 1]))
+        # Frequent n-grams have many levels: each is read once.
+        distinct, of = np.unique(s.keys[o][at], return_inverse=True)
+        now[at] = np.minimum(lookup(distinct, False)[of], np.minimum(last[at], last[at - 1]))
         history = np.zeros(len(s.place))
         seen = np.flatnonzero(s.place >= o - 1)
         history[seen] = VALUES[last[seen - 1]]
@@ -290,9 +313,8 @@ def per_position(s: Slice, lookup: Lookup, whole: float, order: int) -> tuple[np
     return np.where(s.place > 0, np.log10(p), 0.0), single
 
 
-def scored(texts: list[list[bytes]], lookup: Lookup, totals: Totals, order: int) -> dict[str, list]:
+def scored(s: Slice, lookup: Lookup, totals: Totals, order: int) -> dict[str, list]:
     """For each text: tokens, score, and of the base score and the known tokens what can be told here; ``tail`` is to be joined."""
-    s = slice_of(texts, order)
     logs, single = per_position(s, lookup, totals.whole, order)
     word = s.words.view(np.int64)
     at = np.minimum(np.searchsorted(totals.head, word), max(len(totals.head) - 1, 0))
@@ -323,11 +345,11 @@ def counted(texts: DataFrame, segments: int, order: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, words in split(batch.column(0)):
+            for _, _, words in split(batch.column(0)):
                 s = slice_of(words, order)
                 rows: list[tuple] = []
                 for o, keys in s.keys.items():
-                    distinct, n = (s.words, np.bincount(s.ids)) if o == 1 else np.unique(keys[s.place >= o - 1], return_counts=True)
+                    distinct, n = (s.words, np.bincount(s.ids, minlength=len(s.words))) if o == 1 else np.unique(keys[s.place >= o - 1], return_counts=True)
                     distinct, n = distinct[n > 0], n[n > 0]
                     for once in (True, False):
                         part, many = distinct[(n == 1) == once], n[(n == 1) == once].astype(np.uint32)
@@ -387,9 +409,9 @@ def _by_sent_filter(rows: DataFrame, parts: DataFrame, totals: Totals, order: in
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, totals = [p.value for p in pieces], frequent.value
         for batch in batches:
-            for first, words in split(batch.column("text"), AT_ONCE):
-                row = batch.column("row").slice(first, len(words))
-                yield pa.RecordBatch.from_arrays([row, *_rows(scored(words, lambda keys, single: read_levels(tables, keys, single), totals, order))], names=["row", *(c.split()[0] for c in SCORED.split(", "))])
+            for first, n, words in split(batch.column("text"), AT_ONCE):
+                row = batch.column("row").slice(first, n)
+                yield pa.RecordBatch.from_arrays([row, *_rows(scored(slice_of(words, order), lambda keys, single: read_levels(tables, keys, single), totals, order))], names=["row", *(c.split()[0] for c in SCORED.split(", "))])
 
     found = settle(rows.mapInArrow(score, f"row long, {SCORED}"))
     for b in (*pieces, frequent):
@@ -397,58 +419,90 @@ def _by_sent_filter(rows: DataFrame, parts: DataFrame, totals: Totals, order: in
     return found
 
 
+def _asked(s: Slice, single: bool) -> np.ndarray:
+    """The distinct keys of a slice in order, whatever the order of its texts; their segments ascend with them."""
+    return np.sort(s.words) if single else np.unique(np.concatenate([np.zeros(0, np.uint64), *(k[s.place >= o - 1] for o, k in s.keys.items() if o > 1)]))
+
+
+def _stretches(turns: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of the stretches of equal numbers."""
+    cut = np.flatnonzero(np.diff(turns, prepend=-1)).tolist()
+    return list(zip(cut, [*cut[1:], len(turns)]))
+
+
 def _by_segments(rows: DataFrame, parts: DataFrame, totals: Totals, order: int) -> DataFrame:
-    """The same with a filter of any size: distinct n-grams of a slice go to their segments, levels come back to the slice."""
+    """The same with a filter of any size: distinct n-grams of a slice go to their segments, levels come back to the slice.
+
+    What is asked takes several times the room of the texts: it is made for some of them at a time.
+    """
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    turns = max(1, -(-size // DEALT))
+    own = lambda k: rows.where(F.pmod(F.xxhash64("row"), F.lit(turns)) == k)
+    return reduce(DataFrame.unionByName, [condense(rows.sparkSession, lambda: _dealt(own(k), parts, totals, order)) for k in range(turns)])
+
+
+def _dealt(rows: DataFrame, parts: DataFrame, totals: Totals, order: int) -> DataFrame:
     shipped = rows.sparkSession.sparkContext.broadcast(totals)
     n = totals.segments
     kind = pa.schema([("slice", pa.int64()), ("row", pa.int64()), ("text", pa.string()), ("segment", pa.int64()), ("single", pa.bool_()), ("keys", pa.binary())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: int, **columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(rows, f.type) for f in kind], schema=kind)
+
         for batch in batches:
-            texts, row = batch.column("text"), batch.column("row").to_pylist()
-            for first, words in split(texts):
+            for first, rows, words in split(batch.column("text")):
+                row, s = batch.column("row").slice(first, rows), slice_of(words, order)
                 # The first row's number names the slice.
-                out = [(row[first], row[first + i], t, None, None, None) for i, t in enumerate(texts.slice(first, len(words)).to_pylist())]
-                s = slice_of(words, order)
+                name = row[0].as_py()
+                of = lambda rows: pa.array([name] * rows, pa.int64())
+                yield made(rows, slice=of(rows), row=row, text=pc.fill_null(batch.column("text").slice(first, rows), "").cast(pa.string()))
                 for single in (True, False):
-                    keys = s.words if single else np.unique(np.concatenate([np.zeros(0, np.uint64), *(k[s.place >= o - 1] for o, k in s.keys.items() if o > 1)]))
+                    keys = _asked(s, single)
                     at = segment_of(keys, n)
-                    by = np.argsort(at, kind="stable")
-                    cut = np.flatnonzero(np.diff(at[by], prepend=-1))
-                    out += [(row[first], None, None, int(at[by[a]]), single, keys[by[a:b]].tobytes()) for a, b in zip(cut, [*cut[1:], len(by)])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kind)], schema=kind)
+                    cut = np.flatnonzero(np.diff(at, prepend=-1))
+                    parts = [keys[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(at)])]
+                    yield made(len(cut), slice=of(len(cut)), segment=pa.array(at[cut], pa.int64()), single=pa.array([single] * len(cut)), keys=pa.array(parts, pa.binary()))
 
     dealt = settle(rows.select("row", "text").mapInArrow(deal, "slice long, row long, text string, segment long, single boolean, keys binary"))
 
     def answer(asked: pa.Table, segments: pa.Table) -> pa.Table:
         # The only segment of a filter of one: whatever its number, all these keys belong to it.
         table = joined([(0, segments.column("table")[0].as_py(), segments.column("bits")[0].as_py())], 1) if segments.num_rows else None
-        levels = []
-        for single, k in zip(asked.column("single").to_pylist(), asked.column("keys").to_pylist()):
-            keys = np.frombuffer(k, np.uint64)
-            levels.append((table.levels(keys, single) if table else np.zeros(len(keys))).astype(np.uint8).tobytes())
-        return pa.table({"slice": asked.column("slice"), "single": asked.column("single"), "keys": asked.column("keys"), "levels": pa.array(levels, pa.binary())})
+        levels: list[bytes] = []
+        for kind, at in ((k, np.flatnonzero(asked.column("single").to_numpy() == k)) for k in (True, False)):
+            own = asked.take(pa.array(at)).column("keys")
+            sizes = pc.binary_length(own).to_numpy() // 8
+            # Many slices at a time: a few keys each would cost more in calls than in reads.
+            turns = np.cumsum(sizes) // SLICE
+            for a, b in _stretches(turns):
+                keys = np.frombuffer(b"".join(own.slice(a, b - a).to_pylist()), np.uint64)
+                read = (table.levels(keys, kind) if table else np.zeros(len(keys))).astype(np.uint8)
+                levels += [x.tobytes() for x in np.split(read, np.cumsum(sizes[a:b])[:-1])]
+        by = np.argsort(~asked.column("single").to_numpy(), kind="stable")
+        told = asked.select(["slice", "segment", "single"]).take(pa.array(by))
+        return told.append_column("levels", pa.array(levels, pa.binary()))
 
     asked = dealt.where(F.col("keys").isNotNull()).select("slice", "segment", "single", "keys")
     segments = parts.where(F.col("table").isNotNull()).select("segment", "table", "bits")
-    answers = asked.groupBy("segment").cogroup(segments.groupBy("segment")).applyInArrow(answer, "slice long, single boolean, keys binary, levels binary")
+    # The slice makes its keys again: only their levels come back.
+    answers = asked.groupBy("segment").cogroup(segments.groupBy("segment")).applyInArrow(answer, "slice long, segment long, single boolean, levels binary")
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
+        names = ["row", *(c.split()[0] for c in SCORED.split(", "))]
+        if not texts.num_rows:
+            return pa.Table.from_arrays([pa.array([], pa.int64()), *_rows(dict.fromkeys(names[1:], []))], names=names)
+        s = slice_of([tokens_of(chunk) for chunk in texts.column("text").chunks], order)
         found: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
+        known = known.sort_by("segment")
         for single in (True, False):
             own = known.filter(pc.equal(known.column("single"), single))
-            keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(k, np.uint64) for k in own.column("keys").to_pylist())])
-            levels = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(v, np.uint8) for v in own.column("levels").to_pylist())])
-            by = np.argsort(keys)
-            found[single] = keys[by], levels[by].astype(np.int64)
+            found[single] = _asked(s, single), np.frombuffer(b"".join(own.column("levels").to_pylist()), np.uint8).astype(np.int64)
         lookup = lambda k, single: found[single][1][np.searchsorted(found[single][0], k)]
-        words = [(t or "").encode().lower().split() for t in texts.column("text").to_pylist()]
-        if not words:
-            return pa.Table.from_arrays([pa.array([], pa.int64()), *_rows(dict.fromkeys(("n_tokens", "score", "base", "known", "tail"), []))], names=["row", *(c.split()[0] for c in SCORED.split(", "))])
-        return pa.Table.from_arrays([texts.column("row").combine_chunks(), *_rows(scored(words, lookup, shipped.value, order))], names=["row", *(c.split()[0] for c in SCORED.split(", "))])
+        return pa.Table.from_arrays([texts.column("row").combine_chunks(), *_rows(scored(s, lookup, shipped.value, order))], names=names)
 
     texts = dealt.where(F.col("keys").isNull()).select("slice", "row", "text")
-    return settle(texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(score, f"row long, {SCORED}"))
+    return texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(score, f"row long, {SCORED}")
 
 
 def score_texts(rows: DataFrame, training: Column, order: int = ORDER, sent_bytes: int = SENT_BYTES, head: int = HEAD,

@@ -122,3 +122,36 @@ def test_real_order_is_more_probable_than_shuffled_words(spark):
     docs = documents(spark, [*texts, " ".join(shuffled)])
     scores = {r.doc_id: (r.score, r.base_score) for r in nf.report(docs).collect()}
     assert scores[0][0] > scores[30][0] + 100 and scores[0][1] == pytest.approx(scores[30][1])
+
+
+def test_texts_are_dealt_in_turns_whose_tables_go(spark, monkeypatch):
+    """The n-grams of all texts were on disk at once, and stayed."""
+    from pathlib import Path
+
+    from rivulet.session import ensure_checkpoint_dir
+
+    docs = documents(spark, [prose(i, 60 + i, 40 + 5 * i) for i in range(40)] + [None, "", " A  a A ", "\x0bé É\x1c"]).repartition(3)
+    wanted = sorted(map(tuple, nf.report(docs, segment_bytes=20_000).collect()), key=str)
+    monkeypatch.setattr(nf, "DEALT", 4_000)
+    at = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(at.glob("settled-*"))
+    got = sorted(map(tuple, nf.report(docs, segment_bytes=20_000, sent_bytes=0).collect()), key=str)
+    for g, w in zip(got, wanted, strict=True):
+        assert g == tuple(pytest.approx(x, rel=1e-12) if isinstance(x, float) else x for x in w)
+    held = [spark.read.parquet(str(p)).columns for p in at.glob("settled-*") if p not in before]
+    assert not any("keys" in c for c in held) and sum("tail" in c for c in held) > 1
+
+
+def test_words_are_those_of_bytes():
+    import pyarrow as pa
+
+    texts = ["", None, " ", "a", "  A b\tc\n", "é Ä\x0b\x0cq\r\x1cz  y\u00a0Z\u2003X", *(prose(i, 50, 9) for i in range(600))]
+    for limit in (1, 7, 1000):
+        out, at = [], 0
+        for first, rows, held in nf.split(pa.array(texts), limit):
+            assert first == at and rows == sum(len(t.sizes) for t in held)
+            at += rows
+            assert rows == 1 or sum(int(t.sizes.sum()) for t in held) <= limit
+            for t in held:
+                out += [w.tolist() for w in np.split(np.array([x.encode() for x in t.words.to_pylist()], dtype=object), np.cumsum(t.sizes)[:-1])]
+        assert at == len(texts) and out == [(t or "").encode().lower().split() for t in texts]
